@@ -24,6 +24,12 @@ def pt(x, y) -> Column:
     return F.struct(lit(x).cast("double").alias("x"), lit(y).cast("double").alias("y"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once and named, so that a large
+    expression is not repeated through the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hypot(dx: Column, dy: Column) -> Column:
     """sqrt(dx^2 + dy^2); written out so that other engines can match it bit for bit."""
     return F.sqrt(dx * dx + dy * dy)
@@ -128,14 +134,17 @@ def nth(ring: Column, i: Column) -> Column:
 
 def ring_edges(ring: Column) -> Column:
     """array<struct<i, ax, ay, bx, by>> of the closed outline."""
-    return F.transform(
+    return let(
         ring,
-        lambda p, i: F.struct(
-            i.alias("i"),
-            p["x"].alias("ax"),
-            p["y"].alias("ay"),
-            nth(ring, i + 1)["x"].alias("bx"),
-            nth(ring, i + 1)["y"].alias("by"),
+        lambda r: F.transform(
+            r,
+            lambda p, i: F.struct(
+                i.alias("i"),
+                p["x"].alias("ax"),
+                p["y"].alias("ay"),
+                nth(r, i + 1)["x"].alias("bx"),
+                nth(r, i + 1)["y"].alias("by"),
+            ),
         ),
     )
 
@@ -156,32 +165,42 @@ def polygon_area(ring: Column) -> Column:
 
 
 def vertex_mean(ring: Column) -> Column:
-    n = F.size(ring)
-    n = F.when(n > 0, n.cast("double"))
-    return pt(_sum(ring, lambda p: p["x"]) / n, _sum(ring, lambda p: p["y"]) / n)
+    def mean(r):
+        n = F.when(F.size(r) > 0, F.size(r).cast("double"))
+        return pt(_sum(r, lambda p: p["x"]) / n, _sum(r, lambda p: p["y"]) / n)
+
+    return let(ring, mean)
 
 
 def polygon_centroid(ring: Column) -> Column:
     """Area-weighted centroid; the vertex mean when the ring has no area."""
-    e = ring_edges(ring)
-    a = _sum(e, _cross) * 0.5
-    a6 = F.when(F.abs(a) >= 1e-6, a * 6)
-    weighted = pt(
-        _sum(e, lambda s: (s["ax"] + s["bx"]) * _cross(s)) / a6,
-        _sum(e, lambda s: (s["ay"] + s["by"]) * _cross(s)) / a6,
+    sums = let(
+        ring_edges(ring),
+        lambda e: F.struct(
+            (_sum(e, _cross) * 0.5).alias("a"),
+            _sum(e, lambda s: (s["ax"] + s["bx"]) * _cross(s)).alias("sx"),
+            _sum(e, lambda s: (s["ay"] + s["by"]) * _cross(s)).alias("sy"),
+            F.size(e).alias("n"),
+        ),
+    )
+    flat = lambda s: (F.abs(s["a"]) < 1e-6) | (s["n"] < 3)
+    a6 = lambda s: F.when(~flat(s), s["a"] * 6)
+    return let(
+        sums,
+        lambda s: F.when(flat(s), vertex_mean(ring)).otherwise(pt(s["sx"] / a6(s), s["sy"] / a6(s))),
     )
-    return F.when((F.abs(a) < 1e-6) | (F.size(ring) < 3), vertex_mean(ring)).otherwise(weighted)
 
 
 def bbox(ring: Column) -> Column:
-    xs = F.transform(ring, lambda p: p["x"])
-    ys = F.transform(ring, lambda p: p["y"])
-    return F.struct(
-        F.array_min(xs).alias("x0"),
-        F.array_min(ys).alias("y0"),
-        F.array_max(xs).alias("x1"),
-        F.array_max(ys).alias("y1"),
-    )
+    def box(r):
+        return F.struct(
+            F.array_min(r["x"]).alias("x0"),
+            F.array_min(r["y"]).alias("y0"),
+            F.array_max(r["x"]).alias("x1"),
+            F.array_max(r["y"]).alias("y1"),
+        )
+
+    return let(ring, box)
 
 
 def polygon_perimeter(ring: Column) -> Column:
@@ -237,15 +256,23 @@ def crosses_right(px, py, ax, ay, bx, by) -> Column:
 
 def edges_contain(px, py, edges: Column) -> Column:
     """Even-odd test against a prepared edge array."""
-    n = F.size(
-        F.filter(edges, lambda e: crosses_right(px, py, e["ax"], e["ay"], e["bx"], e["by"]))
-    )
-    return (n % 2) == 1
+    def odd(p):
+        n = F.size(
+            F.filter(
+                edges, lambda e: crosses_right(p["x"], p["y"], e["ax"], e["ay"], e["bx"], e["by"])
+            )
+        )
+        return (n % 2) == 1
+
+    return let(pt(px, py), odd)
 
 
 def edges_min_dist(px, py, edges: Column) -> Column:
-    return F.array_min(
-        F.transform(edges, lambda e: seg_dist(px, py, e["ax"], e["ay"], e["bx"], e["by"]))
+    return let(
+        pt(px, py),
+        lambda p: F.array_min(
+            F.transform(edges, lambda e: seg_dist(p["x"], p["y"], e["ax"], e["ay"], e["bx"], e["by"]))
+        ),
     )
 
 
@@ -273,8 +300,6 @@ def edges_cross(e: Column, f: Column) -> Column:
 def rings_overlap(a: Column, b: Column, eps: float = 1e-9) -> Column:
     """Positive-area overlap: an edge crossing, or a vertex / edge middle /
     vertex mean of one ring strictly inside the other."""
-    ea, eb = ring_edges(a), ring_edges(b)
-
     def strictly_inside(x, y, edges):
         return edges_contain(x, y, edges) & (edges_min_dist(x, y, edges) > eps)
 
@@ -285,18 +310,21 @@ def rings_overlap(a: Column, b: Column, eps: float = 1e-9) -> Column:
             | strictly_inside((e["ax"] + e["bx"]) / 2, (e["ay"] + e["by"]) / 2, other),
         )
 
-    ma, mb = vertex_mean(a), vertex_mean(b)
-    return (
-        (F.size(a) >= 3)
-        & (F.size(b) >= 3)
-        & (
+    def overlap(k):
+        ea, eb, ma, mb = k["ea"], k["eb"], k["ma"], k["mb"]
+        return (
             F.exists(ea, lambda e: F.exists(eb, lambda f: edges_cross(e, f)))
             | any_inside(ea, eb)
             | any_inside(eb, ea)
             | strictly_inside(ma["x"], ma["y"], eb)
             | strictly_inside(mb["x"], mb["y"], ea)
         )
+
+    prepared = F.struct(
+        ring_edges(a).alias("ea"), ring_edges(b).alias("eb"),
+        vertex_mean(a).alias("ma"), vertex_mean(b).alias("mb"),
     )
+    return (F.size(a) >= 3) & (F.size(b) >= 3) & let(prepared, overlap)
 
 
 def simplify_ring(ring: Column, tol: float = 0.03) -> Column:
@@ -314,14 +342,12 @@ def simplify_ring(ring: Column, tol: float = 0.03) -> Column:
 
         return F.filter(r, bend)
 
-    d = dedupe(ring)
-    s = straighten(d)
-    return (
-        F.when(F.size(ring) < 3, ring)
-        .when(F.size(d) < 3, ring)
-        .when(F.size(s) >= 3, s)
-        .otherwise(d)
-    )
+    def choose(d):
+        return F.when(F.size(d) < 3, ring).otherwise(
+            let(straighten(d), lambda s: F.when(F.size(s) >= 3, s).otherwise(d))
+        )
+
+    return F.when(F.size(ring) < 3, ring).otherwise(let(dedupe(ring), choose))
 
 
 def _steps(start: Column, stop: Column, step: Column, inclusive: bool) -> Column:
@@ -337,35 +363,49 @@ def _steps(start: Column, stop: Column, step: Column, inclusive: bool) -> Column
 def interior_point(ring: Column) -> Column:
     """The centroid if inside, else the middle of the first inside span on the
     centroid's scanline."""
-    c, b = polygon_centroid(ring), bbox(ring)
-    step = F.greatest((b["x1"] - b["x0"]) / 128, F.lit(0.25))
-    marks = F.transform(
-        _steps(b["x0"], b["x1"], step, True),
-        lambda x: F.struct(x.alias("x"), edges_contain(x, c["y"], ring_edges(ring)).alias("inside")),
-    )
-    start = F.get(F.filter(marks, lambda m: m["inside"]), F.lit(0))["x"]
-    out = F.get(F.filter(marks, lambda m: ~m["inside"] & (m["x"] > start)), F.lit(0))["x"]
-    spot = (
-        F.when(start.isNull(), c)
-        .when(out.isNull(), pt((start + b["x1"]) / 2, c["y"]))
-        .otherwise(pt((start + out - step) / 2, c["y"]))
+    def spot(k):
+        c, b, edges = k["c"], k["b"], k["edges"]
+        step = F.greatest((b["x1"] - b["x0"]) / 128, F.lit(0.25))
+        marks = F.transform(
+            _steps(b["x0"], b["x1"], step, True),
+            lambda x: F.struct(x.alias("x"), edges_contain(x, c["y"], edges).alias("inside")),
+        )
+
+        def first_span(m):
+            start = F.get(F.filter(m, lambda v: v["inside"]), F.lit(0))["x"]
+            out = F.get(F.filter(m, lambda v: ~v["inside"] & (v["x"] > start)), F.lit(0))["x"]
+            return (
+                F.when(start.isNull(), c)
+                .when(out.isNull(), pt((start + b["x1"]) / 2, c["y"]))
+                .otherwise(pt((start + out - step) / 2, c["y"]))
+            )
+
+        return F.when(edges_contain(c["x"], c["y"], edges), c).otherwise(let(marks, first_span))
+
+    return let(
+        F.struct(
+            polygon_centroid(ring).alias("c"), bbox(ring).alias("b"), ring_edges(ring).alias("edges")
+        ),
+        spot,
     )
-    return F.when(point_in_ring(c, ring), c).otherwise(spot)
 
 
 def sample_points(ring: Column, step: float = 8.0, budget: int = 80) -> Column:
     """Interior grid samples; the step widens so that about `budget` cells
     remain, and a ring that catches none yields its interior point."""
-    b = bbox(ring)
-    cells = (b["x1"] - b["x0"]) / step * ((b["y1"] - b["y0"]) / step)
-    s = F.when(cells > budget, F.lit(float(step)) * F.sqrt(cells / budget)).otherwise(
-        F.lit(float(step))
-    )
-    xs = _steps(b["x0"] + s / 2, b["x1"], s, False)
-    ys = _steps(b["y0"] + s / 2, b["y1"], s, False)
-    grid = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pt(x, y))))
-    hit = F.filter(grid, lambda p: edges_contain(p["x"], p["y"], ring_edges(ring)))
-    return F.when(F.size(hit) > 0, hit).otherwise(F.array(interior_point(ring)))
+    def grid(k):
+        b, edges = k["b"], k["edges"]
+        cells = (b["x1"] - b["x0"]) / step * ((b["y1"] - b["y0"]) / step)
+        s = F.when(cells > budget, F.lit(float(step)) * F.sqrt(cells / budget)).otherwise(
+            F.lit(float(step))
+        )
+        xs = _steps(b["x0"] + s / 2, b["x1"], s, False)
+        ys = _steps(b["y0"] + s / 2, b["y1"], s, False)
+        points = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pt(x, y))))
+        return F.filter(points, lambda p: edges_contain(p["x"], p["y"], edges))
+
+    hit = let(F.struct(bbox(ring).alias("b"), ring_edges(ring).alias("edges")), grid)
+    return let(hit, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(interior_point(ring))))
 
 
 def round_corners(pts: Column, radius: float = 0.75) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as g, labels
+from ..session import cut
 from .spatial import FLOOR, box_join, box_tiles, number_rows, points_in_boxes, tile, with_box
 
 PROBE_M = 0.4
@@ -283,7 +284,7 @@ def nearest_cameras(
     e, at = F.col("extent"), F.col("at")
     area = F.greatest((e["x1"] - e["x0"]) * (e["y1"] - e["y0"]), F.lit(1.0))
     open_pts = points.join(extent, FLOOR).withColumn(
-        "radius", F.sqrt(area * k / F.col("n_cams")) + 1.0
+        "radius", F.sqrt(area * k / F.col("n_cams")) * 2 + 1.0
     )
     done = None
     for _ in range(max_rings.bit_length()):
@@ -316,6 +317,7 @@ def nearest_cameras(
             *FLOOR, point_id, "camera_id", "cam_pos", F.sqrt("d2").alias("distance_m"), "rank"
         )
         done = rows if done is None else done.unionByName(rows)
+        short = cut(short)
         if short.limit(1).count() == 0:
             return done
         open_pts = short.drop("got").withColumn("radius", F.col("radius") * 2)

@@ -149,7 +149,7 @@ def _corner_rays(local: DataFrame, end: str):
     }
     return local.withColumns(columns).withColumn(
         f"rel_{end}", g.wrap_pi(F.col(f"t_{end}") - c["h"])
-    ), F.when(aimed, rays).otherwise(F.slice(rays, 1, 0))
+    ), F.filter(rays, lambda _: aimed)
 
 
 def _wall_items(local: DataFrame) -> DataFrame:

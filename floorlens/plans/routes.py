@@ -38,27 +38,39 @@ def _through(graph: dict[str, DataFrame]) -> DataFrame:
 
 
 def _relax(starts: DataFrame, graph, max_rounds: int) -> DataFrame:
-    """Cheapest path from each request's start to every through node."""
+    """Cheapest path from each request's start to every through node. One job
+    per round: fresh rows step on, and the minimum per node decides what is
+    fresh next."""
     through = cut(_through(graph))
-    best = cut(starts.select(*REQ, F.col("start_id").alias("node"), F.lit(0.0).alias("cost"), F.array("start_id").alias("path")))
-    frontier = best
+    state = cut(
+        starts.select(
+            *REQ, F.col("start_id").alias("node"), F.lit(0.0).alias("cost"),
+            F.array("start_id").alias("path"), F.lit(True).alias("fresh"),
+        )
+    )
     for _ in range(max_rounds):
-        step = _best(
-            frontier.withColumnRenamed("node", "src")
+        step = (
+            state.where("fresh")
+            .withColumnRenamed("node", "src")
             .join(through, ["building_id", "src"])
             .where(~F.array_contains("path", F.col("dst")))
-            .select(*REQ, F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
-                    F.concat("path", "via", F.array("dst")).alias("path")),
-            [*REQ, "node"],
+            .select(
+                *REQ, F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
+                F.concat("path", "via", F.array("dst")).alias("path"), F.lit(True).alias("fresh"),
+            )
+        )
+        order = F.struct(
+            F.round("cost", 6).alias("k"), F.concat_ws(">", "path").alias("t"), "fresh", "cost", "path"
         )
-        old = best.select(*REQ, "node", F.col("cost").alias("old"), F.concat_ws(">", "path").alias("old_t"))
-        better = F.col("old").isNull() | (F.round("cost", 6) < F.round("old", 6)) | (
-            (F.round("cost", 6) == F.round("old", 6)) & (F.concat_ws(">", "path") < F.col("old_t"))
+        state = cut(
+            state.withColumn("fresh", F.lit(False))
+            .unionByName(step)
+            .groupBy(*REQ, "node")
+            .agg(F.min(order).alias("m"))
+            .select(*REQ, "node", "m.cost", "m.path", "m.fresh")
         )
-        frontier = cut(step.join(old, [*REQ, "node"], "left").where(better).drop("old", "old_t"))
-        if frontier.limit(1).count() == 0:
-            return best
-        best = cut(_best(best.unionByName(frontier), [*REQ, "node"]))
+        if state.where("fresh").limit(1).count() == 0:
+            return state.drop("fresh")
     raise RuntimeError(f"routes still improving after {max_rounds} rounds")
 
 

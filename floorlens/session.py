@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,34 @@ def local_session(cpus: int | str = "*", app: str = "floorlens", partitions: int
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder: the one the cluster names in
+    ``spark.checkpoint.dir``. Only where that is unset (tests, laptops) a
+    temporary one is used; never on a cluster, where a machine-local folder
+    would not outlive its executor."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise and truncate lineage in the reliable checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, laptops) a temporary one is used, and never on
-    a cluster, where a machine-local folder would not outlive its executor.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+    """Materialise and truncate lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, for data that many
+    queries use: later plans prune columns and know its size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
