@@ -110,27 +110,44 @@ def tour_points(tour: DataFrame, units, openings, verticals) -> DataFrame:
     )
 
 
+def keep_or_best(current, cams):
+    """The camera to follow next: the current one while it sees the subject,
+    else the best (first) one, else none."""
+    if current is not None and current in cams:
+        return current
+    return cams[0] if len(cams) else None
+
+
 def handoffs(fixes: DataFrame, seen: DataFrame, subject: str = "subject") -> DataFrame:
-    """The camera followed per subject over time: kept while it sees the
-    subject, else the best view, else none. fixes(subject, ts, probe_id); seen
-    as produced by probe.see. One ordered fold per subject and day."""
+    """The camera followed per subject over time. fixes(subject, ts, probe_id);
+    seen as produced by probe.see. Fixes are partitioned by subject and sorted
+    by Spark; each task streams its sorted batches and carries one camera id,
+    so no subject is held in memory as a whole."""
     views = seen.groupBy("probe_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cam_pos", "camera_id"))), lambda v: v["camera_id"]
+            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cam_pos", "camera_id"))),
+            lambda v: v["camera_id"],
         ).alias("cams")
     )
-    none = F.array().cast("array<string>")
-    d = fixes.join(views, "probe_id", "left").withColumn("cams", F.coalesce("cams", none))
-    per = d.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct("ts", "probe_id", "cams"))).alias("f"))
-    typ = "array<struct<ts:timestamp,probe_id:bigint,camera_id:string,cur:string>>"
-
-    def step(acc, x):
-        keep = (F.size(acc["out"]) > 0) & F.array_contains(x["cams"], F.try_element_at(acc["out"], F.lit(-1))["cur"])
-        pick = F.when(F.coalesce(keep, F.lit(False)), F.try_element_at(acc["out"], F.lit(-1))["cur"]).otherwise(F.get(x["cams"], F.lit(0)))
-        row = F.struct(x["ts"].alias("ts"), x["probe_id"].alias("probe_id"), pick.alias("camera_id"),
-                       F.coalesce(pick, F.try_element_at(acc["out"], F.lit(-1))["cur"]).alias("cur"))
-        return F.struct(F.concat(acc["out"], F.array(row).cast(typ)).alias("out"))
-
-    return per.select(subject, F.inline(F.aggregate("f", F.struct(F.array().cast(typ).alias("out")), step)["out"])).drop("cur")
-
+    ordered = (
+        fixes.select(subject, "ts", "probe_id")
+        .join(views, "probe_id", "left")
+        .select(subject, "ts", "probe_id", F.coalesce("cams", F.array().cast("array<string>")).alias("cams"))
+        .repartition(subject)
+        .sortWithinPartitions(subject, "ts", "probe_id")
+    )
 
+    def follow(batches):
+        who, current = None, None
+        for batch in batches:
+            picked = []
+            for key, cams in zip(batch[subject], batch["cams"]):
+                if key != who:
+                    who, current = key, None
+                now = keep_or_best(current, list(cams))
+                current = now if now is not None else current
+                picked.append(now)
+            yield batch.drop(columns="cams").assign(camera_id=picked)
+
+    kind = fixes.schema[subject].dataType.simpleString()
+    return ordered.mapInPandas(follow, f"{subject} {kind}, ts timestamp, probe_id bigint, camera_id string")

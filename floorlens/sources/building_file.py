@@ -111,13 +111,13 @@ def building_rows(units, levels, openings, verticals, cameras, occupants, buildi
     xy = lambda c: F.array(F.col(f"{c}.x"), F.col(f"{c}.y"))
     pts = lambda c: F.transform(c, lambda p: F.array(p["x"], p["y"]))
 
-    def packed(df, name, **fields):
+    def packed(df, into, **fields):
         item = F.struct(*[v.alias(k) for k, v in fields.items()])
         return df.groupBy("building_id").agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), item.alias("e")))),
                 lambda s: s["e"],
-            ).alias(name)
+            ).alias(into)
         )
 
     c = F.col

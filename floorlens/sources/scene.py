@@ -370,7 +370,7 @@ class Scene:
                 (e % 3).cast("int").alias("ordinal"),
                 e.alias("probe_id"),
                 F.col("user_id").alias("subject"),
-                "ts",
+                F.col("ts").cast("timestamp").alias("ts"),
                 "event_type",
                 g.pt(e * 7919 % 477 / 8.0 + 0.1875, e * 104729 % 103 / 8.0 + 0.0625).alias("at"),
             )
@@ -417,7 +417,7 @@ class Scene:
     def edits(self) -> DataFrame:
         return self.table("orders").select(
             F.col("o_custkey").alias("user_id"),
-            F.col("o_orderdate").alias("ts"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"),
             F.col("o_orderkey").alias("seq"),
             F.col("o_orderpriority").alias("edit_key"),
         )
@@ -454,3 +454,22 @@ class Scene:
             F.when(kind == "INSERT", F.lit(1.0)).alias("y_scale"),
             F.when(kind == "INSERT", F.lit(90.0)).alias("rotation"),
         )
+
+    @cached_property
+    def customer_names(self) -> DataFrame:
+        return self.table("customer").select(_key("c_custkey").alias("seq"), F.col("c_mktsegment").alias("name"))
+
+    @cached_property
+    def schedule_files(self) -> DataFrame:
+        """One small camera schedule per customer, with the quirks of
+        spreadsheet exports: byte order mark, quotes, feet, blank rows."""
+        k = F.col("c_custkey")
+        label = _pick([f"{m[0]} {m[1]} Mk II" for m in CAMERA_MODELS], k)
+        line = F.concat(
+            F.lit('"'), "c_name", F.lit('";'), F.when(k % 3 == 0, label).otherwise("Unknown"), F.lit(";"),
+            k + 1, F.lit(";"), k % 12 + 1, F.lit(" ft"),
+        )
+        text = F.concat(
+            F.lit("\ufeffCamera Name;Model;Ch;Mount Height (m)\r\n"), line, F.lit("\r\n\r\n;nameless;;\r\n")
+        )
+        return self.table("customer").select(k.alias("file_id"), text.alias("text"))

@@ -729,3 +729,355 @@ flood AS (SELECT building_id, owner AS node FROM door WHERE is_entrance
   UNION SELECT h.building_id, h.dst FROM flood f JOIN hop h ON h.building_id = f.building_id AND h.src = f.node)"""))
 def _(s):
     return navgraph.reachable_units(navgraph.nav_graph(s.units, s.openings, s.verticals), s.units)
+
+
+# -- windows, edits, patrols ----------------------------------------------
+
+from floorlens.operators import edits  # noqa: E402
+from floorlens.plans import patrol, scene3d  # noqa: E402
+from floorlens.sources import building_file, cad, geojson, report, schedule, svg  # noqa: E402
+from floorlens.streaming import live  # noqa: E402
+
+
+@query("edit_units", o.sql(
+    """SELECT user_id, count(*) AS edits, CAST(sum(fresh) AS BIGINT) AS undo_units FROM (
+      SELECT o_custkey AS user_id, CASE WHEN o_orderpriority = lag(o_orderpriority) OVER w AND epoch_ms(o_orderdate) - epoch_ms(lag(o_orderdate) OVER w) < 2592000000 THEN 0 ELSE 1 END AS fresh
+      FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) GROUP BY ALL"""))
+def _(s):
+    # Orders lie months apart, so the gap here is thirty days.
+    return edits.coalesce_edits(s.edits, gap_ms=30 * 86_400_000).groupBy("user_id").agg(
+        F.count("*").alias("edits"), F.max("undo_unit").alias("undo_units")
+    )
+
+
+@query("edit_sessions", o.sql(
+    """SELECT user_id, edit_key, min(ts) AS started, count(*) AS edits FROM (SELECT *, sum(f) OVER (PARTITION BY user_id, edit_key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
+      SELECT o_custkey AS user_id, o_orderpriority AS edit_key, o_orderdate AS ts,
+        CASE WHEN o_orderdate - lag(o_orderdate) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate) <= INTERVAL 30 DAY THEN 0 ELSE 1 END AS f FROM orders)) GROUP BY user_id, edit_key, g"""))
+def _(s):
+    return live.edit_sessions(s.edits, "30 days").select("user_id", "edit_key", "started", "edits")
+
+
+@query("handoffs")
+def _(s):
+    seen = probe.see(s.probes, s.cameras, scene_rings(s))
+    return patrol.handoffs(s.probes, seen).groupBy("subject").agg(
+        F.count("camera_id").alias("followed"), F.countDistinct("camera_id").alias("cameras")
+    )
+
+
+@query("patrol_fixes", o.sql(
+    """SELECT building_id, ordinal, i AS fix, round(CASE WHEN (i * 1.2::DOUBLE) % 116 <= 58 THEN 1 + (i * 1.2::DOUBLE) % 116 ELSE 1 + 116 - (i * 1.2::DOUBLE) % 116 END, 3) AS x, 6.5::DOUBLE AS y
+    FROM floors, range(141) t(i)"""))
+def _(s):
+    return patrol.trajectory(s.patrols).select(*FLOOR, "fix", r3("at.x", "x"), F.col("at.y").alias("y"))
+
+
+@query("patrol_tour", o.sql(
+    f"""SELECT building_id, ordinal, unit_id, row_number() OVER (PARTITION BY building_id, ordinal ORDER BY unit_id <> start, round(w, 6), pos) AS stop FROM (
+      SELECT n.building_id, n.ordinal, n.unit_id, n.pos, h.w, first_value(n.unit_id) OVER (PARTITION BY n.building_id, n.ordinal ORDER BY n.pos) AS start0 , s.start
+      FROM nodes n JOIN hop h ON h.building_id = n.building_id AND h.src = n.unit_id JOIN nodes c ON c.building_id = h.building_id AND c.unit_id = h.dst AND c.category = 'corridor'
+      JOIN (SELECT building_id, ordinal, arg_min(unit_id, pos) AS start FROM nodes WHERE {o.SPACE} GROUP BY ALL) s ON s.building_id = n.building_id AND s.ordinal = n.ordinal
+      WHERE n.{o.SPACE}
+        AND EXISTS (SELECT 1 FROM hop z JOIN nodes zc ON zc.building_id = z.building_id AND zc.unit_id = z.dst AND zc.category = 'corridor' WHERE z.building_id = n.building_id AND z.src = s.start))""",
+    GRAPH))
+def _(s):
+    return patrol.auto_patrol(s.units, s.openings, s.verticals, s.patrols)["tour"].select(*FLOOR, "unit_id", "stop")
+
+
+@query("patrol_points")
+def _(s):
+    t = patrol.auto_patrol(s.units, s.openings, s.verticals, s.patrols)["tour"]
+    return patrol.tour_points(t, s.units, s.openings, s.verticals).select(*FLOOR, "seq", "node", r3("at.x", "x"), r3("at.y", "y"))
+
+
+@query("bulk_security", o.sql(
+    "SELECT building_id, coalesce(CASE WHEN category = 'storage' THEN 'secure' ELSE security END, 'public') AS security, count(*) AS units FROM units GROUP BY ALL"))
+def _(s):
+    u = edits.bulk_set(s.units, s.units.where("category = 'storage'"), "security", "secure")
+    return u.groupBy("building_id", labels.security_of(F.col("security")).alias("security")).agg(F.count("*").alias("units"))
+
+
+@query("delete_cascade", o.sql(
+    """SELECT (SELECT count(*) FROM units WHERE category <> 'storage') AS units,
+    (SELECT count(*) FROM openings x WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.building_id = x.building_id AND u.unit_id = x.unit_id AND category = 'storage')) AS openings,
+    (SELECT count(*) FROM occupants x WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.building_id = x.building_id AND u.unit_id = x.unit_id AND category = 'storage')) AS occupants"""))
+def _(s):
+    t = visitor.without_units(s.units.where("category = 'storage'"), s.units, s.openings, s.verticals, s.occupants)
+    rows = None
+    for n in ("units", "openings", "occupants"):
+        one = t[n].select(F.lit(n).alias("t"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.agg(*[F.count_if(F.col("t") == n).alias(n) for n in ("units", "openings", "occupants")])
+
+
+@query("apply_edits", o.sql(
+    """SELECT building_id, camera_id, round((pos * 7 + 725) % 360, 3)::DOUBLE AS heading, 'Renamed ' || pos AS name, rng AS range_m FROM cameras"""))
+def _(s):
+    j = lambda field, v, seq: F.struct(F.lit(field).alias("field"), v.cast("string").alias("value"), F.lit(seq).alias("seq"))
+    log = s.cameras.select(
+        "building_id", F.lit("cameras").alias("entity"), F.col("camera_id").alias("id"), F.lit("2024-01-01").cast("timestamp").alias("ts"),
+        F.inline(F.array(
+            j("heading", F.lit(1.0), 1), j("heading", F.col("pos") * 7.0 + 725, 2),
+            j("name", F.concat(F.lit('"Renamed '), "pos", F.lit('"')), 1),
+        )),
+    )
+    return edits.apply_edits(s.cameras, "cameras", "camera_id", log).select("building_id", "camera_id", r3("heading", "heading"), "name", "range_m")
+
+
+@query("free_preset_slots", o.sql(
+    """SELECT building_id, camera_id, CAST(CASE WHEN pos % 8 + 2 = 2 THEN 3 ELSE 2 END AS INTEGER) AS slot FROM cameras WHERE kind = 'ptz'"""))
+def _(s):
+    return edits.free_slots(s.camera_presets)
+
+
+@query("home_presets", o.sql(
+    "SELECT building_id, camera_id, heading FROM cameras WHERE kind = 'ptz' AND pos % 2 = 1"))
+def _(s):
+    return edits.home_presets(s.cameras.where("kind = 'ptz'"), s.cameras, s.camera_presets).select("building_id", "camera_id", "heading")
+
+
+@query("default_names", o.sql(
+    """SELECT u.building_id, u.unit_id, upper(u.category[1]) || u.category[2:] || ' ' || (n.n + row_number() OVER (PARTITION BY u.building_id, u.category ORDER BY u.pos)) AS name
+    FROM units u JOIN (SELECT building_id, category, count(*) AS n FROM units GROUP BY ALL) n USING (building_id, category) WHERE u.name = ''"""))
+def _(s):
+    return places.default_names(s.units.where("name = ''"), s.units).select("building_id", "unit_id", "name")
+
+
+@query("changed_cameras", o.sql(
+    "SELECT building_id, camera_id, ((heading + 365 - pos % 2 * 5) % 360)::DOUBLE AS heading FROM cameras WHERE kind = 'ptz' AND pos % 2 = 0"))
+def _(s):
+    aims = s.cameras.where("kind = 'ptz'").select(
+        "building_id", "camera_id", F.lit("2024-01-01").cast("timestamp").alias("ts"),
+        (F.col("heading") + 365 - F.col("pos") % 2 * 5).alias("heading"), "tilt_deg", "fov_deg", "range_m")
+    return live.changed_cameras(s.cameras, aims).select("building_id", "camera_id", "heading")
+
+
+# -- scene in height -------------------------------------------------------
+
+
+@query("scene_walls", o.sql(
+    """SELECT building_id, ordinal, least(ax,bx) AS x1, least(ay,by) AS y1, greatest(ax,bx) AS x2, greatest(ay,by) AS y2, max(top) AS top_m,
+    arg_max(finish, (rank_, -pos)) AS finish, count(*) AS sides FROM (
+      SELECT w.building_id, w.ordinal, ax, ay, bx, by, coalesce(ceiling_m, 3.2)::DOUBLE AS top,
+        CASE WHEN source = 'footprint' THEN 2147483647 ELSE u.pos END AS pos, coalesce(u.category, 'envelope') AS finish,
+        CASE coalesce(u.category, 'envelope') WHEN 'envelope' THEN 100 WHEN 'retail' THEN 60 WHEN 'room' THEN 50 WHEN 'office' THEN 45 WHEN 'restroom' THEN 40 WHEN 'mechanical' THEN 35 WHEN 'storage' THEN 30 ELSE 25 END AS rank_
+      FROM walls w JOIN levels l USING (building_id, ordinal) LEFT JOIN units u ON u.building_id = w.building_id AND u.unit_id = w.source_id AND source = 'unit'
+      WHERE source = 'footprint' OR (source = 'unit' AND u.category NOT IN ('corridor','lobby','outside'))) GROUP BY ALL""", o.WALLS))
+def _(s):
+    w = scene3d.merged_walls(s.units, s.footprints, s.levels)
+    return w.select(
+        *FLOOR, F.least("ax", "bx").alias("x1"), F.least("ay", "by").alias("y1"), F.greatest("ax", "bx").alias("x2"),
+        F.greatest("ay", "by").alias("y2"), "top_m", "finish", "sides",
+    )
+
+
+@query("scene_holes", o.sql(
+    """SELECT o.building_id, u.ordinal, o.opening_id, st AS style, round(3 - CASE WHEN st = 'storefront' THEN 0 ELSE 0 END, 3)::DOUBLE AS at_m,
+    CASE st WHEN 'storefront' THEN 5.3::DOUBLE WHEN 'opening' THEN 2.6::DOUBLE WHEN 'double' THEN 1.8::DOUBLE ELSE 0.95::DOUBLE END AS width_m,
+    round(least(CASE st WHEN 'storefront' THEN 3.0 WHEN 'opening' THEN 2.6 WHEN 'double' THEN 2.25 ELSE 2.1 END, coalesce(ceiling_m, 3.2) - 0.12), 3)::DOUBLE AS head_m
+    FROM openings o JOIN units u USING (building_id, unit_id) JOIN levels l USING (building_id, ordinal),
+    LATERAL (SELECT CASE WHEN kind = 'entrance' THEN 'double' WHEN category = 'retail' THEN 'storefront' WHEN category = 'room' THEN 'opening' ELSE 'door' END AS st)
+    WHERE category NOT IN ('corridor','lobby','outside')"""))
+def _(s):
+    w = scene3d.merged_walls(s.units, s.footprints, s.levels)
+    return scene3d.wall_holes(s.openings, s.units, s.occupants, s.levels, w).select(
+        *FLOOR, "opening_id", "style", r3("at_m", "at_m"), r3("width", "width_m"), r3("head_m", "head_m"))
+
+
+@query("scene_prisms", o.sql(
+    """SELECT building_id, ordinal, 'slab' AS prism, unit_id AS id, 0::DOUBLE AS base_m, 0.15::DOUBLE AS top_m FROM units WHERE category IN ('corridor','lobby')
+    UNION ALL SELECT building_id, ordinal, 'structure', structure_id, least(coalesce(base_m, 0), t), t FROM (SELECT s.*, least(coalesce(height_m, 1e9), coalesce(ceiling_m, 3.2))::DOUBLE AS t FROM structures s JOIN levels USING (building_id, ordinal))
+    UNION ALL SELECT building_id, ordinal, 'fixture', fixture_id, 0, h FROM (SELECT *, CASE kind WHEN 'slot' THEN 1.6 WHEN 'bar' THEN 1.1 WHEN 'counter' THEN 1.1 WHEN 'stage' THEN 0.6 WHEN 'planter' THEN 0.5 WHEN 'seating' THEN 0.45
+      WHEN 'car' THEN 1.4 WHEN 'parking' THEN 0 WHEN 'unknown' THEN 0.8 ELSE 0.9 END::DOUBLE AS h FROM fixtures) WHERE h > 0"""))
+def _(s):
+    return scene3d.prisms(s.units, s.structures, s.fixtures, s.levels).select(*FLOOR, "prism", "id", "base_m", "top_m")
+
+
+@query("camera_poses", o.sql(
+    f"""SELECT building_id, camera_id, greatest(0.1, least(coalesce(mount, least(greatest(4, c - 0.6), 7)), c - 0.1))::DOUBLE AS mount_m, coalesce(tilt, 0)::DOUBLE AS tilt_deg,
+    round(2 * atan(tan(least(greatest(fov, 1), 179) * {o.PI} / 360) * 0.5625) * 180 / {o.PI}, 3) AS vfov_deg, c + 0.45 AS storey_m
+    FROM (SELECT x.*, coalesce(ceiling_m, 3.2)::DOUBLE AS c FROM cameras x JOIN levels USING (building_id, ordinal))"""))
+def _(s):
+    return scene3d.camera_poses(s.cameras, s.levels).select("building_id", "camera_id", "mount_m", "tilt_deg", r3("vfov_deg", "vfov_deg"), "storey_m")
+
+
+@query("scene_voids", o.sql(
+    """SELECT building_id, CAST(ordinal - k AS INTEGER) AS ordinal, CASE k WHEN 0 THEN 'plate' ELSE 'ceiling' END AS surface FROM floors, range(2) t(k) WHERE ordinal > 0 AND building_id % 2 = 0"""))
+def _(s):
+    return scene3d.voids(s.voids).select(*FLOOR, "surface")
+
+
+# -- sources and sinks -----------------------------------------------------
+
+
+def geo_features(s):
+    return geojson.features(s.buildings, s.units, s.openings, s.verticals, s.cameras, s.occupants)
+
+
+def whole_documents(lines: DataFrame) -> DataFrame:
+    """Documents as single cells, for reading back in one query."""
+    return lines.groupBy("building_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "pos", "line"))), lambda v: v["line"]), "\n").alias("text")
+    ).withColumnRenamed("building_id", "file_id")
+
+
+@query("geojson_features", o.sql(
+    """SELECT building_id, section, count(*) AS features FROM (SELECT building_id, 0 AS section FROM units UNION ALL SELECT building_id, 1 FROM openings
+    UNION ALL SELECT building_id, 2 FROM verticals UNION ALL SELECT building_id, 3 FROM cameras UNION ALL SELECT building_id, 4 FROM occupants) GROUP BY ALL"""))
+def _(s):
+    return geo_features(s).where("feature is not null").groupBy("building_id", "section").agg(F.count("*").alias("features"))
+
+
+@query("geojson_round_trip", o.sql(
+    """SELECT building_id, unit_id, ordinal, name, category, round(x0, 3) AS x0, round(y1, 3) AS y1 FROM units"""))
+def _(s):
+    lines = geojson.document_lines(geo_features(s), s.buildings, s.levels, s.verticals)
+    b = g.bbox(F.col("polygon"))
+    return geojson.read_documents(whole_documents(lines))["units"].select(
+        F.col("file_id").alias("building_id"), "unit_id", "ordinal", "name", "category", (r3(b["x0"]) + 0.0).alias("x0"), (r3(b["y1"]) + 0.0).alias("y1"))
+
+
+@query("archive_counts", o.sql(
+    """SELECT 'venue' AS t, count(*) AS n FROM buildings UNION ALL SELECT 'building', count(*) FROM buildings UNION ALL SELECT 'level', count(*) FROM floors
+    UNION ALL SELECT 'unit', count(*) FROM units UNION ALL SELECT 'opening', count(*) FROM openings UNION ALL SELECT 'anchor', count(*) FROM occupants UNION ALL SELECT 'occupant', count(*) FROM occupants
+    UNION ALL SELECT 'camera', count(*) FROM cameras UNION ALL SELECT 'structure', count(*) FROM structures UNION ALL SELECT 'manifest', count(*) FROM buildings
+    UNION ALL SELECT 'zone', count(*) FROM (SELECT DISTINCT building_id, coalesce(security, 'public') FROM units)"""))
+def _(s):
+    t = geojson.archive(s.buildings, s.levels, s.units, s.openings, s.occupants, s.cameras, s.structures, s.verticals)
+    rows = None
+    for n, d in t.items():
+        one = d.where("feature is not null").select(F.lit(n).alias("t"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("t").agg(F.count("*").alias("n"))
+
+
+@query("extents", o.sql(
+    "SELECT building_id, ordinal, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM units GROUP BY ALL"))
+def _(s):
+    return geojson.extents(s.units, s.levels)["level"].drop("name")
+
+
+@query("building_files", o.sql(
+    """SELECT building_id, ordinal, unit_id, CAST(row_number() OVER (PARTITION BY building_id ORDER BY pos) - 1 AS INTEGER) AS pos, name, category, security FROM units"""))
+def _(s):
+    files = building_file.building_rows(s.units, s.levels, s.openings, s.verticals, s.cameras, s.occupants, s.buildings)
+    parsed = building_file.parse_files(files.withColumnRenamed("building_id", "file_id"))
+    return building_file.units_table(parsed).drop("polygon")
+
+
+@query("saved_or_pristine", o.sql(
+    """SELECT 'b' || building_id AS property_id, CASE WHEN building_id % 3 = 0 AND building_id % 2 = 0 AND building_id % 4 = 0 THEN 'saved'
+      WHEN building_id % 3 <> 0 AND building_id % 2 = 0 THEN 'saved' ELSE 'pristine' END AS origin FROM buildings"""))
+def _(s):
+    b = s.buildings.withColumn("property_id", F.concat(F.lit("b"), "building_id"))
+    pristine = b.select("property_id", "rev", F.lit("p").alias("doc"))
+    saved = b.select("property_id", (F.col("building_id") % 2 == 0).alias("ok"), F.when(F.col("building_id") % 4 == 0, 2).otherwise(1).alias("rev"), F.lit("s").alias("doc"))
+    return building_file.saved_or_pristine(saved, pristine).select("property_id", "origin")
+
+
+@query("property_slugs", o.sql(
+    """SELECT c_custkey AS seq, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS id FROM (
+      SELECT c_custkey, lower(c_mktsegment) AS s, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer)"""))
+def _(s):
+    names = s.customer_names
+    none = names.where("false").select(F.col("name").alias("id"))
+    return building_file.new_property_ids(names, none).select("seq", "id")
+
+
+@query("schedule_rows", o.sql(
+    """SELECT k AS file_id, c_name AS name, CAST(k + 1 AS INTEGER) AS op_number, round((k % 12 + 1) / 3.28084, 3) AS mount_m,
+    k % 3 = 0 AS rated FROM (SELECT c_custkey AS k, c_name FROM customer)"""))
+def _(s):
+    got = schedule.parse_schedules(s.schedule_files)["rows"]
+    return got.select(F.col("file_id").cast("bigint").alias("file_id"), "name", "op_number", r3("mount_m", "mount_m"), F.col("spec").isNotNull().alias("rated"))
+
+
+@query("schedule_upsert", o.sql(
+    """SELECT building_id, count(*) AS cameras, count(*) FILTER (name LIKE 'New%') AS created FROM (
+      SELECT building_id, name FROM cameras UNION ALL SELECT DISTINCT building_id, 'New ' || pos FROM cameras WHERE pos % 5 = 0) GROUP BY ALL"""))
+def _(s):
+    old = s.cameras.where("pos % 2 = 0").select("building_id", F.col("pos").alias("seq"), "name", F.lit("axis p3265-lve mk ii").alias("model"))
+    new = s.cameras.where("pos % 5 = 0").select("building_id", (F.col("pos") + 10_000_000).alias("seq"), F.concat(F.lit("New "), "pos").alias("name"), F.lit(None).cast("string").alias("model"))
+    none = lambda t: F.lit(None).cast(t)
+    rows = old.unionByName(new).select(
+        "building_id", "seq", "name", "model", catalogue.resolve_model(F.col("model")).alias("spec"), none("int").alias("op_number"),
+        none("double").alias("x"), none("double").alias("y"), none("double").alias("mount_m"), none("string").alias("ip_address"),
+        none("string").alias("serial"), none("string").alias("stream_ref"), none("string").alias("notes"))
+    return schedule.upsert(s.cameras, rows, s.units)["cameras"].groupBy("building_id").agg(
+        F.count("*").alias("cameras"), F.count_if(F.col("name").startswith("New")).alias("created"))
+
+
+def _blocks(s):
+    none = lambda t: F.lit(None).cast(t)
+    return s.cad_entities.where("block is not null").select("file_id", "block").distinct().select(
+        "file_id", "block", g.pt(0, 0).alias("base"), F.lit("LINE").alias("b_type"), F.lit("X-BLOCK").alias("b_layer"),
+        F.array(g.pt(0, 0), g.pt(500, 0)).alias("b_vertices"), F.lit(False).alias("b_closed"), none(g.POINT).alias("b_center"),
+        none("double").alias("b_radius"), none("double").alias("b_start_angle"), none("double").alias("b_end_angle")).where("block != 'B2'")
+
+
+@query("cad_layers", o.sql(
+    """SELECT file_id, layer, count(*) AS entities FROM (
+      SELECT l_orderkey // 400 AS file_id, CASE WHEN t = 'INSERT' THEN 'X-BLOCK' WHEN l_linenumber % 4 = 0 THEN 'A-DOOR' ELSE l_returnflag END AS layer
+      FROM (SELECT *, ['LINE','LWPOLYLINE','CIRCLE','ARC','SPLINE','INSERT'][(l_orderkey + l_linenumber) % 6 + 1] AS t FROM lineitem)
+      WHERE t <> 'SPLINE' AND NOT (t = 'INSERT' AND l_linenumber % 3 = 2)) GROUP BY ALL"""))
+def _(s):
+    out = cad.normalise(s.cad_entities, _blocks(s), cad.unit_factor(F.lit(4)))
+    return out["layers"].select("file_id", "layer", "entities")
+
+
+@query("cad_skips", o.sql(
+    """SELECT file_id, t AS type, count(*) AS skipped FROM (
+      SELECT l_orderkey // 400 AS file_id, l_linenumber, ['LINE','LWPOLYLINE','CIRCLE','ARC','SPLINE','INSERT'][(l_orderkey + l_linenumber) % 6 + 1] AS t FROM lineitem)
+    WHERE t = 'SPLINE' OR (t = 'INSERT' AND l_linenumber % 3 = 2) GROUP BY ALL"""))
+def _(s):
+    return cad.normalise(s.cad_entities, _blocks(s), cad.unit_factor(F.lit(4)))["skips"]
+
+
+@query("cad_shapes")
+def _(s):
+    out = cad.normalise(s.cad_entities, _blocks(s), cad.unit_factor(F.lit(4)))["shapes"]
+    return out.groupBy("file_id", "layer").agg(F.count("*").alias("shapes"), F.round(F.sum(g.polygon_area(F.col("polygon"))), 1).alias("area_m2"))
+
+
+@query("svg_rooms", o.sql("SELECT building_id, unit_id AS name, x0, y0, x1, y1 FROM units"))
+def _(s):
+    b = g.bbox(F.col("polygon"))
+    el = s.units.select(
+        F.col("building_id").alias("file_id"), "pos",
+        F.when(
+            F.col("pos") % 2 == 0,
+            F.concat(F.lit('<rect id="'), "unit_id", F.lit('" x="'), b["x0"], F.lit('" y="'), -b["y1"], F.lit('" width="'), b["x1"] - b["x0"], F.lit('" height="'), b["y1"] - b["y0"], F.lit('"/>')),
+        ).otherwise(
+            F.concat(F.lit('<path data-name="'), "unit_id", F.lit('" d="M '), b["x0"], F.lit(" "), -b["y1"], F.lit(" h "), b["x1"] - b["x0"], F.lit(" v "), b["y1"] - b["y0"],
+                     F.lit(" L "), b["x0"], F.lit(" "), -b["y0"], F.lit(' Z"/>'))
+        ).alias("el"))
+    files = el.groupBy("file_id").agg(F.concat(F.lit("<svg>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "el"))), lambda v: v["el"]), "\n"), F.lit("</svg>")).alias("text"))
+    p = g.bbox(F.col("points"))
+    return svg.shapes(files).select(
+        F.col("file_id").alias("building_id"), "name", p["x0"].alias("x0"), (-p["y1"] + 0.0).alias("y0"), p["x1"].alias("x1"), (-p["y0"] + 0.0).alias("y1"))
+
+
+@query("security_report")
+def _(s):
+    rings = cut(scene_rings(s))
+    c = cov.coverage(s.units, s.footprints, rings)
+    r = cov.blind_regions(s.units, s.footprints, rings)
+    return report.report_lines(s.levels, s.units, s.cameras, c, r, "2024-06-01T00:00:00Z")
+
+
+@query("map_units", o.sql(
+    """SELECT u.building_id, u.unit_id, CASE WHEN category = 'corridor' THEN 'circ' WHEN category IN ('stairs','elevator') THEN 'core' WHEN category = 'outside' THEN 'outside' ELSE 'gaming' END AS func,
+    coalesce(names, '') AS occupant, coalesce(security, 'public') AS security, round(lng0 + x0 / (111320 * cos(radians(lat0))), 6) AS lng, round(lat0 + y0 / 111320, 6) AS lat
+    FROM units u JOIN buildings b USING (building_id) LEFT JOIN (SELECT building_id, unit_id, string_agg(name, ' ' ORDER BY pos) AS names FROM occupants GROUP BY ALL) n USING (building_id, unit_id)"""))
+def _(s):
+    m = report.map_units(s.buildings, s.units, s.levels, s.occupants)
+    p = F.get("ring", F.lit(0))
+    return m.select("building_id", "unit_id", "func", "occupant", "security", F.round(F.get(p, F.lit(0)), 6).alias("lng"), F.round(F.get(p, F.lit(1)), 6).alias("lat"))
+
+
+@query("model_ranges", o.sql(
+    f"SELECT camera_id, round(least(60, floor({PX.format(d='1')} / 62 * 10 + 0.5) / 10), 3)::DOUBLE AS range_m FROM cameras WHERE mp IS NOT NULL"))
+def _(s):
+    return s.cameras.where("resolution_mp is not null").select(
+        "camera_id", r3(optics.model_range_m(F.col("kind"), F.col("fov_deg"), F.col("resolution_mp")), "range_m"))
