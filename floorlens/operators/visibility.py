@@ -17,6 +17,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as g, optics
+from ..session import cut
 from .spatial import FLOOR, box_join
 from .walls import distinct_segments, floor_stats
 
@@ -191,9 +192,10 @@ def _wall_items(local: DataFrame) -> DataFrame:
 
 
 def _bucket_hits(cameras: DataFrame, walls: DataFrame) -> DataFrame:
-    """Per (camera, bucket): its rays, each with the distance where it stops."""
-    segments = distinct_segments(walls)
-    cams = poses(cameras, floor_stats(segments))
+    """Per (camera, bucket): its rays, each with the distance where it stops.
+    Wall segments and poses are materialised, since both are read twice."""
+    segments = cut(distinct_segments(walls))
+    cams = cut(poses(cameras, floor_stats(segments)))
     c = F.col("cam")
 
     def stop(r):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as g, labels
 from ..operators.spatial import FLOOR
-from ..operators.places import first_corridors
+from ..session import cut
 
 VERTICAL_COST = 6.0
 
@@ -18,22 +18,28 @@ def is_step_free(name, cat_a, cat_b):
     return ~by_name & ~stairs
 
 
-def _unit_nodes(units: DataFrame) -> DataFrame:
-    return units.where(~labels.is_non_routable(F.col("security"))).select(
-        *FLOOR,
-        F.col("unit_id").alias("node"),
-        g.polygon_centroid(F.col("polygon")).alias("xy"),
-        F.lit("unit").alias("kind"),
-        "name",
-        "category",
+def _places(units: DataFrame) -> DataFrame:
+    """Units reduced to what the graph needs, centroids worked out once."""
+    return cut(
+        units.select(
+            *FLOOR, "unit_id", "pos", "name", "category", "security",
+            g.polygon_centroid(F.col("polygon")).alias("xy"),
+        )
+    )
+
+
+def _unit_nodes(spots: DataFrame) -> DataFrame:
+    return spots.where(~labels.is_non_routable(F.col("security"))).select(
+        *FLOOR, F.col("unit_id").alias("node"), "xy", F.lit("unit").alias("kind"), "name", "category"
     )
 
 
-def _door_links(units: DataFrame, openings: DataFrame) -> DataFrame:
-    """Openings with their owner and hub (NULL hub: nothing to connect to)."""
-    own = units.select(
-        *FLOOR, "unit_id", "category", "security",
-        g.polygon_centroid(F.col("polygon")).alias("owner_xy"), F.lit(True).alias("known"),
+def _door_links(spots: DataFrame, openings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Openings with their owner and hub (NULL hub: nothing to connect to):
+    doors lead to the floor's first corridor, entrances to the nearest
+    outside unit."""
+    own = spots.select(
+        *FLOOR, "unit_id", "category", "security", F.col("xy").alias("owner_xy"), F.lit(True).alias("known")
     )
     op = openings.select(
         "building_id", "opening_id", "pos", "unit_id", "at",
@@ -42,17 +48,12 @@ def _door_links(units: DataFrame, openings: DataFrame) -> DataFrame:
     live = op.where("known and coalesce(security, '') != 'restricted'").where(
         "is_entrance or category != 'outside'"
     )
-    hall = first_corridors(units).select(
-        *FLOOR, F.struct(F.col("hall.unit_id").alias("unit_id"),
-                         g.polygon_centroid(F.col("hall.polygon")).alias("xy"),
-                         F.col("hall.security").alias("security")).alias("hub"),
+    hub = F.struct("unit_id", "xy", "security")
+    hall = (
+        spots.where("category = 'corridor'").groupBy(*FLOOR).agg(F.min_by(hub, "pos").alias("hub"))
     )
     doors = live.where("not is_entrance").join(hall, FLOOR, "left")
-    yards = units.where("category = 'outside'").select(
-        *FLOOR, F.col("pos").alias("hub_pos"),
-        F.struct(F.col("unit_id").alias("unit_id"), g.polygon_centroid(F.col("polygon")).alias("xy"),
-                 F.col("security").alias("security")).alias("hub"),
-    )
+    yards = spots.where("category = 'outside'").select(*FLOOR, F.col("pos").alias("hub_pos"), hub.alias("hub"))
     entries = live.where("is_entrance")
     nearest = (
         entries.join(yards, FLOOR)
@@ -60,13 +61,15 @@ def _door_links(units: DataFrame, openings: DataFrame) -> DataFrame:
         .agg(F.min_by("hub", F.struct(g.dist(F.col("at"), F.col("hub.xy")), "hub_pos")).alias("hub"))
     )
     entries = entries.join(nearest, ["building_id", "opening_id"], "left")
-    return doors.unionByName(entries), op
+    return cut(doors.unionByName(entries)), op
 
 
 def nav_graph(units, openings, verticals, step_free: bool = False) -> dict[str, DataFrame]:
-    """nodes(node, xy, kind, name, category), undirected links (one row per
-    link: a, b, w, via opening) and the buildings that cannot be routed."""
-    links, op = _door_links(units, openings)
+    """nodes(node, xy, kind, name, category), doors (owner - door - hub with
+    both lengths), usable verticals, and the buildings that cannot be routed.
+    The tables are materialised: every later step reads them several times."""
+    spots = _places(units)
+    links, op = _door_links(spots, openings)
     ok = F.col("hub").isNotNull() & (F.coalesce("hub.security", F.lit("")) != "restricted")
     door_id = F.concat(F.when(F.col("is_entrance"), "entrance:").otherwise("door:"), "opening_id")
     good = links.where(ok).select(
@@ -81,7 +84,7 @@ def nav_graph(units, openings, verticals, step_free: bool = False) -> dict[str,
         F.when(F.col("is_entrance"), "entrance").otherwise("door").alias("kind"),
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("category"),
     )
-    end = lambda s: units.select(
+    end = lambda s: spots.select(
         "building_id", F.col("unit_id").alias(f"unit_{s}"),
         F.struct("category", "security").alias(s),
     )
@@ -113,10 +116,10 @@ def nav_graph(units, openings, verticals, step_free: bool = False) -> dict[str,
         .distinct()
     )
     return {
-        "nodes": _unit_nodes(units).unionByName(door_nodes),
+        "nodes": _unit_nodes(spots).unionByName(door_nodes),
         "doors": good,
-        "verticals": rise.select("building_id", "unit_a", "unit_b", "name", "pos"),
-        "errors": errors,
+        "verticals": cut(rise.select("building_id", "unit_a", "unit_b", "name", "pos")),
+        "errors": cut(errors),
     }
 
 
@@ -148,7 +151,7 @@ def hops(graph: dict[str, DataFrame]) -> DataFrame:
     )
     one = via.unionByName(rise)
     back = one.select("building_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w", "via")
-    return (
+    return cut(
         one.unionByName(back)
         .where("src != dst")
         .groupBy("building_id", "src", "dst")
@@ -161,7 +164,7 @@ def reachable_units(graph: dict[str, DataFrame], units: DataFrame) -> DataFrame:
     """Routable indoor units with whether an entrance reaches them."""
     from ..operators.coverage import components
 
-    nodes = _unit_nodes(units).select("building_id", "node")
+    nodes = graph["nodes"].where("kind = 'unit'").select("building_id", "node")
     h = hops(graph).select("building_id", F.col("src").alias("a"), F.col("dst").alias("b"))
     label = components(nodes, h, ["building_id"])
     seeds = (

@@ -32,7 +32,7 @@ def _best(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _through(graph: dict[str, DataFrame]) -> DataFrame:
     """Hops between nodes with more than one neighbour."""
-    h = hops(graph)
+    h = graph["hops"]
     busy = h.groupBy("building_id", "src").count().where("count > 1").select("building_id", F.col("src").alias("dst"))
     return h.join(busy, ["building_id", "dst"], "left_semi")
 
@@ -80,6 +80,7 @@ def routes(
     """(request_id, building_id, start_id, goal_id, cost, path); cost and path
     are NULL where there is no route or the building's graph is broken."""
     graph = nav_graph(units, openings, verticals, step_free)
+    graph["hops"] = hops(graph)
     node = graph["nodes"].where("kind = 'unit'").select("building_id", "node")
     has = lambda c: node.withColumnRenamed("node", c)
     live = (
@@ -95,7 +96,7 @@ def routes(
         best.join(goal, REQ)
         .where("node != goal_id")
         .join(
-            hops(graph).select("building_id", F.col("src").alias("node"), F.col("dst").alias("goal_id"), "w", "via"),
+            graph["hops"].select("building_id", F.col("src").alias("node"), F.col("dst").alias("goal_id"), "w", "via"),
             ["building_id", "node", "goal_id"],
         )
         .where(~F.array_contains("path", F.col("goal_id")))
@@ -110,6 +111,7 @@ def egress(
 ) -> DataFrame:
     """Cheapest entrance of the building from each start."""
     graph = nav_graph(units, openings, verticals, step_free)
+    graph["hops"] = hops(graph)
     node = graph["nodes"].where("kind = 'unit'").select("building_id", F.col("node").alias("start_id"))
     live = (
         requests.join(graph["errors"].select("building_id").distinct(), "building_id", "left_anti")
@@ -123,7 +125,7 @@ def egress(
         .unionByName(doors.select("building_id", F.col("hub").alias("node"), "door", "opening_pos", F.col("w_hub").alias("w")))
     )
     # Dead-end owners are not through nodes: reach them by one more hop.
-    near = hops(graph).select("building_id", F.col("src").alias("node"), F.col("dst").alias("owner"), F.col("w").alias("hop"), "via")
+    near = graph["hops"].select("building_id", F.col("src").alias("node"), F.col("dst").alias("owner"), F.col("w").alias("hop"), "via")
     ends = exits.select("building_id", F.col("node").alias("owner"), "door", "opening_pos", "w")
     two = (
         near.join(ends, ["building_id", "owner"])

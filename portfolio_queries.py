@@ -31,9 +31,18 @@ class Portfolio:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._tables:
-            self._tables[name] = stored(getattr(self._scene, name), name)
+            self._tables[name] = stored(self._derive(name), name)
         return self._tables[name]
 
+    def _derive(self, name):
+        if name == "wall_segments":
+            return walls(self.units, self.footprints, self.structures)
+        if name == "rings":
+            return visibility(self.cameras, self.wall_segments)
+        if name == "found_routes":
+            return routes.routes(self.routes, self.units, self.openings, self.verticals)
+        return getattr(self._scene, name)
+
 
 _PORTFOLIOS: dict = {}
 
@@ -61,12 +70,12 @@ def r3(c, name=None):
     return out.alias(name) if name else out
 
 
-def scene_walls(s: Scene) -> DataFrame:
-    return walls(s.units, s.footprints, s.structures)
+def scene_walls(s: Portfolio) -> DataFrame:
+    return s.wall_segments
 
 
-def scene_rings(s: Scene) -> DataFrame:
-    return visibility(s.cameras, scene_walls(s))
+def scene_rings(s: Portfolio) -> DataFrame:
+    return s.rings
 
 
 # -- walls, visibility, probes --------------------------------------------
@@ -74,7 +83,7 @@ def scene_rings(s: Scene) -> DataFrame:
 
 @query("walls", o.sql("SELECT building_id, ordinal, source, source_id, CAST(pos AS INTEGER) AS pos, ax AS x1, ay AS y1, bx AS x2, by AS y2 FROM walls", o.WALLS))
 def _(s):
-    return scene_walls(s).select(
+    return walls(s.units, s.footprints, s.structures).select(
         *FLOOR, "source", "source_id", "pos", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"),
         F.col("b.x").alias("x2"), F.col("b.y").alias("y2"),
     )
@@ -86,7 +95,7 @@ def _(s):
     FROM redges GROUP BY ALL""", o.WALLS, o.RINGS))
 def _(s):
     b = g.bbox(F.col("ring"))
-    return scene_rings(s).select(
+    return visibility(s.cameras, s.wall_segments).select(
         "building_id", "ordinal", "camera_id", F.size("ring").cast("bigint").alias("vertices"),
         F.round(g.polygon_area(F.col("ring")), 2).alias("area_m2"),
         *[r3(b[k], k) for k in ("x0", "y0", "x1", "y1")],
@@ -637,8 +646,8 @@ best AS (SELECT request_id, arg_min(cost, (round(cost, 6), path)) AS cost, arg_m
 """
 
 
-def found_routes(s: Scene) -> DataFrame:
-    return routes.routes(s.routes, s.units, s.openings, s.verticals)
+def found_routes(s: Portfolio) -> DataFrame:
+    return s.found_routes
 
 
 @query("nav_edges", o.sql(
@@ -658,7 +667,7 @@ def _(s):
 @query("routes", o.sql(
     "SELECT request_id, building_id, start_id, goal_id, round(cost, 3) AS cost, path FROM routes LEFT JOIN best USING (request_id)", GRAPH, WALK))
 def _(s):
-    return found_routes(s).select("request_id", "building_id", "start_id", "goal_id", r3("cost", "cost"), F.concat_ws(">", "path").alias("path")).withColumn(
+    return routes.routes(s.routes, s.units, s.openings, s.verticals).select("request_id", "building_id", "start_id", "goal_id", r3("cost", "cost"), F.concat_ws(">", "path").alias("path")).withColumn(
         "path", F.when(F.col("cost").isNotNull(), F.col("path")))
 
 
@@ -681,13 +690,13 @@ def _(s):
 
 @query("route_totals")
 def _(s):
-    gm = routes.route_geometry(cut(found_routes(s)), s.units, s.openings, s.verticals, scene_walls(s))
+    gm = routes.route_geometry(found_routes(s), s.units, s.openings, s.verticals, scene_walls(s))
     return gm["totals"].select("request_id", "building_id", r3("metres", "metres"), F.concat_ws(">", F.transform("floors", lambda f: f.cast("string"))).alias("floors"), "eta_min")
 
 
 @query("route_lines")
 def _(s):
-    gm = routes.route_geometry(cut(found_routes(s)), s.units, s.openings, s.verticals, scene_walls(s))
+    gm = routes.route_geometry(found_routes(s), s.units, s.openings, s.verticals, scene_walls(s))
     return gm["lines"].select("request_id", "building_id", "run", "ordinal", r3("metres", "metres"), F.size("line").alias("points"))
 
 
@@ -698,13 +707,13 @@ def _(s):
     q AS (SELECT p.*, coalesce(u.ordinal, d.ordinal) AS ordinal FROM p LEFT JOIN units u ON u.building_id = p.building_id AND u.unit_id = p.node LEFT JOIN door d ON d.building_id = p.building_id AND d.door = p.node),
     z AS (SELECT *, lag(ordinal) OVER w AS b, lead(ordinal) OVER w AS a FROM q WINDOW w AS (PARTITION BY request_id ORDER BY i))"""))
 def _(s):
-    gm = routes.route_geometry(cut(found_routes(s)), s.units, s.openings, s.verticals, scene_walls(s))
+    gm = routes.route_geometry(found_routes(s), s.units, s.openings, s.verticals, scene_walls(s))
     return gm["points"].select("request_id", "building_id", "ordinal", "node", "kind")
 
 
 @query("route_steps")
 def _(s):
-    return directions.route_steps(cut(found_routes(s)), s.units, s.openings, s.verticals, s.levels).select(
+    return directions.route_steps(found_routes(s), s.units, s.openings, s.verticals, s.levels).select(
         "request_id", "building_id", "step", "ordinal", "text")
 
 
@@ -1060,7 +1069,7 @@ def _(s):
 
 @query("security_report")
 def _(s):
-    rings = cut(scene_rings(s))
+    rings = scene_rings(s)
     c = cov.coverage(s.units, s.footprints, rings)
     r = cov.blind_regions(s.units, s.footprints, rings)
     return report.report_lines(s.levels, s.units, s.cameras, c, r, "2024-06-01T00:00:00Z")
