@@ -41,8 +41,8 @@ def rank_fixes(fixes: DataFrame, cameras: DataFrame, rings: DataFrame, sink: Cal
 
 def follow_subjects(ranked: DataFrame, subject: str = "subject", late: str = LATE) -> DataFrame:
     """Sticky camera per subject over a stream of (subject, ts, probe_id, cams)
-    with cams best first. State is the camera id and the newest time seen; a
-    subject silent for an hour starts afresh."""
+    with cams best first. State is the camera id; a subject
+    silent for an hour of event time starts afresh."""
     kind = ranked.schema[subject].dataType.simpleString()
     out = f"{subject} {kind}, ts timestamp, probe_id bigint, camera_id string"
 
@@ -51,7 +51,9 @@ def follow_subjects(ranked: DataFrame, subject: str = "subject", late: str = LAT
             state.remove()
             return
         current = state.get[0] if state.exists else None
+        newest = 0
         for pdf in batches:
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
             pdf = pdf.sort_values(["ts", "probe_id"])
             picked = []
             for cams in pdf["cams"]:
@@ -60,11 +62,11 @@ def follow_subjects(ranked: DataFrame, subject: str = "subject", late: str = LAT
                 picked.append(now)
             yield pdf[[subject, "ts", "probe_id"]].assign(camera_id=picked)
         state.update((current,))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(newest + 3_600_000)
 
     return (
         ranked.withWatermark("ts", late).groupBy(subject)
-        .applyInPandasWithState(update, out, "camera string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(update, out, "camera string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

@@ -153,7 +153,6 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "subject bigint, t string, probe_id bigint, cams array<string>").select("subject", F.to_timestamp("t").alias("ts"), "probe_id", "cams")
     df.write.parquet(str(src))
     q = (live.follow_subjects(live.fix_stream(spark, str(src), df.schema)).writeStream.format("memory").queryName("follow")
-         .option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start())
-    q.processAllAvailable()
-    q.stop()
+         .option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start())
+    assert q.awaitTermination(60)
     assert {r.probe_id: r.camera_id for r in spark.table("follow").collect()} == {0: "a", 1: "a", 2: "b", 3: None}

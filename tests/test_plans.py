@@ -38,7 +38,7 @@ def test_route_and_directions(spark):
     w = walls(u, footprints(spark, [rect(0, 0, 30, 14)]), structures(spark, [(rect(90, 90, 91, 91), None)]))
     gm = routes.route_geometry(r, u, o, none(spark), w)
     t = gm["totals"].first()
-    assert t.metres == pytest.approx(5 + 20 + 5) and t.floors == [0] and t.eta_min == 1
+    assert t.metres == pytest.approx(10 + 2 * 104**0.5) and t.floors == [0] and t.eta_min == 1
     assert {p.kind for p in gm["points"].collect()} == {"start", "end"}
 
 
