@@ -442,19 +442,19 @@ def _(s):
 
 @query("duplicate_cameras", o.sql(
     """SELECT DISTINCT a.building_id, a.ordinal, a.camera_id AS candidate_id FROM cameras a JOIN cameras b USING (building_id, ordinal)
-    WHERE a.pos > b.pos AND sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)) <= 4
-    AND least((a.heading - b.heading + 720) % 360, (b.heading - a.heading + 720) % 360) <= 50"""))
+    WHERE a.pos > b.pos AND sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)) <= 12
+    AND least((a.heading - b.heading + 720) % 360, (b.heading - a.heading + 720) % 360) <= 90"""))
 def _(s):
     later = s.cameras.select(*FLOOR, F.col("camera_id").alias("candidate_id"), F.col("pos").alias("new_pos"), "at", "heading")
     old = s.cameras.select(*FLOOR, F.col("pos").alias("old_pos"), F.col("at").alias("old_at"), F.col("heading").alias("old_heading"), F.struct(
-        (F.col("at.x") - 4).alias("x0"), (F.col("at.y") - 4).alias("y0"), (F.col("at.x") + 4).alias("x1"), (F.col("at.y") + 4).alias("y1")).alias("box"))
+        (F.col("at.x") - 12).alias("x0"), (F.col("at.y") - 12).alias("y0"), (F.col("at.x") + 12).alias("x1"), (F.col("at.y") + 12).alias("y1")).alias("box"))
     from floorlens.operators.spatial import points_in_boxes
 
     return (
         points_in_boxes(later, old, "candidate_id")
         .where("new_pos > old_pos")
-        .where(g.dist(F.col("at"), F.col("old_at")) <= 4)
-        .where(places.heading_gap(F.col("heading"), F.col("old_heading")) <= 50)
+        .where(g.dist(F.col("at"), F.col("old_at")) <= 12)
+        .where(places.heading_gap(F.col("heading"), F.col("old_heading")) <= 90)
         .select(*FLOOR, "candidate_id").distinct()
     )
 
