@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe
+from . import byte_bpe, decontaminate, near_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +29,52 @@ def query(name, sql=None):
 def op2_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.digests(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+
+
+@query(
+    "op4_near_dedup",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i : i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w),
+x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT a AS doc_id, a AS other FROM p UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.other),
+c AS (SELECT doc_id, min(other) AS least FROM r GROUP BY 1)
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(least, s.doc_id) AS component_id,
+       coalesce(least, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c USING (doc_id)
+""",
+)
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_decontaminate",
+    r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+       FROM benchmark, low),
+win AS (SELECT DISTINCT item_id, least(len(words), 10) AS n,
+               array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS g
+        FROM iw, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS t(i) WHERE len(words) > 0),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+       FROM documents, low),
+occ AS (SELECT doc_id, i, k.n, array_to_string(words[i : i + k.n - 1], ' ') AS g
+        FROM dw, (SELECT DISTINCT n FROM win) AS k, unnest(range(1, len(words) - k.n + 2)) AS t(i)),
+hit AS (SELECT doc_id, i, win.n, item_id FROM occ JOIN win USING (n, g)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(p) GROUP BY 1),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+               string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+)
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
