@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, near_dedup, suffix_dedup
+from . import byte_bpe, class_lm, decontaminate, near_dedup, suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op7_decontaminate(spark, sf_dir):
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op9_class_lm")
+def op9_class_lm(spark, sf_dir):
+    return class_lm.score(table(spark, sf_dir, "documents")).drop("perplexity")
