@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, class_lm, decontaminate, near_dedup, suffix_dedup
+from . import byte_bpe, class_lm, crf_language, decontaminate, near_dedup, suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op3_suffix_dedup(spark, sf_dir):
 @query("op9_class_lm")
 def op9_class_lm(spark, sf_dir):
     return class_lm.score(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
+@query("op1_crf_language")
+def op1_crf_language(spark, sf_dir):
+    return crf_language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
