@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, class_lm, crf_language, decontaminate, near_dedup, suffix_dedup
+from . import byte_bpe, class_lm, crf_language, decontaminate, near_dedup, rule_quality, suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op9_class_lm(spark, sf_dir):
 @query("op1_crf_language")
 def op1_crf_language(spark, sf_dir):
     return crf_language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op5_rule_quality")
+def op5_rule_quality(spark, sf_dir):
+    return rule_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
