@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, class_lm, crf_language, decontaminate, near_dedup, rule_quality, suffix_dedup
+from . import byte_bpe, class_lm, crf_language, decontaminate, licence_scan, near_dedup, rule_quality, suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op1_crf_language(spark, sf_dir):
 @query("op5_rule_quality")
 def op5_rule_quality(spark, sf_dir):
     return rule_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_licence_digest", licence_scan.sql())
+def op10_licence_digest(spark, sf_dir):
+    return licence_scan.report(table(spark, sf_dir, "documents"))
