@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, class_lm, crf_language, decontaminate, licence_scan, near_dedup, rule_quality, suffix_dedup
+from . import byte_bpe, class_lm, crf_language, decontaminate, html_cut, licence_scan, near_dedup, rule_quality, suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,8 @@ def op5_rule_quality(spark, sf_dir):
 @query("op10_licence_digest", licence_scan.sql())
 def op10_licence_digest(spark, sf_dir):
     return licence_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_cut")
+def op6_html_cut(spark, sf_dir):
+    return html_cut.report(table(spark, sf_dir, "pages"))
