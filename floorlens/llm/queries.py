@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, class_lm, crf_language, decontaminate, html_cut, licence_scan, near_dedup, rule_quality, suffix_dedup
+from . import bm25_search, byte_bpe, class_lm, crf_language, decontaminate, html_cut, licence_scan, near_dedup, rule_quality, suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +108,9 @@ def op10_licence_digest(spark, sf_dir):
 @query("op6_html_cut")
 def op6_html_cut(spark, sf_dir):
     return html_cut.report(table(spark, sf_dir, "pages"))
+
+
+@query("op8_bm25_search")
+def op8_bm25_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bm25_search.top_k(docs, docs.where("doc_id % 50 = 0"))
