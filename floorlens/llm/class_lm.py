@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from floorlens.session import stored
-
 from .batches import raw, slices
+from .tables import stored
 from .words import SPACED, Words, mix
 
 UNITS, SUFFIXES, CLASSES, ROUNDS = 2048, 512, 64, 6
@@ -109,16 +108,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Near:
     """Frequent words by hash: their counts and units; other words' units."""
 
-    def __init__(self, rows):
-        order = np.argsort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
-        self.code = np.array([r["word"] for r in rows], np.int64).view(np.uint64)[order]
-        self.count = np.array([r["c"] for r in rows], np.int64)[order]
-        self.suffix = np.array([r["suffix"] for r in rows], np.int64)[order]
-        own = np.array([r["word"] == int(END) for r in rows], bool)
-        own[np.flatnonzero(~own)[: UNITS - SUFFIXES - 1]] = True
-        unit = np.full(len(rows), -1)
-        unit[own] = SUFFIXES + np.arange(own.sum())
-        self.unit = np.where(unit[order] >= 0, unit[order], self.suffix)
+    def __init__(self, word: np.ndarray, suffix: np.ndarray, count: np.ndarray):
+        """Words by falling count; the end, if any, is first."""
+        own = np.arange(len(word)) < UNITS - SUFFIXES
+        unit = np.where(own, SUFFIXES + np.arange(len(word)), suffix)
+        order = np.argsort(word.view(np.uint64))
+        self.code, self.count = word.view(np.uint64)[order], count[order]
+        self.suffix, self.unit = suffix[order], unit[order]
 
     def find(self, code: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of tokens in the table (-1: none) and their units. An end
@@ -215,13 +211,12 @@ def fit(training: DataFrame, counts: DataFrame) -> Model:
     """``counts``: all of the training words. A word outside the frequent ones
     counts in the class of its suffix group."""
     spark = training.sparkSession
-    rows = counts.orderBy(F.desc("c"), "word").limit(NEAR).collect()
-    ends = [] if any(r["word"] == int(END) for r in rows) else counts.where(F.col("word") == int(END)).collect()
-    near = Near([*rows[: NEAR - len(ends)], *ends])
+    rows = counts.orderBy((F.col("word") == int(END)).desc(), F.desc("c"), "word").limit(NEAR).toArrow()
+    near = Near(*(rows[x].to_numpy() for x in ("word", "suffix", "c")))
     given = spark.sparkContext.broadcast(near)
     pairs = np.zeros((UNITS, UNITS))
-    for r in unit_pairs(training, given).collect():
-        pairs[r["pair"] // UNITS, r["pair"] % UNITS] = r["c"]
+    met = unit_pairs(training, given).toArrow()
+    pairs.ravel()[met["pair"].to_numpy()] = met["c"].to_numpy()
     of = exchange(pairs, CLASSES, ROUNDS)
     table = np.zeros((CLASSES, CLASSES))
     np.add.at(table, (of[:, None], of[None, :]), pairs)
