@@ -1,30 +1,31 @@
-"""Burrows-Wheeler transform of a set of byte strings, and the common prefixes
-of its suffixes by threshold-bounded interval expansion.
+"""Burrows-Wheeler transform of a set of strings, and the common prefixes of
+their suffixes by threshold-bounded interval expansion.
 
 The suffixes are sorted by prefix doubling. Common prefix lengths then come
-out by increasing value: the interval of every single byte is extended
-backwards, breadth first, one byte a level. An interval whose right end has no
-length yet gives it the level's and goes on; one whose end is known stops
+out by increasing value: the interval of every single symbol is extended
+backwards, breadth first, one symbol a level. An interval whose right end has
+no length yet gives it the level's and goes on; one whose end is known stops
 there. Expansion stops at the minimum length, so boundaries without a length
-lie between suffixes that share at least that many bytes.
+lie between suffixes that share at least that many symbols.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+SYMBOLS = 512
 PACKED = 7  # symbols of 9 bits in the first sort key
 
 
 def suffix_order(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``text`` in suffix order, by their first ``depth`` symbols at
-    least. Symbols are bytes + 1; 0 ends a string, and ``end`` has the place of
-    each symbol's own end. Ends sort first and differ from each other."""
+    least. Symbol 0 ends a string, and ``end`` has the place of each symbol's
+    own end. Ends sort first and differ from each other."""
     n = len(text)
+    places = np.arange(n)
     key = np.zeros(n, np.int64)
     for i in range(PACKED):
-        at = np.minimum(np.arange(n) + i, end)
-        key = key << 9 | text[at]
+        key = key << 9 | text[np.minimum(places + i, end)]
     stops = np.flatnonzero(text == 0)
     order = np.argsort(key)
     done, rank = PACKED, np.empty(n, np.int64)
@@ -34,55 +35,50 @@ def suffix_order(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = np.cumsum(fresh)
         rank += len(stops)
         rank[stops] = np.arange(len(stops))
-        if done >= depth:
-            rank_order = np.argsort(rank[stops], kind="stable")
-            rest = order[text[order] != 0]
-            return np.concatenate((stops[rank_order], rest))
-        key = rank * (2 * n + 1) + rank[np.minimum(np.arange(n) + done, end)]
+        if done >= depth or fresh.all():
+            return np.concatenate((stops, order[text[order] != 0]))
+        key = rank * (2 * n + 1) + rank[np.minimum(places + done, end)]
         order = np.argsort(key)
         fresh[1:] = key[order[1:]] != key[order[:-1]]
         done *= 2
 
 
-def common_prefix_classes(strings: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, string, offset) of every place in ``strings`` with ``least``
-    bytes or more after it: places are in one class exactly if they begin with
-    the same ``least`` bytes. Rows come class by class."""
-    size = np.array([len(s) for s in strings])
+def common_prefix_classes(symbols: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, string, offset) of every place with ``least`` symbols or more
+    after it: places are in one class exactly if they begin with the same
+    ``least`` symbols. ``symbols``: all strings one after another, values 1 to
+    511; ``size``: their lengths. Rows come class by class."""
     total = int((size + 1).sum())
     starts = np.cumsum(size + 1) - size - 1
-    owner = np.repeat(np.arange(len(strings)), size + 1)
+    owner = np.repeat(np.arange(len(size)), size + 1)
     end = (starts + size)[owner]
     text = np.zeros(total, np.int64)
-    text[np.arange(total) != end] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
+    text[np.arange(total) != end] = symbols
     order = suffix_order(text, end, least)
 
     before = np.where(order == starts[owner[order]], 0, text[order - 1])  # the transform; 0: a string begins
-    by_symbol = np.argsort(before, kind="stable")
-    real = by_symbol[before[by_symbol] > 0]
-    first_of = np.searchsorted(text[order], np.arange(258))
+    real = np.argsort(before, kind="stable")
+    real = real[before[real] > 0]
+    first_of = np.searchsorted(text[order], np.arange(SYMBOLS + 1))
     back = np.full(total, -1)
-    counts = np.bincount(before, minlength=258)
-    for symbol in np.flatnonzero(counts[1:]) + 1:
-        rows = real[np.searchsorted(before[real], symbol) : np.searchsorted(before[real], symbol + 1)]
-        back[rows] = first_of[symbol] + np.arange(len(rows))
+    group = np.searchsorted(before[real], before[real])
+    back[real] = first_of[before[real]] + np.arange(len(real)) - group
     previous, following = np.full(total, -1), np.full(total, total)
     same = before[real[1:]] == before[real[:-1]]
     previous[real[1:][same]] = real[:-1][same]
     following[real[:-1][same]] = real[1:][same]
 
     known = np.zeros(total + 1, bool)  # boundaries with a common prefix below ``least``
-    low, high = np.array([0]), np.array([total])
-    symbols = [(first_of[s], first_of[s + 1]) for s in range(1, 257) if first_of[s] < first_of[s + 1]]
+    low = np.flatnonzero(np.diff(first_of[1:])) + 1
+    low, high = first_of[low], first_of[low + 1]
     for level in range(least):
-        if level == 0:
-            low, high = np.array(symbols, np.int64).reshape(-1, 2).T
-        else:
+        if level:
             width = high - low
             rows = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width - low, width)
-            opens = rows[(previous[rows] < np.repeat(low, width)) & (back[rows] >= 0)]
-            closes = rows[(following[rows] >= np.repeat(high, width)) & (back[rows] >= 0)]
-            low, high = np.sort(back[opens]), np.sort(back[closes]) + 1
+            reach = back[rows] >= 0
+            opens = reach & (previous[rows] < np.repeat(low, width))
+            closes = reach & (following[rows] >= np.repeat(high, width))
+            low, high = np.sort(back[rows[opens]]), np.sort(back[rows[closes]]) + 1
         new = ~known[high]
         low, high = low[new], high[new]
         known[high] = True

@@ -1,13 +1,18 @@
 """Near-duplicate components by min-max hashing.
 
 Each text becomes the set of its 5-word shingles. Every permutation gives two
-signature values, the smallest and the largest hash, so 120 permutations give
-240 values in 48 bands of five; a pair at similarity 0.75 misses all bands
-with probability 2e-6. Texts of equal sets collapse into one class before
-banding. A bucket's pairs are never listed: members are compared with one
-pivot first, and only members that are still in other components than a pivot
-go on, with eight times as many pivots a round, until every pair of a bucket
-is in one component or was compared. Each link is confirmed on full sets.
+signature values, the smallest and the largest hash, so 96 permutations give
+192 values. 32 bands of four find candidates: a pair at similarity 0.75 misses
+all of them with probability 5e-6. One bit of each value makes a sketch of 192
+bits; pairs that agree on fewer than 146 are dropped (at similarity 0.75 the
+mean is 168, so one pair in a million is lost that way), which keeps texts that
+merely share a passage from being compared in full.
+
+Texts of equal sets collapse into one class before banding. A bucket's pairs
+are never listed: members are compared with one pivot first, and only members
+that are still in other components than a pivot go on, with 64 times as
+many pivots a round, until every pair of a bucket is in one component or was
+looked at. Each link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -16,24 +21,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
-
-from floorlens.session import stored
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .batches import add_columns, raw
 from .components import components
+from .tables import stored
 from .words import SPACED, Words, mix
 
 SHINGLE = 5
-PERMUTATIONS = 120
-BAND = 5
-MORE_PIVOTS = 8
+PERMUTATIONS = 96
+BANDS, BAND = 32, 4
+AGREED = 146
+MORE_PIVOTS = 64
 
 _random = np.random.default_rng(41)
 _FLIP = _random.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
 _TIMES = _random.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1)
 _PLACE = _random.integers(0, 1 << 63, max(SHINGLE, BAND)).astype(np.uint64) | np.uint64(1)
-_BANDS = 2 * PERMUTATIONS // BAND
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -67,25 +71,38 @@ def min_max(values: np.ndarray) -> np.ndarray:
     return np.stack((low, high), 1).ravel()
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    signature = min_max(values).astype(np.uint64)[: _BANDS * BAND].reshape(_BANDS, BAND)
-    return mix((signature * _PLACE[:BAND]).sum(1, dtype=np.uint64) + mix(np.arange(_BANDS, dtype=np.uint64)))
+def bands(signature: np.ndarray) -> np.ndarray:
+    values = signature.astype(np.uint64)[: BANDS * BAND].reshape(BANDS, BAND)
+    return mix((values * _PLACE[:BAND]).sum(1, dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64)))
+
+
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """One bit of each value, in 64-bit integers."""
+    bits = (mix(signature.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
 
 
 def signatures(df: DataFrame) -> DataFrame:
-    """Adds ``n_shingles``, ``node`` (digest of the set; null if empty) and
-    ``buckets`` (one hash a band) to rows with ``text``, which goes."""
+    """Adds ``n_shingles``, ``node`` (digest of the set; null if empty),
+    ``buckets`` (one hash a band) and ``bits`` (the sketch) to rows with
+    ``text``, which goes."""
+    longs = T.ArrayType(T.LongType())
     fields = [
         T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()),
-        T.StructField("buckets", T.ArrayType(T.LongType())),
+        T.StructField("buckets", longs), T.StructField("bits", longs),
     ]
 
     def make():
         def work(part):
             sets = shingle_sets(*raw(part.column("text")))
-            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            keys = [bands(s).view(np.int64) if len(s) else [] for s in sets]
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            nodes, keys, bits = [], [], []
+            for s in sets:
+                signature = min_max(s) if len(s) else None
+                nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(bands(signature).view(np.int64) if len(s) else [])
+                bits.append(sketch(signature) if len(s) else [])
+            longs = pa.list_(pa.int64())
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, longs), pa.array(bits, longs)]
 
         return work
 
@@ -95,8 +112,8 @@ def signatures(df: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of which 100 * intersection >= percent * union, counted on
     the full sets of both texts."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
+    left = texts.select(F.col("id").alias("a"), "text")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
     rows = pairs.join(left, "a").join(right, "b")
 
     def make():
@@ -114,56 +131,73 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return checked.where("linked").select("a", "b")
 
 
-def _pairs(buckets: DataFrame, pivots: int) -> DataFrame:
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Sizes and sketches of the structs ``a`` and ``b`` allow a link."""
+    low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    words = PERMUTATIONS // 32
+    apart = sum(F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(words))
+    return (100 * low >= percent * high) & (apart <= 2 * PERMUTATIONS - AGREED)
+
+
+def _pairs(buckets: DataFrame, pivots: int, percent: int) -> DataFrame:
     """(a, b) of each member b and each of a bucket's pivots a in another
-    component: up to ``pivots`` of them, or every member of a bucket that has
-    no more than that."""
-    lot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
+    component that may be linked: up to ``pivots`` of them, or every member of
+    a bucket that has no more than that. Members that meet most others, like
+    the text that all others were copied from, come first. ``buckets``:
+    bucket, label, look."""
     size = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
-    spread = buckets.join(size, "bucket").withColumn("lot", F.when(F.col("size") > pivots, lot))
-    drawn = spread.where("lot is not null").groupBy("bucket", "lot").agg(F.min("node").alias("a"))
-    every = spread.where("lot is null").select("bucket", F.col("node").alias("a"))
-    chosen = drawn.select("bucket", "a").union(every)
-    label = buckets.select("bucket", F.col("node").alias("a"), F.col("label").alias("pivot_label"))
-    chosen = chosen.join(label, ["bucket", "a"])
-    met = buckets.join(chosen, "bucket").where("label <> pivot_label")
-    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
-def links(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of each class of equal sets that is linked with others."""
+    spread = buckets.join(size, "bucket")
+    met_by = spread.groupBy(F.col("look.id").alias("id")).agg(F.sum("size").alias("met"))
+    lot = F.when(F.col("size") <= pivots, F.col("look.id")).otherwise(F.pmod(F.xxhash64("look.id"), F.lit(pivots)))
+    drawn = spread.join(met_by, F.col("look.id") == F.col("id")).groupBy("bucket", lot.alias("lot"))
+    chosen = drawn.agg(F.max(F.struct("met", "look", "label")).alias("pivot"))
+    chosen = chosen.select("bucket", F.col("pivot.look").alias("of"), F.col("pivot.label").alias("its"))
+    met = buckets.join(chosen, "bucket").where(F.col("label") != F.col("its")).where(_may_link("look", "of", percent))
+    return met.select(F.least("of.id", "look.id").alias("a"), F.greatest("of.id", "look.id").alias("b")).distinct()
+
+
+def links(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal sets (id, node), and (node, label) with the ids of
+    those that are linked with others."""
     spark = docs.sparkSession
     classes = rows.where("n_shingles > 0").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("buckets").alias("buckets")
-    )
-    members = stored(classes.select("node", "of", F.explode("buckets").alias("bucket")), "members")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    shared = stored(members.join(shared, "bucket").select("bucket", "node", "of", "a"), "shared")
-    wanted = shared.select("node", "of.doc_id", "of.text_key").distinct()
+        F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("buckets").alias("buckets"),
+        F.first("bits").alias("bits"), F.first("n_shingles").alias("n"),
+    )
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    look = F.struct("id", "n", *[F.col("bits")[i].alias(f"s{i}") for i in range(PERMUTATIONS // 32)]).alias("look")
+    looks = classes.select("id", look)
+    members = classes.select("id", F.explode("buckets").alias("bucket"))
+    pivot = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
+    shared = stored(members.join(pivot.select("bucket", "a"), "bucket"), "shared")
+    first = shared.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    one = first.join(looks.select(F.col("id").alias("a"), F.col("look").alias("of")), "a")
+    both = one.join(looks.select(F.col("id").alias("b"), "look"), "b")
+    fresh = stored(both.where(_may_link("look", "of", percent)).select("a", "b"), "pairs")
+
+    wanted = classes.join(shared.select("id").distinct(), "id").select("id", "of.doc_id", "of.text_key")
     have = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
     found = have.join(wanted.hint("shuffle_hash"), (have.doc_id.eqNullSafe(wanted.doc_id)) & (have.text_key == wanted.text_key))
-    texts = stored(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = stored(found.select("id", "text"), "texts")
 
-    fresh = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    open_buckets = shared.select("bucket", "node")
-    edges = spark.createDataFrame([], "a binary, b binary")
-    tried, pivots, labels = None, 1, None
+    open_buckets = shared.select("bucket", "id")
+    edges, tried, pivots = None, fresh, 0
     while True:
-        fresh = stored(fresh, "pairs")
-        tried = fresh if tried is None else tried.union(fresh)
-        edges = edges.union(stored(confirmed(fresh, texts, percent), "edges"))
+        confirmed_now = stored(confirmed(fresh, texts, percent), "edges")
+        edges = confirmed_now if edges is None else edges.union(confirmed_now)
         labels = components(edges)
-        named = open_buckets.join(labels, "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label")
-        )
+        named = open_buckets.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        named = named.select("bucket", "id", F.coalesce("label", "id").alias("label"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         named = stored(named.join(mixed.select("bucket"), "bucket"), "open")
-        pivots *= MORE_PIVOTS
-        fresh = stored(_pairs(named, pivots).join(tried, ["a", "b"], "left_anti"), "pairs")
         largest = named.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-        if fresh.isEmpty() and largest <= pivots:
-            return labels
-        open_buckets = named.select("bucket", "node")
+        if largest <= pivots:
+            return classes.select("id", "node"), labels
+        pivots = max(1, pivots * MORE_PIVOTS)
+        seen = _pairs(named.join(looks, "id").drop("id"), pivots, percent)
+        fresh = stored(seen.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(fresh)
+        open_buckets = named.select("bucket", "id")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -177,9 +211,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select("doc_id", "text")
     keyed = docs.withColumn("text_key", F.unhex(F.md5("text")))
     rows = stored(signatures(keyed), "signatures")
-    labels = links(docs, rows, percent)
-    named = rows.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null")
-    named = named.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    classes, labels = links(docs, rows, percent)
+    named = rows.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null").join(classes, "node")
+    named = named.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("node", "least", F.coalesce("label", "id").alias("label"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of = named.join(groups, "label").select("node", "component_id")
     out = rows.join(of, "node", "left")
@@ -187,3 +222,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that are kept: of each component the document of
+    the smallest id, once if the row repeats."""
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")
+    return rows.withColumn("_key", F.md5("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
