@@ -6,7 +6,9 @@ signature values, the smallest and the largest hash, so 96 permutations give
 all of them with probability 5e-6. One bit of each value makes a sketch of 192
 bits; pairs that agree on fewer than 146 are dropped (at similarity 0.75 the
 mean is 168, so one pair in a million is lost that way), which keeps texts that
-merely share a passage from being compared in full.
+merely share a passage from being compared in full. Members of crowded buckets
+are also told apart by 1024 parity bits of their shingles: two sets differ in
+at least as many shingles as parities, so no link is lost there.
 
 Texts of equal sets collapse into one class before banding. A bucket's pairs
 are never listed: members are compared with one pivot first, and only members
@@ -32,6 +34,7 @@ SHINGLE = 5
 PERMUTATIONS = 96
 BANDS, BAND = 32, 4
 AGREED = 146
+PARITY = 1024
 MORE_PIVOTS = 64
 
 _random = np.random.default_rng(41)
@@ -82,10 +85,16 @@ def sketch(signature: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each of PARITY bits, modulo two."""
+    odd = np.bincount((values % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(df: DataFrame) -> DataFrame:
     """Adds ``n_shingles``, ``node`` (digest of the set; null if empty),
-    ``buckets`` (one hash a band) and ``bits`` (the sketch) to rows with
-    ``text``, which goes."""
+    ``buckets`` (one hash a band) and ``bits`` (the sketch, then the parities)
+    to rows with ``text``, which goes."""
     longs = T.ArrayType(T.LongType())
     fields = [
         T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()),
@@ -100,7 +109,7 @@ def signatures(df: DataFrame) -> DataFrame:
                 signature = min_max(s) if len(s) else None
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(bands(signature).view(np.int64) if len(s) else [])
-                bits.append(sketch(signature) if len(s) else [])
+                bits.append(np.concatenate((sketch(signature), parities(s))) if len(s) else [])
             longs = pa.list_(pa.int64())
             return [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, longs), pa.array(bits, longs)]
 
@@ -131,12 +140,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return checked.where("linked").select("a", "b")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches of the structs ``a`` and ``b`` allow a link."""
+SKETCH = range(PERMUTATIONS // 32)
+WIDE = range(PERMUTATIONS // 32 + PARITY // 64)
+
+
+def _look(words: range) -> Column:
+    return F.struct("id", "n", *[F.col("bits")[i].alias(f"s{i}") for i in words]).alias("look")
+
+
+def _apart(a: str, b: str, words: range) -> Column:
+    return sum(F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in words)
+
+
+def _may_link(a: str, b: str, percent: int, words: range = SKETCH) -> Column:
+    """Sizes and bits of the structs ``a`` and ``b`` allow a link."""
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    words = PERMUTATIONS // 32
-    apart = sum(F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(words))
-    return (100 * low >= percent * high) & (apart <= 2 * PERMUTATIONS - AGREED)
+    near = (100 * low >= percent * high) & (_apart(a, b, SKETCH) <= 2 * PERMUTATIONS - AGREED)
+    more = words[len(SKETCH) :]
+    return near & ((100 + percent) * _apart(a, b, more) <= (100 - percent) * (low + high)) if more else near
 
 
 def _pairs(buckets: DataFrame, pivots: int, percent: int) -> DataFrame:
@@ -152,7 +173,7 @@ def _pairs(buckets: DataFrame, pivots: int, percent: int) -> DataFrame:
     drawn = spread.join(met_by, F.col("look.id") == F.col("id")).groupBy("bucket", lot.alias("lot"))
     chosen = drawn.agg(F.max(F.struct("met", "look", "label")).alias("pivot"))
     chosen = chosen.select("bucket", F.col("pivot.look").alias("of"), F.col("pivot.label").alias("its"))
-    met = buckets.join(chosen, "bucket").where(F.col("label") != F.col("its")).where(_may_link("look", "of", percent))
+    met = buckets.join(chosen, "bucket").where(F.col("label") != F.col("its")).where(_may_link("look", "of", percent, WIDE))
     return met.select(F.least("of.id", "look.id").alias("a"), F.greatest("of.id", "look.id").alias("b")).distinct()
 
 
@@ -165,15 +186,14 @@ def links(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, Da
         F.first("bits").alias("bits"), F.first("n_shingles").alias("n"),
     )
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    look = F.struct("id", "n", *[F.col("bits")[i].alias(f"s{i}") for i in range(PERMUTATIONS // 32)]).alias("look")
-    looks = classes.select("id", look)
-    members = classes.select("id", F.explode("buckets").alias("bucket"))
-    pivot = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
-    shared = stored(members.join(pivot.select("bucket", "a"), "bucket"), "shared")
-    first = shared.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    one = first.join(looks.select(F.col("id").alias("a"), F.col("look").alias("of")), "a")
-    both = one.join(looks.select(F.col("id").alias("b"), "look"), "b")
-    fresh = stored(both.where(_may_link("look", "of", percent)).select("a", "b"), "pairs")
+    looks = classes.select("id", _look(WIDE))
+    members = classes.select(_look(SKETCH), F.explode("buckets").alias("bucket"))
+    pivot = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("look").alias("of")).where("size > 1")
+    shared = members.join(pivot.select("bucket", "of"), "bucket").select(
+        "bucket", "look.id", F.col("of.id").alias("a"), _may_link("look", "of", percent).alias("near")
+    )
+    shared = stored(shared, "shared")
+    fresh = stored(shared.where("near AND a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
 
     wanted = classes.join(shared.select("id").distinct(), "id").select("id", "of.doc_id", "of.text_key")
     have = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")

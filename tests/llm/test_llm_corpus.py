@@ -140,6 +140,8 @@ def test_sketch_keeps_linked_pairs():
         agreed = 192 - sum(int(x).bit_count() for x in (near_dedup.sketch(one) ^ near_dedup.sketch(other)).view(np.uint64))
         assert agreed >= near_dedup.AGREED
         assert (near_dedup.bands(one) == near_dedup.bands(other)).any()
+        apart = sum(int(x).bit_count() for x in (near_dedup.parities(pool[:700]) ^ near_dedup.parities(pool[100:])).view(np.uint64))
+        assert 0 < apart <= 200
 
 
 def test_class_lm_base_scores(spark):
