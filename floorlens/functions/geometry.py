@@ -390,15 +390,12 @@ def interior_point(ring: Column) -> Column:
     )
 
 
-def sample_points(ring: Column, step: float = 8.0, budget: int = 80) -> Column:
-    """Interior grid samples; the step widens so that about `budget` cells
-    remain, and a ring that catches none yields its interior point."""
+def sample_points(ring: Column, step: float = 8.0) -> Column:
+    """Interior samples of a grid of one step for rings of any size; a ring
+    that catches none yields its interior point."""
     def grid(k):
         b, edges = k["b"], k["edges"]
-        cells = (b["x1"] - b["x0"]) / step * ((b["y1"] - b["y0"]) / step)
-        s = F.when(cells > budget, F.lit(float(step)) * F.sqrt(cells / budget)).otherwise(
-            F.lit(float(step))
-        )
+        s = F.lit(float(step))
         xs = _steps(b["x0"] + s / 2, b["x1"], s, False)
         ys = _steps(b["y0"] + s / 2, b["y1"], s, False)
         points = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pt(x, y))))

@@ -17,6 +17,9 @@ from .spatial import FLOOR, points_in_boxes, with_box
 from .walls import first_footprints, has_area
 
 COLUMN_M = 64.0
+# One scanline pitch for areas and regions, so that they agree.
+PITCH_M = 0.25
+GRID_M = 1.25
 
 
 def floor_shapes(units: DataFrame, footprints: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def spans(units, footprints, visibility, pitch: float) -> DataFrame:
     )
 
 
-def coverage(units, footprints, visibility, pitch: float = 0.25) -> DataFrame:
+def coverage(units, footprints, visibility, pitch: float = PITCH_M) -> DataFrame:
     """Floor, covered and blind area (m2) and the covered share per floor."""
     length = F.col("x2") - F.col("x1")
     return (
@@ -128,7 +131,7 @@ def coverage(units, footprints, visibility, pitch: float = 0.25) -> DataFrame:
     )
 
 
-def blind_runs(units, footprints, visibility, pitch: float = 1.0) -> DataFrame:
+def blind_runs(units, footprints, visibility, pitch: float = PITCH_M) -> DataFrame:
     """Maximal blind runs per scanline."""
     s = spans(units, footprints, visibility, pitch).where("cameras = 0")
     w = Window.partitionBy(*FLOOR, "line").orderBy("x1")
@@ -141,13 +144,13 @@ def blind_runs(units, footprints, visibility, pitch: float = 1.0) -> DataFrame:
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 64):
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str]):
     """Connected components by smallest label, with pointer jumping.
 
     nodes: keys + node; edges: keys + a, b (either direction). Each round takes
     the smallest label among neighbours, then the label of that label; rounds
-    grow with the logarithm of the longest chain in practice. Lineage is cut
-    each round in the reliable checkpoint folder.
+    grow with the logarithm of the longest chain in practice, and go on until
+    no label moves. Lineage is cut each round in the reliable checkpoint folder.
     """
     both = cut(
         edges.select(*keys, "a", "b").unionByName(
@@ -155,7 +158,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds:
         )
     )
     labels = cut(nodes.select(*keys, "node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         seen = (
             both.join(labels.withColumnRenamed("node", "b"), [*keys, "b"])
             .groupBy(*keys, F.col("a").alias("node"))
@@ -175,10 +178,9 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds:
         labels = stepped.drop("moved")
         if not moved:
             return labels
-    raise RuntimeError(f"labels still moving after {max_rounds} rounds")
 
 
-def blind_regions(units, footprints, visibility, pitch: float = 1.0) -> DataFrame:
+def blind_regions(units, footprints, visibility, pitch: float = PITCH_M) -> DataFrame:
     """Connected blind regions per floor with area and extent. Regions join
     when their runs on neighbouring scanlines overlap."""
     runs = cut(
@@ -214,11 +216,9 @@ def blind_regions(units, footprints, visibility, pitch: float = 1.0) -> DataFram
     )
 
 
-def grid_cells(shapes: DataFrame, pitch=None, offset=None) -> DataFrame:
-    """Cell centres inside each floor, by default at a pitch that follows the
-    floor's area: clamp(sqrt(area / 2500), 1.25, 4) metres."""
-    area = F.sum(g.polygon_area(F.col("polygon")))
-    step = g.clamp(F.sqrt(area / 2500), 1.25, 4.0) if pitch is None else F.lit(float(pitch))
+def grid_cells(shapes: DataFrame, pitch: float = GRID_M, offset=None) -> DataFrame:
+    """Cell centres inside each floor, `pitch` apart on floors of any size."""
+    step = F.max(F.lit(float(pitch)))
     box = g.bbox(F.col("polygon"))
     floor = shapes.groupBy(*FLOOR).agg(
         step.alias("pitch"),
@@ -263,7 +263,7 @@ def cover_counts(cells: DataFrame, visibility: DataFrame) -> DataFrame:
     return cells.join(seen, [*FLOOR, "cell"], "left").fillna(0, ["cameras"])
 
 
-def grid_coverage(units, footprints, visibility, pitch=None) -> DataFrame:
+def grid_coverage(units, footprints, visibility, pitch: float = GRID_M) -> DataFrame:
     cells = grid_cells(floor_shapes(units, footprints), pitch)
     return (
         cover_counts(cells, visibility)

@@ -74,15 +74,14 @@ def bulk_set(units: DataFrame, ids: DataFrame, column: str, value) -> DataFrame:
 
 def fill_unrated(cameras: DataFrame, floor: DataFrame, kind: str, model: DataFrame) -> DataFrame:
     """Give unrated cameras of a kind on the chosen floors the optics of one
-    catalogue row."""
-    spec = model.select(
-        F.col("label").alias("_m"), F.col("fov_deg").alias("_f"), F.col("resolution_mp").alias("_r"), F.col("range_m").alias("_g")
-    ).limit(1)
-    pick = floor.select(*FLOOR).distinct().join(F.broadcast(spec))
-    hit = (F.col("kind") == kind) & (F.coalesce("resolution_mp", F.lit(0.0)) == 0) & F.col("_m").isNotNull()
-    new = {"model": "_m", "fov_deg": "_f", "resolution_mp": "_r", "range_m": "_g"}
-    return cameras.join(pick, FLOOR, "left").select(
-        *[F.when(hit, F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in cameras.columns]
+    catalogue row; of several the one of the first label."""
+    fields = ("label", "fov_deg", "resolution_mp", "range_m")
+    spec = model.where("label is not null").agg(F.min(F.struct(*fields)).alias("spec")).scalar()
+    pick = floor.select(*FLOOR).distinct().withColumn("_on", F.lit(True))
+    hit = (F.col("kind") == kind) & (F.coalesce("resolution_mp", F.lit(0.0)) == 0) & F.col("_on") & F.col("_spec").isNotNull()
+    new = {"model": "label", "fov_deg": "fov_deg", "resolution_mp": "resolution_mp", "range_m": "range_m"}
+    return cameras.join(pick, FLOOR, "left").withColumn("_spec", spec).select(
+        *[F.when(hit, F.col(f"_spec.{new[c]}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in cameras.columns]
     )
 
 
@@ -139,8 +138,9 @@ def link_floors(links: DataFrame, units: DataFrame, verticals: DataFrame) -> dic
 
 
 def move_occupants(occupants: DataFrame, moves: DataFrame) -> DataFrame:
-    """moves(building_id, occupant_id, unit_id): new unit, anchor cleared."""
-    m = moves.select("building_id", "occupant_id", F.col("unit_id").alias("_to"))
+    """moves(building_id, occupant_id, unit_id, seq): the newest move of each
+    occupant gives its unit and clears its anchor."""
+    m = _newest(moves, ["building_id", "occupant_id"]).select("building_id", "occupant_id", F.col("unit_id").alias("_to"))
     return occupants.join(m, ["building_id", "occupant_id"], "left").select(
         *[
             F.coalesce("_to", "unit_id").alias(c) if c == "unit_id"
@@ -176,7 +176,9 @@ def insert_vertex(ring, edge, p):
 
 
 def round_column(structures: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits(building_id, structure_id, center, radius_m): outlines follow."""
+    """edits(building_id, structure_id, center, radius_m, seq): outlines follow
+    the newest edit of each column."""
+    edits = _newest(edits, ["building_id", "structure_id"]).select("building_id", "structure_id", "center", "radius_m")
     return structures.join(edits, ["building_id", "structure_id"], "left").select(
         *[
             F.when(F.col("center").isNotNull(), g.column_polygon(F.col("center"), F.col("radius_m"))).otherwise(F.col(c)).alias(c)
@@ -193,23 +195,40 @@ def free_slots(presets: DataFrame) -> DataFrame:
     )
 
 
+def _newest(edits: DataFrame, key: list[str]) -> DataFrame:
+    """One edit per key: the one of the highest `seq`. Without the column the
+    edits of a key are ordered by their own values."""
+    rest = [c for c in edits.columns if c not in key]
+    order = F.struct(*(["seq"] if "seq" in rest else []), *[c for c in rest if c != "seq"])
+    return edits.groupBy(*key).agg(F.max(order).alias("_e")).select(*key, *[F.col(f"_e.{c}").alias(c) for c in rest])
+
+
 def save_presets(cameras: DataFrame, presets: DataFrame, asks: DataFrame) -> DataFrame:
-    """asks(building_id, camera_id, name): current aim saved in a free slot."""
-    free = free_slots(presets)
+    """asks(building_id, camera_id, name, seq): current aim saved in a free
+    slot, the n-th ask of a camera in its n-th free one; asks beyond the last
+    slot save nothing."""
+    camera = ["building_id", "camera_id"]
+    open_slots = asks.select(*camera).distinct().join(
+        presets.groupBy(*camera).agg(F.collect_set("slot").alias("used")), camera, "left"
+    ).select(
+        *camera,
+        F.posexplode(F.array_except(F.sequence(F.lit(2), F.lit(9)), F.coalesce("used", F.array().cast("array<int>")))).alias("n", "slot"),
+    )
+    order = Window.partitionBy(*camera).orderBy(*(["seq"] if "seq" in asks.columns else []), "name")
+    numbered = asks.withColumn("n", F.row_number().over(order) - 1)
     c = cameras.select("building_id", "camera_id", "heading", F.coalesce("tilt_deg", F.lit(0.0)).alias("tilt_deg"), "fov_deg", "range_m")
-    known = presets.select("building_id", "camera_id").distinct().withColumn("_has", F.lit(True))
-    slot = F.when(F.col("_has"), F.col("slot")).otherwise(F.lit(2))
     new = (
-        asks.join(c, ["building_id", "camera_id"]).join(free, ["building_id", "camera_id"], "left")
-        .join(known, ["building_id", "camera_id"], "left").withColumn("slot", slot).where("slot is not null")
+        numbered.join(open_slots, [*camera, "n"]).join(c, camera)
         .withColumn("name", F.when(F.trim("name") != "", F.trim("name")).otherwise(F.concat_ws(" ", F.lit("Preset"), F.col("slot").cast("string"))))
     )
     return presets.unionByName(new.select(*presets.columns))
 
 
 def recall_presets(cameras: DataFrame, presets: DataFrame, asks: DataFrame) -> DataFrame:
-    """asks(building_id, camera_id, slot): cameras take the preset's aim."""
-    p = asks.join(presets, ["building_id", "camera_id", "slot"]).select(
+    """asks(building_id, camera_id, slot, seq): cameras take the aim of the
+    newest preset asked for that exists."""
+    named = asks.join(presets.select("building_id", "camera_id", "slot"), ["building_id", "camera_id", "slot"], "left_semi")
+    p = _newest(named, ["building_id", "camera_id"]).join(presets, ["building_id", "camera_id", "slot"]).select(
         "building_id", "camera_id", F.struct(F.pmod("heading", F.lit(360.0)).alias("heading"), "tilt_deg", "fov_deg", "range_m").alias("p")
     )
     aim = ("heading", "tilt_deg", "fov_deg", "range_m")

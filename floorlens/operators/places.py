@@ -265,13 +265,13 @@ def duplicate_cameras(
 
 def nearest_cameras(
     points: DataFrame, cameras: DataFrame, point_id: str, k: int = 8, cell: float = 16.0,
-    max_rings: int = 512,
 ) -> DataFrame:
     """The k nearest cameras of the same floor, ties by `pos`.
 
     Cameras and points are hashed to tiles; each round looks one doubling of
     the radius further, and a point is done once its k-th camera lies within
-    the radius searched or the whole floor has been seen.
+    the radius searched. The radius doubles until it spans the floor, where
+    every camera is found, so rounds end by themselves.
     """
     cams = cameras.select(*FLOOR, "camera_id", F.col("pos").alias("cam_pos"), F.col("at").alias("cam_at"))
     extent = cams.groupBy(*FLOOR).agg(
@@ -287,7 +287,7 @@ def nearest_cameras(
         "radius", F.sqrt(area * k / F.col("n_cams")) * 2 + 1.0
     )
     done = None
-    for _ in range(max_rings.bit_length()):
+    while True:
         r = F.col("radius")
         boxed = open_pts.withColumn(
             "lbox",
@@ -321,7 +321,6 @@ def nearest_cameras(
         if short.limit(1).count() == 0:
             return done
         open_pts = short.drop("got").withColumn("radius", F.col("radius") * 2)
-    raise RuntimeError("radius limit reached before every point had its cameras")
 
 
 def default_names(new_units: DataFrame, units: DataFrame) -> DataFrame:

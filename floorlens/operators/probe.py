@@ -12,7 +12,6 @@ from .visibility import CAMERA
 VIEW_WEIGHTS = {"heading": 0.45, "distance": 0.35, "depth": 0.2}
 ALL_ROUND_AIM = 0.62
 DEPTH_FULL_M = 6.0
-PAGE = 16
 
 
 def _candidates(points: DataFrame, cameras: DataFrame, point_id: str) -> DataFrame:
@@ -79,10 +78,10 @@ def see(
 
 def rank_cameras(
     points: DataFrame, cameras: DataFrame, visibility: DataFrame, point_id: str = "probe_id",
-    top: int | None = PAGE,
+    top: int | None = None,
 ) -> DataFrame:
-    """Best view first per point. With `top` only that page is kept, and Spark
-    limits each group before the shuffle; without it every row is ranked."""
+    """Best view first per point. Every row is ranked; with `top` only that
+    page is kept, and Spark limits each group before the shuffle."""
     seen = see(points, cameras, visibility, point_id)
     if top is None:
         return rank_scores(seen, [*FLOOR, point_id], "score", ["cam_pos"])

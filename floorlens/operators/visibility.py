@@ -23,7 +23,6 @@ from .walls import distinct_segments, floor_stats
 
 CAMERA = [*FLOOR, "camera_id"]
 EPS_RAD = 1e-4
-CULL_ABOVE = 64
 BUCKETS = 45
 WALLS_PER_BUCKETS = 128
 
@@ -58,19 +57,16 @@ def poses(cameras: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def _local_walls(cams: DataFrame, segments: DataFrame) -> DataFrame:
-    """(camera, wall) pairs within range; on small floors every wall counts."""
+    """(camera, wall) pairs within range."""
     c, e = F.col("cam"), F.col("extent")
-    small = F.col("n_walls") <= CULL_ABOVE
     reach = c["r"] + 0.01
     boxed = cams.where("n_walls is not null").withColumn(
         "lbox",
-        F.when(small, e).otherwise(
-            F.struct(
-                F.greatest(c["x"] - reach, e["x0"]).alias("x0"),
-                F.greatest(c["y"] - reach, e["y0"]).alias("y0"),
-                F.least(c["x"] + reach, e["x1"]).alias("x1"),
-                F.least(c["y"] + reach, e["y1"]).alias("y1"),
-            )
+        F.struct(
+            F.greatest(c["x"] - reach, e["x0"]).alias("x0"),
+            F.greatest(c["y"] - reach, e["y0"]).alias("y0"),
+            F.least(c["x"] + reach, e["x1"]).alias("x1"),
+            F.least(c["y"] + reach, e["y1"]).alias("y1"),
         ),
     )
     a, b = F.col("a"), F.col("b")
@@ -89,7 +85,7 @@ def _local_walls(cams: DataFrame, segments: DataFrame) -> DataFrame:
     return (
         box_join(boxed.drop("extent"), walls)
         .withColumn("gap", near)
-        .where((F.col("n_walls") <= CULL_ABOVE) | (F.col("gap") <= reach))
+        .where(F.col("gap") <= reach)
         .select(*CAMERA, "cam", "buckets", "a", "b", "gap")
     )
 

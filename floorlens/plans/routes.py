@@ -37,10 +37,10 @@ def _through(graph: dict[str, DataFrame]) -> DataFrame:
     return h.join(busy, ["building_id", "dst"], "left_semi")
 
 
-def _relax(starts: DataFrame, graph, max_rounds: int) -> DataFrame:
+def _relax(starts: DataFrame, graph) -> DataFrame:
     """Cheapest path from each request's start to every through node. One job
     per round: fresh rows step on, and the minimum per node decides what is
-    fresh next."""
+    fresh next. Paths do not repeat nodes, so rounds end by themselves."""
     through = cut(_through(graph))
     state = cut(
         starts.select(
@@ -48,7 +48,7 @@ def _relax(starts: DataFrame, graph, max_rounds: int) -> DataFrame:
             F.array("start_id").alias("path"), F.lit(True).alias("fresh"),
         )
     )
-    for _ in range(max_rounds):
+    while True:
         step = (
             state.where("fresh")
             .withColumnRenamed("node", "src")
@@ -71,11 +71,10 @@ def _relax(starts: DataFrame, graph, max_rounds: int) -> DataFrame:
         )
         if state.where("fresh").limit(1).count() == 0:
             return state.drop("fresh")
-    raise RuntimeError(f"routes still improving after {max_rounds} rounds")
 
 
 def routes(
-    requests: DataFrame, units, openings, verticals, step_free: bool = False, max_rounds: int = 256
+    requests: DataFrame, units, openings, verticals, step_free: bool = False
 ) -> DataFrame:
     """(request_id, building_id, start_id, goal_id, cost, path); cost and path
     are NULL where there is no route or the building's graph is broken."""
@@ -89,7 +88,7 @@ def routes(
         .join(has("goal_id"), ["building_id", "goal_id"], "left_semi")
         .select(*REQ, "start_id", "goal_id")
     )
-    best = _relax(live, graph, max_rounds)
+    best = _relax(live, graph)
     goal = live.select(*REQ, "goal_id")
     at_goal = best.join(goal, REQ).where("node = goal_id")
     last = (
@@ -107,7 +106,7 @@ def routes(
 
 
 def egress(
-    requests: DataFrame, units, openings, verticals, step_free: bool = False, max_rounds: int = 256
+    requests: DataFrame, units, openings, verticals, step_free: bool = False
 ) -> DataFrame:
     """Cheapest entrance of the building from each start."""
     graph = nav_graph(units, openings, verticals, step_free)
@@ -118,7 +117,7 @@ def egress(
         .join(node, ["building_id", "start_id"], "left_semi")
         .select(*REQ, "start_id")
     )
-    best = _relax(live, graph, max_rounds)
+    best = _relax(live, graph)
     doors = graph["doors"].where("is_entrance")
     exits = (
         doors.select("building_id", F.col("owner").alias("node"), "door", "opening_pos", F.col("w_owner").alias("w"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as g
+from ..session import cut
 
 FORMAT = "floorlens-building"
 _XY = "array<double>"
@@ -163,9 +164,8 @@ def migrate_legacy(saves: DataFrame, target: str) -> DataFrame:
     """Copy the un-suffixed legacy save (property_id NULL) to its property
     unless that one already has a save; the legacy row stays."""
     legacy = saves.where("property_id is null")
-    taken = saves.where(F.col("property_id") == target).select(F.lit(1).alias("k")).limit(1)
-    moved = legacy.withColumn("k", F.lit(1)).join(taken, "k", "left_anti").drop("k")
-    return saves.unionByName(moved.withColumn("property_id", F.lit(target)))
+    taken = saves.where(F.col("property_id") == target).agg(F.count("*").alias("n")).scalar()
+    return saves.unionByName(legacy.where(taken == 0).withColumn("property_id", F.lit(target)))
 
 
 def read_properties(text: DataFrame) -> DataFrame:
@@ -193,10 +193,33 @@ def slug(name: Column) -> Column:
 
 def new_property_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
     """names(seq, name) -> id: the slug, or slug-2, slug-3 ... past every id in
-    use. The k-th newcomer of a slug takes its k-th free suffix."""
+    use, newcomers of smaller seq included.
+
+    A round gives the k-th newcomer of a slug its k-th free suffix. Slugs that
+    differ by a numeric ending can meet in one id; then all newcomers of that
+    family before the first loser keep theirs and the others go round again.
+    """
+    rest = names.withColumn("slug", slug(F.col("name")))
+    rest = rest.withColumn("family", F.regexp_replace("slug", "(-[1-9][0-9]*)+$", ""))
+    used, kept = taken.select("id"), None
+    while True:
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
+        got = cut(_free_ids(rest, used).withColumn("nth", nth))
+        stop = got.where("nth > 1").groupBy("family").agg(F.min("seq").alias("stop"))
+        marked = got.join(stop, "family", "left").withColumn("sure", F.col("stop").isNull() | (F.col("seq") < F.col("stop")))
+        sure = cut(marked.where("sure").select("seq", "name", "id"))
+        kept = sure if kept is None else kept.unionByName(sure)
+        rest = cut(marked.where("not sure").select("seq", "name", "slug", "family"))
+        if rest.isEmpty():
+            return kept
+        used = used.unionByName(sure.select("id"))
+
+
+def _free_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """The k-th newcomer of a slug takes its k-th free suffix."""
     from ..operators.spatial import number_rows
 
-    want = number_rows(names.withColumn("slug", slug(F.col("name"))), ["slug"], "seq", "k")
+    want = number_rows(names, ["slug"], "seq", "k")
     # Suffix numbers already in use per slug: the bare slug counts as 1.
     tail = F.regexp_extract("id", r"^(.*?)-([1-9][0-9]{0,8})$", 2)
     base = F.regexp_extract("id", r"^(.*?)-([1-9][0-9]{0,8})$", 1)
@@ -221,6 +244,6 @@ def new_property_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
     n = F.col("k") + F.coalesce("shift", F.lit(0))
     return (
         want.join(cum, (want["slug"] == cum["slug"]) & hit, "left")
-        .select(want["seq"], want["name"], want["slug"], n.alias("n"))
-        .select("seq", "name", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("n").cast("string"))).alias("id"))
+        .select(want["seq"], want["name"], want["slug"], "family", n.alias("n"))
+        .select("seq", "name", "slug", "family", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("n").cast("string"))).alias("id"))
     )

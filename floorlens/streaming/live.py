@@ -1,14 +1,17 @@
 """Live loops on Structured Streaming: fixes, handoffs, aim changes, edits.
 
-Event time carries a watermark (ten minutes unless told otherwise); rows later
-than that are dropped by the engine. Sinks take a checkpoint location.
+Stateful loops carry an event-time watermark (ten minutes unless told
+otherwise) and drop rows later than that. The loops that rank fixes and refresh
+rings keep no state between batches: they handle every row, however late.
+Sinks take a checkpoint location.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.edits import home_presets
@@ -26,7 +29,7 @@ def fix_stream(spark, path: str, schema, files_per_trigger: int | None = None) -
     return reader.parquet(path)
 
 
-def rank_fixes(fixes: DataFrame, cameras: DataFrame, rings: DataFrame, sink: Callable, checkpoint: str, top: int = 16):
+def rank_fixes(fixes: DataFrame, cameras: DataFrame, rings: DataFrame, sink: Callable, checkpoint: str, top: int | None = None):
     """Each micro-batch of position fixes, ranked against the stored rings.
     `sink(df, batch_id)` receives (probe, camera, score, rank) rows."""
 
@@ -34,46 +37,59 @@ def rank_fixes(fixes: DataFrame, cameras: DataFrame, rings: DataFrame, sink: Cal
         sink(rank_cameras(df, cameras, rings, top=top), batch_id)
 
     return (
-        fixes.withWatermark("ts", LATE).writeStream.foreachBatch(batch)
+        fixes.writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint).start()
     )
 
 
 def follow_subjects(ranked: DataFrame, subject: str = "subject", late: str = LATE) -> DataFrame:
     """Sticky camera per subject over a stream of (subject, ts, probe_id, cams)
-    with cams best first. State is the camera id; a subject
-    silent for an hour of event time starts afresh."""
+    with cams best first, in order of event time as in a batch.
+
+    State is the camera id and the fixes the watermark has not passed yet:
+    fixes wait until no earlier one can come, then move the state in order of
+    (ts, probe_id). Rows later than the watermark are dropped."""
     kind = ranked.schema[subject].dataType.simpleString()
     out = f"{subject} {kind}, ts timestamp, probe_id bigint, camera_id string"
+    kept = "camera string, ts array<bigint>, probe array<bigint>, cams array<array<string>>"
 
     def update(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current = state.get[0] if state.exists else None
-        newest = 0
+        current, *waiting = state.get if state.exists else (None, [], [], [])
+        rows = list(zip(*waiting))
         for pdf in batches:
-            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
-            pdf = pdf.sort_values(["ts", "probe_id"])
-            picked = []
-            for cams in pdf["cams"]:
-                now = keep_or_best(current, list(cams))
-                current = now if now is not None else current
-                picked.append(now)
-            yield pdf[[subject, "ts", "probe_id"]].assign(camera_id=picked)
-        state.update((current,))
-        state.setTimeoutTimestamp(newest + 3_600_000)
+            micros = pdf["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            rows += zip(micros, pdf["probe_id"].tolist(), [list(c) for c in pdf["cams"]])
+        rows.sort(key=lambda r: r[:2])
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = [r for r in rows if r[0] <= passed]
+        picked = []
+        for _, _, cams in ready:
+            now = keep_or_best(current, list(cams))
+            current = now if now is not None else current
+            picked.append(now)
+        rest = rows[len(ready):]
+        state.update((current, *(list(c) for c in zip(*rest))) if rest else (current, [], [], []))
+        if rest:
+            state.setTimeoutTimestamp(rest[0][0] // 1000 + 1)
+        if ready:
+            yield pd.DataFrame({
+                subject: key[0], "ts": pd.to_datetime([r[0] for r in ready], unit="us"),
+                "probe_id": [r[1] for r in ready], "camera_id": picked,
+            })
 
     return (
         ranked.withWatermark("ts", late).groupBy(subject)
-        .applyInPandasWithState(update, out, "camera string", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(update, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def latest_aims(aims: DataFrame) -> DataFrame:
-    """Newest pose per camera out of a batch of aim changes."""
-    w = Window.partitionBy("building_id", "camera_id").orderBy(F.desc("ts"))
-    return aims.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """Newest pose per camera out of a batch of aim changes, by `ts` and, where
+    there is one, `seq`; what is still tied goes by the pose itself."""
+    key = ["building_id", "camera_id"]
+    rest = [c for c in aims.columns if c not in key]
+    order = F.struct("ts", *(["seq"] if "seq" in rest else []), *[c for c in rest if c not in ("ts", "seq")])
+    return aims.groupBy(*key).agg(F.max(order).alias("a")).select(*key, *[F.col(f"a.{c}").alias(c) for c in rest])
 
 
 def changed_cameras(cameras: DataFrame, aims: DataFrame) -> DataFrame:
@@ -112,7 +128,7 @@ def aim_stream(aims: DataFrame, state: Callable[[], dict[str, DataFrame]], store
         out["presets"] = now["presets"].unionByName(home_presets(df, now["cameras"], now["presets"]))
         store(out, batch_id)
 
-    return aims.withWatermark("ts", LATE).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    return aims.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
 def edit_sessions(log: DataFrame, gap: str = "2500 milliseconds", late: str = LATE) -> DataFrame:

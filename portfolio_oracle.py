@@ -156,7 +156,7 @@ local AS MATERIALIZED (
   SELECT p.building_id, p.ordinal, p.camera_id, s.ax, s.ay, s.bx, s.by
   FROM pose p JOIN nwalls n USING (building_id, ordinal) JOIN seg s USING (building_id, ordinal),
   LATERAL (SELECT least(greatest(((cx - ax) * (bx - ax) + (cy - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)), 0), 1) AS t)
-  WHERE n.n <= 64 OR sqrt((cx - (ax + t * (bx - ax))) * (cx - (ax + t * (bx - ax))) + (cy - (ay + t * (by - ay))) * (cy - (ay + t * (by - ay)))) <= r + 0.01),
+  WHERE sqrt((cx - (ax + t * (bx - ax))) * (cx - (ax + t * (bx - ax))) + (cy - (ay + t * (by - ay))) * (cy - (ay + t * (by - ay)))) <= r + 0.01),
 corner0 AS (
   SELECT DISTINCT building_id, ordinal, camera_id, x, y FROM (
     SELECT building_id, ordinal, camera_id, ax AS x, ay AS y FROM local

@@ -105,14 +105,23 @@ def _(s):
 @query("probe_ranking", o.sql(
     """SELECT building_id, ordinal, probe_id, camera_id, round(score, 3) AS score, round(distance_m, 3) AS distance_m,
     round(depth_m, 4) AS depth_m, rank FROM (
-      SELECT *, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, cam_pos) AS INTEGER) AS rank FROM seen)
-    WHERE rank <= 16""", o.WALLS, o.RINGS, o.seen("probes", "probe_id")))
+      SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, cam_pos) AS rank FROM seen)""",
+    o.WALLS, o.RINGS, o.seen("probes", "probe_id")))
 def _(s):
     return probe.rank_cameras(s.probes, s.cameras, scene_rings(s)).select(
         *FLOOR, "probe_id", "camera_id", r3("score"), r3("distance_m"), F.round("depth_m", 4), "rank"
     ).toDF(*FLOOR, "probe_id", "camera_id", "score", "distance_m", "depth_m", "rank")
 
 
+@query("probe_page", o.sql(
+    """SELECT building_id, ordinal, probe_id, camera_id, rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, cam_pos) AS INTEGER) AS rank FROM seen)
+    WHERE rank <= 16""", o.WALLS, o.RINGS, o.seen("probes", "probe_id")))
+def _(s):
+    page = probe.rank_cameras(s.probes, s.cameras, scene_rings(s), top=16)
+    return page.select(*FLOOR, "probe_id", "camera_id", "rank")
+
+
 @query("blind_probes", o.sql(
     "SELECT building_id, ordinal, probe_id FROM probes p WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.probe_id = p.probe_id)",
     o.WALLS, o.RINGS, o.seen("probes", "probe_id")))
@@ -441,22 +450,16 @@ def _(s):
 
 
 @query("duplicate_cameras", o.sql(
-    """SELECT DISTINCT a.building_id, a.ordinal, a.camera_id AS candidate_id FROM cameras a JOIN cameras b USING (building_id, ordinal)
-    WHERE a.pos > b.pos AND sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)) <= 12
-    AND least((a.heading - b.heading + 720) % 360, (b.heading - a.heading + 720) % 360) <= 90"""))
-def _(s):
-    later = s.cameras.select(*FLOOR, F.col("camera_id").alias("candidate_id"), F.col("pos").alias("new_pos"), "at", "heading")
-    old = s.cameras.select(*FLOOR, F.col("pos").alias("old_pos"), F.col("at").alias("old_at"), F.col("heading").alias("old_heading"), F.struct(
-        (F.col("at.x") - 12).alias("x0"), (F.col("at.y") - 12).alias("y0"), (F.col("at.x") + 12).alias("x1"), (F.col("at.y") + 12).alias("y1")).alias("box"))
-    from floorlens.operators.spatial import points_in_boxes
-
-    return (
-        points_in_boxes(later, old, "candidate_id")
-        .where("new_pos > old_pos")
-        .where(g.dist(F.col("at"), F.col("old_at")) <= 12)
-        .where(places.heading_gap(F.col("heading"), F.col("old_heading")) <= 90)
-        .select(*FLOOR, "candidate_id").distinct()
-    )
+    """SELECT DISTINCT a.building_id, a.ordinal, a.camera_id AS candidate_id
+    FROM (SELECT *, cx + pos % 4 * 0.6 AS x, heading + pos % 3 * 20 AS h FROM cameras) a JOIN cameras b USING (building_id, ordinal)
+    WHERE sqrt((a.x-b.cx)*(a.x-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)) <= 1.5
+    AND least((a.h - b.heading + 720) % 360, (b.heading - a.h + 720) % 360) <= 25"""))
+def _(s):
+    # Every camera once more, moved by up to 1.8 m and turned by up to 40 degrees.
+    moved = g.pt(F.col("at.x") + F.col("pos") % 4 * 0.6, F.col("at.y"))
+    turned = F.col("heading") + F.col("pos") % 3 * 20
+    again = s.cameras.select(*FLOOR, F.col("camera_id").alias("candidate_id"), moved.alias("at"), turned.alias("heading"))
+    return places.duplicate_cameras(again, s.cameras).select(*FLOOR, "candidate_id").distinct()
 
 
 @query("search_spaces", o.sql(

@@ -25,8 +25,8 @@ def test_schedules(spark):
     assert rows[1, "A"].mount_m == pytest.approx(3.6576, abs=1e-4) and rows[1, "A"].op_number is None and rows[1, "B"].mount_m == 3.5
     info = {r.file_id: r for r in got["info"].collect()}
     assert info[1].skipped == 1 and info[1].delim == ";" and info[0].unmapped == []
-    bad = {r.file_id: r.reason for r in got["rejects"].collect()}
-    assert "foo, bar" in bad[2] and "header row" in bad[3] and "missing a camera name" in bad[4]
+    bad = {r.file_id: (r.reason, r.headers) for r in got["rejects"].collect()}
+    assert bad[2] == ("no_name_column", ["foo", "bar"]) and bad[3][0] == "no_rows" and bad[4][0] == "no_named_rows"
 
 
 def test_header_falls_through_to_a_free_field(spark):
@@ -103,6 +103,39 @@ def test_slugs(spark):
     taken = spark.createDataFrame([("casino",), ("casino-3",)], "id string")
     got = {r.seq: r.id for r in bf.new_property_ids(names, taken).collect()}
     assert got == {0: "casino-2", 1: "casino-4", 2: "property", 3: "casino-5", 4: "new-site"}
+    met = spark.createDataFrame(list(enumerate(["a", "a", "a-2", "a-2-2", "a", "b"])), "seq bigint, name string")
+    ids = {r.seq: r.id for r in bf.new_property_ids(met, taken).collect()}
+    assert ids == {0: "a", 1: "a-2", 2: "a-2-2", 3: "a-2-2-2", 4: "a-3", 5: "b"}
+
+
+def test_quoted_cells(spark):
+    lines = ['"Cam A","","",x', 'C1,"a, b,c,d', '"say ""hi""", "x"y ,z', ",,", '""""', "", '"a""']
+    want = [["Cam A", "", "", "x"], ["C1", "a, b,c,d"], ['say "hi"', "xy", "z"], ["", "", ""], ['"'], [""], ['a"']]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    assert [r.c for r in df.select("i", schedule.split_cells(F.col("line"), ",").alias("c")).orderBy("i").collect()] == want
+
+
+def test_two_edits_of_one_row(spark):
+    occupants = spark.createDataFrame([(1, "o1", "u1", None)], f"building_id bigint, occupant_id string, unit_id string, anchor {g.POINT}")
+    moves = spark.createDataFrame([(1, "o1", "u3", 1), (1, "o1", "u2", 2)], "building_id bigint, occupant_id string, unit_id string, seq int")
+    assert [r.unit_id for r in edits.move_occupants(occupants, moves).collect()] == ["u2"]
+    aim = "heading double, tilt_deg double, fov_deg double, range_m double"
+    cams = spark.createDataFrame([(1, "c", 5.0, None, 90.0, 8.0)], f"building_id bigint, camera_id string, {aim}")
+    presets = spark.createDataFrame([(1, "c", 3, "P", 7.0, 0.0, 60.0, 9.0)], f"building_id bigint, camera_id string, slot int, name string, {aim}")
+    asks = spark.createDataFrame([(1, "c", "", i) for i in range(9)], "building_id bigint, camera_id string, name string, seq int")
+    saved = edits.save_presets(cams, presets, asks)
+    assert sorted(r.slot for r in saved.collect()) == [2, 3, 4, 5, 6, 7, 8, 9]
+    calls = spark.createDataFrame([(1, "c", 3, 2), (1, "c", 2, 1), (1, "c", 8, 3)], "building_id bigint, camera_id string, slot int, seq int")
+    assert [r.heading for r in edits.recall_presets(cams, presets, calls).collect()] == [7.0]
+    column = spark.createDataFrame([(1, "s", None)], f"building_id bigint, structure_id string, polygon {g.RING}")
+    turns = spark.createDataFrame([(1, "s", (0.0, 0.0), 1.0, 1), (1, "s", (9.0, 0.0), 1.0, 2)], f"building_id bigint, structure_id string, center {g.POINT}, radius_m double, seq int")
+    (ring,) = [r.polygon for r in edits.round_column(column, turns).collect()]
+    assert min(p.x for p in ring) > 7
+    model = spark.createDataFrame([("M2", 70.0, 8.0, 20.0), ("M1", 60.0, 4.0, 10.0)], "label string, fov_deg double, resolution_mp double, range_m double")
+    bare = spark.createDataFrame([(1, 0, "c", "fixed", None, 90.0, None, 8.0), (1, 0, "d", "dome", None, 90.0, None, 8.0)], "building_id bigint, ordinal int, camera_id string, kind string, model string, fov_deg double, resolution_mp double, range_m double")
+    filled = {r.camera_id: r.model for r in edits.fill_unrated(bare, bare, "fixed", model).collect()}
+    assert filled == {"c": "M1", "d": None}
+    assert {r.model for r in edits.fill_unrated(bare, bare, "fixed", model.where("false")).collect()} == {None}
 
 
 def test_saved_choice_and_registry(spark):
@@ -151,7 +184,10 @@ def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     rows = [(1, "2024-01-01 00:00:00", 0, ["a", "b"]), (1, "2024-01-01 00:00:05", 1, ["b", "a"]), (1, "2024-01-01 00:00:09", 2, ["b"]), (2, "2024-01-01 00:00:01", 3, [])]
     df = spark.createDataFrame(rows, "subject bigint, t string, probe_id bigint, cams array<string>").select("subject", F.to_timestamp("t").alias("ts"), "probe_id", "cams")
-    df.write.parquet(str(src))
+    # newest first, and a last row that lets the watermark pass the others
+    df.orderBy(F.desc("ts")).coalesce(1).write.parquet(str(src))
+    last = spark.createDataFrame([(9, "2024-01-01 02:00:00", 9, ["z"])], "subject bigint, t string, probe_id bigint, cams array<string>")
+    last.select("subject", F.to_timestamp("t").alias("ts"), "probe_id", "cams").write.mode("append").parquet(str(src))
     q = (live.follow_subjects(live.fix_stream(spark, str(src), df.schema)).writeStream.format("memory").queryName("follow")
          .option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start())
     assert q.awaitTermination(60)
