@@ -530,9 +530,9 @@ def _(s):
 REVIEW = f"""
 bare AS (SELECT u.* FROM units u WHERE {o.SPACE} AND NOT EXISTS (SELECT 1 FROM openings x WHERE x.building_id = u.building_id AND x.unit_id = u.unit_id)),
 issues AS (
-  SELECT building_id, ordinal, 'doorless' AS rule, 'warn' AS severity, (CASE WHEN trim(name) <> '' THEN name ELSE 'Unnamed unit' END) || ' has no door — routing can''t reach it' AS message, unit_id FROM bare
-  UNION ALL SELECT building_id, ordinal, 'unnamed', 'warn', 'Unnamed unit (' || category || ')', unit_id FROM units WHERE {o.SPACE} AND trim(name) = ''
-  UNION ALL SELECT building_id, ordinal, 'vacant', 'info', (CASE WHEN trim(name) <> '' THEN name ELSE 'Unnamed unit' END) || ' is vacant', unit_id FROM units u
+  SELECT building_id, ordinal, 'doorless' AS rule, 'warn' AS severity, (CASE WHEN trim(name) <> '' THEN name ELSE '(blank)' END) || ': no door' AS message, unit_id FROM bare
+  UNION ALL SELECT building_id, ordinal, 'unnamed', 'warn', category || ': no name', unit_id FROM units WHERE {o.SPACE} AND trim(name) = ''
+  UNION ALL SELECT building_id, ordinal, 'vacant', 'info', (CASE WHEN trim(name) <> '' THEN name ELSE '(blank)' END) || ': no tenant', unit_id FROM units u
     WHERE {o.SPACE} AND NOT EXISTS (SELECT 1 FROM occupants x WHERE x.building_id = u.building_id AND x.unit_id = u.unit_id) AND building_id IN (SELECT building_id FROM occupants))
 """
 
