@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as g, labels
 from ..operators.spatial import FLOOR, number_rows
+from ..session import cut
 from .navgraph import hops, nav_graph
+from .routes import REQ, route_pairs
 
 WALK_MPS = 1.4
 
@@ -57,7 +59,8 @@ def auto_patrol(units, openings, verticals, patrols) -> dict[str, DataFrame]:
     Where every room of a floor hangs on its hall alone, the cost of going from
     room p to room q is w(p) + w(q): whichever room one stands in, the nearest
     unvisited one has the smallest w. The whole tour is then one sort. Floors
-    where rooms have other links go through `looped`, one hop per round.
+    where rooms have other links are toured stop by stop, all of them in one
+    job a stop; their legs carry the `path` walked.
     """
     graph = nav_graph(units, openings, verticals)
     bad = graph["errors"].select("building_id").distinct()
@@ -89,14 +92,62 @@ def auto_patrol(units, openings, verticals, patrols) -> dict[str, DataFrame]:
     )
     order = number_rows(tour, FLOOR, "key", "stop", bucket=1_000_000, ties=["w", "pos"])
     door = F.get("via", F.lit(0))
-    return {"tour": order.select(*FLOOR, F.col("src").alias("unit_id"), "stop", door.alias("door"), F.col("dst").alias("hall")),
-            "looped_floors": rooms.select(*FLOOR).distinct().join(simple, FLOOR, "left_anti")}
+    hung_tour = order.select(
+        *FLOOR, F.col("src").alias("unit_id"), "stop", door.alias("door"), F.col("dst").alias("hall"),
+        F.lit(None).cast("array<string>").alias("path"),
+    )
+    graph["hops"] = h
+    looped = cut(rooms.join(simple, FLOOR, "left_anti"))
+    return {"tour": hung_tour.unionByName(_looped(looped, graph)), "looped_floors": looped.select(*FLOOR).distinct()}
+
+
+def _looped(rooms: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
+    """Tours of floors with any links: each round every floor goes on to its
+    nearest unvisited room, until none is in reach."""
+    first = rooms.groupBy(*FLOOR).agg(F.min_by("src", "pos").alias("unit_id"))
+    blank = F.lit(None).cast("string")
+    tour = cut(first.select(
+        *FLOOR, "unit_id", F.lit(1).cast("bigint").alias("stop"), blank.alias("door"), blank.alias("hall"),
+        F.lit(None).cast("array<string>").alias("path"),
+    ))
+    if tour.isEmpty():
+        return tour
+    goals = rooms.select(*FLOOR, F.col("src").alias("goal_id"), "pos")
+    pairs = rooms.select(*FLOOR, F.col("src").alias("request_id")).join(goals, FLOOR).where("request_id != goal_id")
+    legs = cut(
+        route_pairs(pairs.select(*REQ, F.col("request_id").alias("start_id"), "goal_id"), graph)
+        .join(goals, ["building_id", "goal_id"])
+        .select(*FLOOR, F.col("request_id").alias("unit_id"), "goal_id", "pos", F.round("cost", 6).alias("cost"), "path")
+    )
+    stop = 1
+    while True:
+        been = tour.select(*FLOOR, F.col("unit_id").alias("goal_id"))
+        step = (
+            tour.where(F.col("stop") == stop).select(*FLOOR, "unit_id").join(legs, [*FLOOR, "unit_id"])
+            .join(been, [*FLOOR, "goal_id"], "left_anti")
+            .groupBy(*FLOOR).agg(F.min(F.struct("cost", "pos", "goal_id", "path")).alias("best"))
+        )
+        stop += 1
+        fresh = cut(step.select(
+            *FLOOR, F.col("best.goal_id").alias("unit_id"), F.lit(stop).cast("bigint").alias("stop"),
+            blank.alias("door"), blank.alias("hall"), F.col("best.path").alias("path"),
+        ))
+        if fresh.isEmpty():
+            return tour
+        tour = cut(tour.unionByName(fresh))
 
 
 def tour_points(tour: DataFrame, units, openings, verticals) -> DataFrame:
     """Waypoints of a tour in order: room, door, hall, door, room ...; repeats
     of the same point in a row are dropped."""
-    nodes = nav_graph(units, openings, verticals)["nodes"].select("building_id", "node", "xy")
+    nodes = nav_graph(units, openings, verticals)["nodes"].select("building_id", "node", "xy", F.col("ordinal").alias("on"))
+    looped = tour.join(tour.where("path is not null").select(*FLOOR).distinct(), FLOOR, "left_semi")
+    tour = tour.join(looped.select(*FLOOR).distinct(), FLOOR, "left_anti")
+    # A leg starts where the one before it ended, so its first node is left out.
+    walked = F.when(F.col("path").isNull(), F.array("unit_id")).otherwise(F.slice("path", F.lit(2), F.size("path")))
+    legs = looped.select(*FLOOR, "stop", F.posexplode(walked).alias("i", "node")).select(
+        *FLOOR, (F.col("stop") * 1_000_000 + F.col("i")).alias("seq"), "node"
+    )
     n = tour.groupBy(*FLOOR).agg(F.max("stop").alias("last")).where("last > 1")
     parts = F.array(
         F.struct(F.lit(0).alias("k"), F.when(F.col("stop") > 1, F.col("hall")).alias("node")),
@@ -105,7 +156,8 @@ def tour_points(tour: DataFrame, units, openings, verticals) -> DataFrame:
         F.struct(F.lit(3).alias("k"), F.when(F.col("stop") < F.col("last"), F.col("door")).alias("node")),
     )
     rows = tour.join(n, FLOOR).select(*FLOOR, "stop", F.inline(parts)).where("node is not null")
-    return rows.join(nodes, ["building_id", "node"]).withColumn("seq", F.col("stop") * 4 + F.col("k")).select(
+    rows = rows.select(*FLOOR, (F.col("stop") * 4 + F.col("k")).alias("seq"), "node").unionByName(legs)
+    return rows.join(nodes, ["building_id", "node"]).where(F.col("on") == F.col("ordinal")).select(
         *FLOOR, "seq", "node", F.col("xy").alias("at")
     )
 

@@ -88,8 +88,14 @@ def routes(
         .join(has("goal_id"), ["building_id", "goal_id"], "left_semi")
         .select(*REQ, "start_id", "goal_id")
     )
-    best = _relax(live, graph)
-    goal = live.select(*REQ, "goal_id")
+    return requests.select(*REQ, "start_id", "goal_id").join(route_pairs(live, graph).drop("goal_id"), REQ, "left")
+
+
+def route_pairs(pairs: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
+    """Cheapest path of each (request_id, building_id, start_id, goal_id) that
+    has one; pairs that share a request and a start are relaxed once."""
+    best = _relax(pairs.select(*REQ, "start_id").distinct(), graph)
+    goal = pairs.select(*REQ, "goal_id")
     at_goal = best.join(goal, REQ).where("node = goal_id")
     last = (
         best.join(goal, REQ)
@@ -99,10 +105,9 @@ def routes(
             ["building_id", "node", "goal_id"],
         )
         .where(~F.array_contains("path", F.col("goal_id")))
-        .select(*REQ, (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", "via", F.array("goal_id")).alias("path"))
+        .select(*REQ, "goal_id", (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", "via", F.array("goal_id")).alias("path"))
     )
-    found = _best(at_goal.select(*REQ, "cost", "path").unionByName(last), REQ)
-    return requests.select(*REQ, "start_id", "goal_id").join(found, REQ, "left")
+    return _best(at_goal.select(*REQ, "goal_id", "cost", "path").unionByName(last), [*REQ, "goal_id"])
 
 
 def egress(

@@ -126,3 +126,17 @@ def test_trajectory_and_tour(spark):
     assert [r.unit_id for r in tour.orderBy("stop").collect()] == ["a", "c", "b"]
     nodes = [r.node for r in patrol.tour_points(tour, u, o, none(spark)).orderBy("seq").collect()]
     assert nodes == ["a", "door:da", "hall", "door:dc", "c", "door:dc", "hall", "door:db", "b"]
+
+
+def test_tour_stop_by_stop(spark):
+    """The way floors with any links go, on a floor where the sort is right."""
+    u = units(spark, HALL + [("c", "room", rect(10, 0, 20, 10), "C")])
+    o = openings(spark, DOORS + [("dc", "c", (15, 10), None)])
+    graph = navgraph.nav_graph(u, o, none(spark))
+    graph["hops"] = navgraph.hops(graph)
+    rooms = u.where("category = 'room'").select("building_id", "ordinal", F.col("unit_id").alias("src"), "pos")
+    tour = patrol._looped(rooms, graph)
+    assert [r.unit_id for r in tour.orderBy("stop").collect()] == ["a", "c", "b"]
+    nodes = [r.node for r in patrol.tour_points(tour, u, o, none(spark)).orderBy("seq").collect()]
+    assert nodes == ["a", "door:da", "hall", "door:dc", "c", "door:dc", "hall", "door:db", "b"]
+    assert patrol._looped(rooms.where("false"), graph).count() == 0
