@@ -24,7 +24,7 @@ from .batches import add_columns
 
 WORDS_AT_ONCE = 20_000
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 MERGE = """
 WITH RECURSIVE t(spot, tok, done) AS (
@@ -83,7 +83,7 @@ class Encoder:
         self.split = regex.compile(white).findall
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '300MB'")
+        self.db.execute("SET threads = 1; SET memory_limit = '150MB'")
         left, right, rank = np.array(merges, np.int64).reshape(-1, 3).T
         pairs = pa.table({"tokens": left << 32 | right, "rank": rank.astype(np.int32)})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
@@ -122,7 +122,7 @@ class Encoder:
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '300MB'")
+        self.db.execute("SET threads = 1; SET memory_limit = '150MB'")
         pieces = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM pieces")
 
