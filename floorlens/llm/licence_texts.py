@@ -1,4 +1,10 @@
-"""Published licence texts and notices, by SPDX identifier."""
+"""Published licence texts and notices, by SPDX identifier.
+
+Long texts are files in ``licences``, named by the identifier; the text of a
+GNU licence alone does not say "or later" and counts as ``-only``.
+"""
+
+from pathlib import Path
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -43,7 +49,13 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 
+WHOLE = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
+#: Whole texts are also in use without the instructions that follow this line.
+LAST = "END OF TERMS AND CONDITIONS"
+
 TEXTS = [
+    *WHOLE,
+    *[(k, t[: t.index(LAST) + len(LAST)]) for k, t in WHOLE if LAST in t],
     ("MIT", MIT),
     ("MIT", "The MIT License\n\n" + MIT),
     ("MIT", "MIT License\n\n" + MIT),

@@ -1,6 +1,7 @@
 """Operators that read one document at a time, against brute force."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -128,6 +129,24 @@ def test_licences(spark):
     assert licence_scan.report(docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("at, last, names", [
+    ("/usr/share/common-licenses/", "", {
+        "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only",
+        "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0",
+    }),
+    (f"{os.path.dirname(licence_scan.__file__)}/licences/", ".txt", {"CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0"}),
+])
+def test_whole_licence_files(spark, at, last, names):
+    if not os.path.isdir(at):
+        pytest.skip(f"no {at}")
+    given = [open(f"{at}{x}{last}", encoding="utf-8").read() for x in names]
+    cut = [t[: t.index("END OF TERMS AND CONDITIONS") + 27] for t in given if "END OF TERMS AND CONDITIONS" in t]
+    got = {r.doc_id: r.licence for r in licence_scan.report(docs(spark, [*given, *cut, given[0] + "\nand more"])).collect()}
+    assert [got[i] for i in range(len(given))] == list(names.values())
+    assert None not in [got[len(given) + i] for i in range(len(cut))]
+    assert got[len(given) + len(cut)] is None
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li>Menu</li></ul></nav><div class="cookie-notice"><p>We use cookies, really, we do.</p></div>
 <article><h1>Head &amp; tail</h1><p><b>First<br>line, of   some&nbsp;length.<p>Second paragraph, with <i>marks</i>.</p>
