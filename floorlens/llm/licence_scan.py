@@ -13,10 +13,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .licence_texts import SPELLINGS, TEXTS
-
-#: A line that claims copyright: the word or the sign with a year or a name.
-CLAIM = r"(?m)^[ \t]*(?:#|//|\*|--|;)*[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
+from .licence_texts import PROSE, SPELLINGS, TEXTS
+
+def other_word(words, start=True) -> str:
+    """A pattern for a word, or the rest of one, that is none of ``words``;
+    without lookahead, so that Java and RE2 take it."""
+    firsts = sorted({w[0] for w in words if w})
+    rest = [rf"(?:[^\P{{L}}{''.join(firsts)}]|\p{{N}})[\p{{L}}\p{{N}}]*"]
+    rest += [f + other_word([w[1:] for w in words if w[:1] == f], False) for f in firsts]
+    return f"(?:{'|'.join(rest)})" + ("" if start or "" in words else "?")
+
+
+#: A line that claims copyright: the word, then a year, a sign or a name but
+#: no word of a licence's own sentences; ``(c)`` with a year after it or at
+#: the line's end, as list items begin so too; or the sign.
+YEAR = r"[^\p{L}\p{N}\n]*(?:19|20)\p{N}\p{N}\b"
+CLAIM = (
+    r"(?m)^[ \t]*(?:#|//|\*|--|;)*[ \t]*(?:©[^\n]*|\(c\)(?:[^\n]*" + YEAR + r"[^\p{L}\n]*|" + YEAR + r"[^\n]*|[ \t]*copyright\b[^\n]*)"
+    r"|copyright[^\p{L}\p{N}\n]+(?:" + rf"{other_word(PROSE)}(?:[^\p{{L}}\p{{N}}\n][^\n]*)?"
+    r"|the\b[^\n]*\b(?:authors|contributors|developers|foundation|project|team)\b[^\p{L}\n]*))$"
+)
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 

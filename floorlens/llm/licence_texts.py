@@ -4,6 +4,7 @@ Long texts are files in ``licences``, named by the identifier; the text of a
 GNU licence alone does not say "or later" and counts as ``-only``.
 """
 
+import re
 from pathlib import Path
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -106,3 +107,14 @@ SPELLINGS = [
     ("wilful", "willful"),
     ("https", "http"),
 ]
+#: Those of several words also where a line ends within them.
+SPELLINGS += [
+    (found.replace(" ", f"{a}\n{b}"), kept.replace(" ", "\n ") if " " in kept else f"{kept} \n")
+    for found, kept in SPELLINGS if " " in found for a in (" ", "  ") for b in (" ", "  ")
+]
+
+#: Words after "copyright" in the sentences of licences; a wrapped line may begin there.
+PROSE = """also and are as disclaimer disclaimers doctrines for holder holders if in interest interests is law laws license
+licenses licence licences like line notice notices of on or owner owners ownership patent permission protection related rights
+statement statements the those to treaty under which with""".split()
+PROSE = sorted({*PROSE, *(w for _, t in TEXTS for w in re.findall(r"copyright[^a-z0-9]+([a-z]+)", t.lower()))} - {"c", "yyyy"})

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from floorlens.llm import byte_bpe, crf_language, decontaminate, html_cut, licence_scan, rule_quality
-from floorlens.llm.licence_texts import MIT
+from floorlens.llm.licence_texts import MIT, TEXTS
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -129,6 +130,32 @@ def test_licences(spark):
     assert licence_scan.report(docs(spark, [])).collect() == []
 
 
+def wrapped(text, width):
+    """Paragraphs filled anew; lines that claim copyright stay on their own."""
+    own = r"(?mi)^([ \t]*copyright (?:\(c\)|\[yyyy)[^\n]*)$"
+    parts = [p for q in re.split(r"\n\s*\n", text) for p in re.split(own, q) if p.strip()]
+    return "\n\n".join(p if re.match(own, p) else textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in parts)
+
+
+def test_licences_wrapped_anywhere(spark):
+    known = licence_scan.known(spark)
+    widths = (30, 44, 60, 67, 72, 79, 100, 5000)
+    given = [(k, w, wrapped(t, w)) for k, t in TEXTS for w in widths]
+    got = {r.doc_id: r.licence for r in licence_scan.scan(docs(spark, [t for _, _, t in given]), known).collect()}
+    missed = [(k, w) for i, (k, w, _) in enumerate(given) if got[i] != k]
+    # at this width a line begins with the claim that stands within GPL-2's sample sentence on Gnomovision
+    assert missed == [("GPL-2.0-only", 30)]
+
+
+def test_claims(spark):
+    claims = ["Copyright 2020 Jane", "Copyright (c) Jane", "# (C) 2019, 2020 Jane", "© Jane", "Copyright: Jane Doe", "COPYRIGHT The Foo Authors.",
+              "(c) Jane Doe 2020", "copyright by Jane", "// Copyright [yyyy] [name of copyright owner]", "Copyright Noticeboard Inc."]
+    kept = ["copyright notice and this permission notice appear", "(c) You must retain all notices", "COPYRIGHT HOLDERS AND CONTRIBUTORS",
+            "copyright", "(c) names from 2020 must stay", "copyright the software", "copyrights 2020"]
+    rows = licence_scan.scan(docs(spark, [f"{x}\n{MIT}" for x in claims + kept]), licence_scan.known(spark)).collect()
+    assert {r.doc_id for r in rows if r.licence == "MIT"} == set(range(len(claims)))
+
+
 @pytest.mark.parametrize("at, last, names", [
     ("/usr/share/common-licenses/", "", {
         "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only",
