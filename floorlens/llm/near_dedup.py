@@ -2,8 +2,9 @@
 
 Each text becomes the set of its 5-word shingles. Every permutation gives two
 signature values, the smallest and the largest hash, so 96 permutations give
-192 values. 32 bands of four find candidates: a pair at similarity 0.75 misses
-all of them with probability 5e-6. One bit of each value makes a sketch of 192
+192 values. 32 bands of four, each of four permutations, find candidates: a
+pair at similarity 0.75 misses all of them with probability 5e-6, whatever the
+size of the sets. One bit of each value makes a sketch of 192
 bits; pairs that agree on fewer than 146 are dropped (at similarity 0.75 the
 mean is 168, so one pair in a million is lost that way), which keeps texts that
 merely share a passage from being compared in full. Members of crowded buckets
@@ -75,7 +76,13 @@ def min_max(values: np.ndarray) -> np.ndarray:
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
-    values = signature.astype(np.uint64)[: BANDS * BAND].reshape(BANDS, BAND)
+    """One hash of each band. Its smallest and its largest values are of
+    different permutations: those of one permutation do not agree independently
+    in small sets."""
+    half = BAND // 2
+    of = signature.astype(np.uint64).reshape(PERMUTATIONS, 2)
+    low, high = of[: BANDS * half, 0], of[-BANDS * half :, 1]
+    values = np.hstack((low.reshape(BANDS, half), high.reshape(BANDS, half)))
     return mix((values * _PLACE[:BAND]).sum(1, dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64)))
 
 

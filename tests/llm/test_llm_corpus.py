@@ -144,6 +144,16 @@ def test_sketch_keeps_linked_pairs():
         assert 0 < apart <= 200
 
 
+def test_bands_of_small_sets_agree_like_those_of_large_ones():
+    """Texts of 7 and 8 words at similarity 0.75: a band agrees with (3/4)^4."""
+    rng = np.random.default_rng(4)
+    agreed = []
+    for _ in range(2000):
+        pool = rng.integers(0, 1 << 63, 4).astype(np.uint64) << np.uint64(1)
+        agreed.append((near_dedup.bands(near_dedup.min_max(pool[:3])) == near_dedup.bands(near_dedup.min_max(pool))).mean())
+    assert abs(np.mean(agreed) - 0.75**4) < 0.01
+
+
 def test_class_lm_base_scores(spark):
     rng = np.random.default_rng(7)
     rows = [(i, " ".join(rng.choice(words(np.random.default_rng(i % 3), 30), 25))) for i in range(60)]
