@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bm25_search, byte_bpe, class_lm, crf_language, decontaminate, html_cut, licence_scan, near_dedup, rule_quality, suffix_dedup
+from . import (
+    bm25_search, byte_bpe, class_lm, crf_language, decontaminate, html_cut, licence_scan, merkle_manifest, near_dedup, neighbour_graph,
+    rule_quality, suffix_dedup, table_kmeans,
+)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +117,87 @@ def op6_html_cut(spark, sf_dir):
 def op8_bm25_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return bm25_search.top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """One nearest-centroid join and one update for each round, then the last join."""
+    parts = [
+        """v AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+  WHERE coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64, false)),
+x AS (SELECT row, unnest(range(64)) AS d, unnest(list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT)) AS value FROM v),
+first AS (SELECT row, row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT)) - 1 AS k
+          FROM v ORDER BY k LIMIT 16),
+c0 AS (SELECT k, d, value FROM first JOIN x USING (row))"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""s{r} AS (SELECT row, k, sum((x.value - c.value) * (x.value - c.value))::BIGINT AS distance FROM x JOIN c{r} AS c USING (d) GROUP BY row, k),
+a{r} AS (SELECT row, k, distance FROM s{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, k) = 1),
+m{r} AS (SELECT k, d, (sum(value) - ((sum(value) % count(*)) + count(*)) % count(*)) // count(*) AS value FROM a{r} JOIN x USING (row) GROUP BY k, d),
+c{r + 1} AS (SELECT k, d, coalesce(m.value, c.value)::BIGINT AS value FROM c{r} AS c LEFT JOIN m{r} AS m USING (k, d))"""
+        )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT v.vec_id, k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, h.mark AS centroid_sha256
+FROM a{rounds} JOIN v USING (row)
+JOIN (SELECT k, sha256(string_agg(value::VARCHAR, ',' ORDER BY d)) AS mark FROM c{rounds} GROUP BY k) AS h USING (k)"""
+    )
+
+
+@query("op11_table_kmeans", _kmeans_sql(table_kmeans.ROUNDS))
+def op11_table_kmeans(spark, sf_dir):
+    return table_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_neighbour_graph")
+def op12_neighbour_graph(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbour_graph.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query(
+    "op13_merkle_manifest",
+    """
+WITH RECURSIVE crc AS (
+  SELECT [list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+          FOR b IN range(256)] AS tab),
+d AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, [ord(z)::BIGINT FOR z IN string_split(doc_id::VARCHAR, '')]),
+                lambda c, z: xor(c >> 8, tab[(xor(c, z) & 255) + 1]))) % 3 = 0 AS struck FROM documents, crc),
+f AS (
+  SELECT doc_id, lang, struck, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM d),
+leaf AS (
+  SELECT doc_id, h, CASE WHEN struck THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) ELSE h END AS got,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g
+  FROM (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h FROM f)),
+up AS (
+  SELECT g, 0 AS level, i, h, count(*) OVER (PARTITION BY g) AS n FROM leaf
+  UNION ALL
+  SELECT g, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY g, level, i // 8, n),
+ends AS (SELECT g, h AS subroot, max(level) OVER (PARTITION BY g) AS height FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, g - 1 AS i, subroot AS h, count(*) OVER () AS n FROM ends
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, i // 8, n),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+runs AS (
+  SELECT g, level, i // 8 AS run, string_agg(h, '' ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT g, height + level, i // 8, string_agg(h, '' ORDER BY i) FROM top, (SELECT g, height FROM ends) WHERE n > 1 GROUP BY ALL),
+walk AS (
+  SELECT doc_id, h, i AS r, g, 0 AS level, i, height, got AS acc, '' AS beside FROM leaf JOIN ends USING (g)
+  UNION ALL
+  SELECT doc_id, h, r, g, level + 1, place // 8, height, sha256(hs[: place % 8 * 64] || acc || hs[place % 8 * 64 + 65 :]),
+         beside || hs[: place % 8 * 64] || hs[place % 8 * 64 + 65 :]
+  FROM (SELECT *, CASE WHEN level = height THEN g - 1 ELSE i END AS place FROM walk) JOIN runs USING (g, level) WHERE run = place // 8)
+SELECT doc_id, w.h AS leaf, subroot, root, sha256(beside) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM walk AS w JOIN ends USING (g), root WHERE level = w.height + (SELECT max(level) FROM top)
+""",
+)
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.report(table(spark, sf_dir, "documents"))
