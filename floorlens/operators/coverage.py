@@ -131,19 +131,6 @@ def coverage(units, footprints, visibility, pitch: float = PITCH_M) -> DataFrame
     )
 
 
-def blind_runs(units, footprints, visibility, pitch: float = PITCH_M) -> DataFrame:
-    """Maximal blind runs per scanline."""
-    s = spans(units, footprints, visibility, pitch).where("cameras = 0")
-    w = Window.partitionBy(*FLOOR, "line").orderBy("x1")
-    fresh = F.coalesce(F.col("x1") > F.lag("x2").over(w) + 1e-9, F.lit(True)).cast("int")
-    return (
-        s.withColumn("fresh", fresh)
-        .withColumn("run", F.sum("fresh").over(w))
-        .groupBy(*FLOOR, "line", "run")
-        .agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
-    )
-
-
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str]):
     """Connected components by smallest label, with pointer jumping.
 
@@ -180,42 +167,6 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]):
             return labels
 
 
-def blind_regions(units, footprints, visibility, pitch: float = PITCH_M) -> DataFrame:
-    """Connected blind regions per floor with area and extent. Regions join
-    when their runs on neighbouring scanlines overlap."""
-    runs = cut(
-        blind_runs(units, footprints, visibility, pitch).withColumn(
-            "node", F.struct(F.col("line").alias("line"), F.col("run").alias("run"))
-        )
-    )
-    tiles = lambda d: d.withColumn(
-        "column", F.explode(F.sequence(F.floor(F.col("x1") / COLUMN_M), F.floor(F.col("x2") / COLUMN_M)))
-    )
-    up = tiles(runs).select(
-        *FLOOR, (F.col("line") + 1).alias("line"), "column",
-        F.col("node").alias("a"), F.col("x1").alias("ax1"), F.col("x2").alias("ax2"),
-    )
-    pairs = (
-        tiles(runs)
-        .join(up, [*FLOOR, "line", "column"])
-        .where("x1 < ax2 and ax1 < x2")
-        .select(*FLOOR, "a", F.col("node").alias("b"))
-        .distinct()
-    )
-    label = components(runs, pairs, FLOOR)
-    return (
-        runs.join(label, [*FLOOR, "node"])
-        .groupBy(*FLOOR, "label")
-        .agg(
-            (F.sum(F.col("x2") - F.col("x1")) * pitch).alias("area_m2"),
-            F.min("x1").alias("x0"),
-            F.max("x2").alias("x1"),
-            (F.min("line") * pitch).alias("y0"),
-            ((F.max("line") + 1) * pitch).alias("y1"),
-        )
-    )
-
-
 def grid_cells(shapes: DataFrame, pitch: float = GRID_M, offset=None) -> DataFrame:
     """Cell centres inside each floor, `pitch` apart on floors of any size."""
     step = F.max(F.lit(float(pitch)))

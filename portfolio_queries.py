@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 import portfolio_oracle as o
 from floorlens.functions import geometry as g, labels, optics
-from floorlens.operators import coverage as cov, index as idx, places, probe, quality, visitor
+from floorlens.operators import coverage as cov, index as idx, places, probe, quality, regions, visitor
 from floorlens.operators.spatial import FLOOR, number_rows
 from floorlens.operators.visibility import visibility
 from floorlens.operators.walls import walls
@@ -197,13 +197,55 @@ def _(s):
     return cov.grid_coverage(s.units, s.footprints, scene_rings(s))
 
 
-@query("blind_regions")
+REGIONS = """
+clip0 AS (SELECT *, coalesce(max(x2) OVER (PARTITION BY building_id, ordinal, line ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e9) AS upto FROM clip),
+clip1 AS (SELECT *, sum(CASE WHEN x1 > upto + 1e-6 THEN 1 ELSE 0 END) OVER (PARTITION BY building_id, ordinal, line ORDER BY x1, x2 ROWS UNBOUNDED PRECEDING) AS n FROM clip0),
+crun AS (SELECT building_id, ordinal, line, min(x1) AS x1, max(x2) AS x2 FROM clip1 GROUP BY building_id, ordinal, line, n HAVING max(x2) - min(x1) > 1e-6),
+edge0 AS (SELECT building_id, ordinal, line, x1, x2 FROM crun
+  UNION ALL SELECT building_id, ordinal, line, -1::DOUBLE, 0::DOUBLE FROM floors, range(52) t(line)
+  UNION ALL SELECT building_id, ordinal, line, 60::DOUBLE, 61::DOUBLE FROM floors, range(52) t(line)),
+gap AS (SELECT building_id, ordinal, line, x2 AS x1, lead(x1) OVER (PARTITION BY building_id, ordinal, line ORDER BY x1, x2) AS x2 FROM edge0),
+run AS (SELECT 'covered' AS kind, * FROM crun UNION ALL SELECT 'blind', * FROM gap WHERE x2 - x1 > 1e-6),
+runs_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY kind, building_id, ordinal, line, x1) AS id, * FROM run),
+touch AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.kind, a.building_id, a.ordinal FROM runs_ a
+  JOIN runs_ b ON a.kind = b.kind AND a.building_id = b.building_id AND a.ordinal = b.ordinal AND b.line = a.line + 1
+  WHERE a.x1 < b.x2 AND b.x1 < a.x2),
+both_ AS MATERIALIZED (SELECT a, b FROM touch UNION ALL SELECT b, a FROM touch),
+lab(id, low) USING KEY (id) AS (
+  SELECT id, id FROM runs_
+  UNION
+  SELECT u.id, min(v.low) FROM recurring.lab u, both_ e, lab v WHERE e.a = u.id AND e.b = v.id AND v.low < u.low GROUP BY u.id),
+labelled AS (SELECT r.*, low FROM runs_ r JOIN lab USING (id))
+"""
+
+
+@query("blind_regions", o.sql(
+    """SELECT building_id, ordinal, round(sum(x2 - x1) * 0.25, 3) AS area_m2, round(min(x1), 3) AS x0, min(line) * 0.25::DOUBLE AS y0,
+    round(max(x2), 3) AS x1, (max(line) + 1) * 0.25::DOUBLE AS y1 FROM labelled WHERE kind = 'blind' GROUP BY building_id, ordinal, low""",
+    o.WALLS, o.RINGS, SCAN, REGIONS))
 def _(s):
-    return cov.blind_regions(s.units, s.footprints, scene_rings(s)).select(
+    return regions.blind_regions(s.units, s.footprints, scene_rings(s)).select(
         *FLOOR, r3("area_m2", "area_m2"), r3("x0", "x0"), "y0", r3("x1", "x1"), "y1"
     )
 
 
+# A region of runs has as many holes as links between its runs beyond those
+# that a tree needs, so rings can be counted without drawing any.
+@query("coverage_outlines", o.sql(
+    """SELECT kind, building_id, ordinal, regions AS outlines, coalesce(links, 0) - runs + regions AS holes, area_m2 FROM (
+      SELECT kind, building_id, ordinal, count(*) AS runs, count(DISTINCT low) AS regions, round(sum(x2 - x1) * 0.25, 2) AS area_m2
+      FROM labelled GROUP BY ALL)
+    LEFT JOIN (SELECT kind, building_id, ordinal, count(*) AS links FROM touch GROUP BY ALL) USING (kind, building_id, ordinal)""",
+    o.WALLS, o.RINGS, SCAN, REGIONS))
+def _(s):
+    rings = regions.outlines(s.units, s.footprints, scene_rings(s))
+    area = g.polygon_area(F.col("ring"))
+    return rings.groupBy("kind", *FLOOR).agg(
+        F.count_if(~F.col("hole")).alias("outlines"), F.count_if("hole").alias("holes"),
+        F.round(F.sum(F.when(F.col("hole"), -area).otherwise(area)), 2).alias("area_m2"),
+    )
+
+
 # -- camera index ----------------------------------------------------------
 
 # Rooms of 6 x 5 m catch no point of the 8 m sample grid except at (4, 4),
@@ -1074,7 +1116,7 @@ def _(s):
 def _(s):
     rings = scene_rings(s)
     c = cov.coverage(s.units, s.footprints, rings)
-    r = cov.blind_regions(s.units, s.footprints, rings)
+    r = regions.blind_regions(s.units, s.footprints, rings)
     return report.report_lines(s.levels, s.units, s.cameras, c, r, "2024-06-01T00:00:00Z")
 
 

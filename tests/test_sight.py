@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorlens.functions import geometry as g
-from floorlens.operators import coverage as cov, probe
+from floorlens.operators import coverage as cov, probe, regions
 from floorlens.operators.visibility import visibility
 from floorlens.operators.walls import walls
 from helpers import area, cameras, footprints, pts, rect, structures, units
@@ -119,7 +119,7 @@ def test_coverage_of_strided_cones(spark, n, pct, blind):
     fp = footprints(spark, [rect(0, 0, 100, 10)])
     c = cov.coverage(u, fp, boxes(spark, n)).first()
     assert c.coverage_pct == pytest.approx(pct) and c.floor_m2 == pytest.approx(1000)
-    assert cov.blind_regions(u, fp, boxes(spark, n)).count() == blind
+    assert regions.blind_regions(u, fp, boxes(spark, n)).count() == blind
 
 
 def test_union_does_not_depend_on_order_and_uses_units_without_footprint(spark):
