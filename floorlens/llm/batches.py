@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +38,16 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and
+    idle ones would hold what their largest batch took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def add_columns(
     df: DataFrame,
     column: str,
@@ -45,16 +57,22 @@ def add_columns(
 ) -> DataFrame:
     """Adds ``fields`` to each row. ``make()`` runs once a task and gives a
     function from a slice (bounded by the bytes of ``column``) to the arrays
-    of the new columns. Columns of the same names are replaced."""
+    of the new columns; if that has an attribute ``close``, it is called at the
+    task's end. Columns of the same names are replaced."""
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
     names = [f.name for f in kept]
 
     def run(stream):
         work = make()
-        for batch in stream:
-            for part in slices(batch, column):
-                arrays = [part.column(n) for n in names] + work(part)
-                yield pa.RecordBatch.from_arrays(arrays, [*names, *(f.name for f in fields)])
+        try:
+            for batch in stream:
+                for part in slices(batch, column):
+                    arrays = [part.column(n) for n in names] + work(part)
+                    yield pa.RecordBatch.from_arrays(arrays, [*names, *(f.name for f in fields)])
+        finally:
+            if hasattr(work, "close"):
+                work.close()
+                give_back()
 
     return df.mapInArrow(run, T.StructType([*kept, *fields]))

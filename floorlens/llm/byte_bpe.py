@@ -75,20 +75,30 @@ def merge_table(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     return table
 
 
+def connected() -> duckdb.DuckDBPyConnection:
+    """One thread, bounded memory and no file: beyond the bound it fails."""
+    return duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
+
+
 class Encoder:
-    """One DuckDB connection and one memory of words per Python worker."""
+    """A memory of words per Python worker, and a DuckDB connection per task."""
 
     def __init__(self, ranks: dict[bytes, int], merges: list[tuple[int, int, int]], pattern: str):
         white = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.split = regex.compile(white).findall
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '150MB'")
         left, right, rank = np.array(merges, np.int64).reshape(-1, 3).T
-        pairs = pa.table({"tokens": left << 32 | right, "rank": rank.astype(np.int32)})  # noqa: F841
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
+        self.pairs = pa.table({"tokens": left << 32 | right, "rank": rank.astype(np.int32)})
         self.known: dict[str, bytes] = {}
 
+    def open(self) -> None:
+        self.db = connected()
+        self.db.register("pairs", self.pairs)
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
+
+    def close(self) -> None:
+        self.db.close()
+
     def learn(self, words: list[str]) -> None:
         for i in range(0, len(words), WORDS_AT_ONCE):
             some = words[i : i + WORDS_AT_ONCE]
@@ -121,11 +131,16 @@ class Encoder:
 
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
-        self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '150MB'")
-        pieces = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.hex() for t in ranks]})  # noqa: F841
+        self.pieces = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.hex() for t in ranks]})
+
+    def open(self) -> None:
+        self.db = connected()
+        self.db.register("pieces", self.pieces)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM pieces")
 
+    def close(self) -> None:
+        self.db.close()
+
     def decode(self, packed: list[bytes | None]) -> list[bytes]:
         size = np.array([len(x or b"") // 4 for x in packed])
         ids = pa.table({
@@ -144,9 +159,11 @@ _WORKERS: dict = {}
 
 
 def _once(key, make):
-    """Workers live on between tasks; what they learned of words stays true."""
+    """Workers live on between tasks; what they learned of words stays true, the
+    connection is the task's own."""
     if key not in _WORKERS:
         _WORKERS[key] = make()
+    _WORKERS[key].open()
     return _WORKERS[key]
 
 
@@ -168,6 +185,7 @@ def encode(
             coded = worker.encode(part.column(text).to_pylist())
             return [pa.array(coded, pa.binary()), pa.array([len(x) // 4 for x in coded], pa.int64())]
 
+        work.close = worker.close
         return work
 
     fields = [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())]
@@ -190,6 +208,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
                 raise ValueError("an id is outside the vocabulary")
             return [pa.array(worker.decode(packed), pa.binary())]
 
+        work.close = worker.close
         return work
 
     return add_columns(df, ids, [T.StructField(decoded, T.BinaryType())], make)

@@ -48,6 +48,7 @@ def test_bpe_is_tiktoken(spark):
 def test_bpe_merges_leftmost_lowest_first():
     ranks = byte_bpe.read_ranks(PATH)
     worker = byte_bpe.Encoder(ranks, byte_bpe.merge_table(ranks), public_tokenizers.PATTERN)
+    worker.open()
 
     def merged(word):
         parts = [word[i : i + 1] for i in range(len(word))]
