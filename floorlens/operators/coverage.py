@@ -9,7 +9,7 @@ lengths add up by partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as g
 from ..session import cut
@@ -167,9 +167,10 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]):
             return labels
 
 
-def grid_cells(shapes: DataFrame, pitch: float = GRID_M, offset=None) -> DataFrame:
-    """Cell centres inside each floor, `pitch` apart on floors of any size."""
-    step = F.max(F.lit(float(pitch)))
+def grid_cells(shapes: DataFrame, pitch=GRID_M, offset=None) -> DataFrame:
+    """Cell centres inside each floor, `pitch` apart: one number on floors of any
+    size, or an aggregate of a floor's shapes."""
+    step = pitch if isinstance(pitch, Column) else F.max(F.lit(float(pitch)))
     box = g.bbox(F.col("polygon"))
     floor = shapes.groupBy(*FLOOR).agg(
         step.alias("pitch"),

@@ -11,13 +11,15 @@ from floorlens.operators import coverage as cov, index as idx, places, probe, qu
 from floorlens.operators.spatial import FLOOR, number_rows
 from floorlens.operators.visibility import visibility
 from floorlens.operators.walls import walls
-from floorlens.plans import directions, navgraph, routes
+from floorlens.plans import directions, navgraph, routes, suggest
 from floorlens.session import cut, stored
 from floorlens.sources import catalogue
 from floorlens.sources.scene import Scene
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+#: Camera suggestions: points of a floor to be seen, and cameras to add at most.
+TARGET_PCT, MOST_NEW = 85.0, 20
 
 
 class Portfolio:
@@ -41,6 +43,8 @@ class Portfolio:
             return visibility(self.cameras, self.wall_segments)
         if name == "found_routes":
             return routes.routes(self.routes, self.units, self.openings, self.verticals)
+        if name == "suggested":
+            return suggest.suggest(self.units, self.footprints, self.cameras, self.wall_segments, self.rings, TARGET_PCT, MOST_NEW)
         return getattr(self._scene, name)
 
 
@@ -246,6 +250,54 @@ def _(s):
     )
 
 
+# -- camera suggestions ----------------------------------------------------
+
+# Mounts of rectangles: one for rooms of 30 m2, two for the hall.
+MOUNTS = """
+hold AS (SELECT u.building_id, u.unit_id FROM units u JOIN cameras c ON c.building_id = u.building_id AND c.ordinal = u.ordinal
+  AND cx >= x0 AND cx < x1 AND cy >= y0 AND cy < y1),
+mount0 AS (
+  SELECT u.*, i, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, CASE WHEN i = 0 THEN x0 ELSE x1 END AS vx, CASE WHEN i = 0 THEN y0 ELSE y1 END AS vy,
+    least(greatest(floor(1.7::DOUBLE * sqrt((x1 - x0) * (y1 - y0)) + 0.5), 16), 50) AS rng
+  FROM units u, range(2) t(i)
+  WHERE category NOT IN ('stairs','elevator','outside') AND (x1 - x0) * (y1 - y0) >= 25 AND (i = 0 OR (x1 - x0) * (y1 - y0) >= 120)
+    AND (building_id, unit_id) NOT IN (SELECT (building_id, unit_id) FROM hold)),
+mount1 AS (
+  SELECT *, vx + (mx - vx) / d * 1.3::DOUBLE AS rx, vy + (my - vy) / d * 1.3::DOUBLE AS ry
+  FROM mount0, LATERAL (SELECT sqrt((mx - vx) * (mx - vx) + (my - vy) * (my - vy)) AS d)),
+mount2 AS (SELECT *, degrees(atan2(my - ry, mx - rx)) AS rh FROM mount1),
+mounts AS (
+  SELECT m.building_id, m.ordinal, unit_id || '/' || i AS camera_id, pos * 8 + i AS pos, floor(rx * 10 + 0.5) / 10 AS cx, floor(ry * 10 + 0.5) / 10 AS cy,
+    (floor(rh + 360 + 0.5) % 360)::DOUBLE AS heading, 100::DOUBLE AS fov, rng, 'fixed' AS kind, name, NULL::DOUBLE AS tilt, NULL::DOUBLE AS mount, rx, ry, rh
+  FROM mount2 m WHERE NOT EXISTS (SELECT 1 FROM cameras c WHERE c.building_id = m.building_id AND c.ordinal = m.ordinal
+    AND sqrt((cx - rx) * (cx - rx) + (cy - ry) * (cy - ry)) <= 1.5
+    AND least(abs(c.heading - rh) % 360, 360 - abs(c.heading - rh) % 360) <= 25))
+"""
+
+
+@query("corner_mounts", o.sql(
+    """SELECT building_id, ordinal, camera_id AS candidate_id, CAST(row_number() OVER (PARTITION BY building_id, ordinal ORDER BY pos) AS INTEGER) AS seq,
+    name AS zone, round(cx, 3) AS x, round(cy, 3) AS y, heading, rng AS range_m, m2 AS seen_m2
+    FROM mounts JOIN (SELECT building_id, ordinal, camera_id, round(abs(sum(ax * by - bx * ay)) / 2, 2) AS m2 FROM redges GROUP BY ALL) USING (building_id, ordinal, camera_id)
+    WHERE m2 >= 15 QUALIFY row_number() OVER (PARTITION BY building_id, ordinal ORDER BY pos) <= 6""",
+    o.WALLS, MOUNTS, o.RINGS.replace("FROM cameras)", "FROM mounts)")))
+def _(s):
+    return suggest.corner_mounts(s.units, s.cameras, s.wall_segments, 6).select(
+        *FLOOR, "candidate_id", "seq", "zone", r3("at.x", "x"), r3("at.y", "y"), "heading", "range_m", F.round(g.polygon_area(F.col("ring")), 2).alias("seen_m2")
+    )
+
+
+@query("suggested_cameras")
+def _(s):
+    return s.suggested.select(*FLOOR, "seq", "way", "name", r3("at.x", "x"), r3("at.y", "y"), "heading", "fov_deg", "range_m", "gain")
+
+
+@query("suggestion_gain")
+def _(s):
+    return suggest.gain(s.units, s.footprints, scene_rings(s), s.suggested).select(*FLOOR, r3("before_pct"), r3("after_pct"), "corner_count", "fill_count").toDF(
+        *FLOOR, "before_pct", "after_pct", "corner_count", "fill_count")
+
+
 # -- camera index ----------------------------------------------------------
 
 # Rooms of 6 x 5 m catch no point of the 8 m sample grid except at (4, 4),
@@ -1117,7 +1169,7 @@ def _(s):
     rings = scene_rings(s)
     c = cov.coverage(s.units, s.footprints, rings)
     r = regions.blind_regions(s.units, s.footprints, rings)
-    return report.report_lines(s.levels, s.units, s.cameras, c, r, "2024-06-01T00:00:00Z")
+    return report.report_lines(s.levels, s.units, s.cameras, stored(c, "coverage"), stored(r, "regions"), "2024-06-01T00:00:00Z")
 
 
 @query("map_units", o.sql(
