@@ -232,6 +232,30 @@ def camera_walls(cameras, units, levels, views) -> DataFrame:
     return everything.unionByName(rooms).unionByName(saved)
 
 
+def camera_rail(cameras, units, levels, views) -> DataFrame:
+    """(floor keys, place, wall_kind, wall_id, name, cameras): the walls of each
+    floor in order. All cameras come first, then rooms with cameras, most of them
+    first and then by name, then every saved view of the building in its order,
+    with the cameras of it that are on this floor."""
+    walls = camera_walls(cameras, units, levels, views).where("wall_kind != 'saved'")
+    counted = walls.groupBy(*FLOOR, "wall_kind", "wall_id", "name").agg(F.count("*").alias("cameras"))
+    name = F.concat(F.lit("All · "), F.coalesce("name", F.concat(F.lit("L"), "ordinal")))
+    every = levels.join(counted.where("wall_kind = 'all'").select(*FLOOR, "cameras"), FLOOR, "left").select(
+        *FLOOR, F.lit("all").alias("wall_kind"), F.lit("all").alias("wall_id"), name.alias("name"), F.coalesce("cameras", F.lit(0)).alias("cameras"), F.lit(0).alias("pos")
+    )
+    rooms = counted.where("wall_kind = 'room'").withColumn("pos", F.lit(0))
+    live = views.select("building_id", "view_id", F.explode("camera_ids").alias("camera_id")).join(cameras.select(*FLOOR, "camera_id"), ["building_id", "camera_id"])
+    live = live.groupBy(*FLOOR, "view_id").agg(F.count("*").alias("cameras"))
+    saved = (
+        levels.select(*FLOOR).join(views.select("building_id", "view_id", "name", "pos"), "building_id").join(live, [*FLOOR, "view_id"], "left")
+        .select(*FLOOR, F.lit("saved").alias("wall_kind"), F.concat(F.lit("saved:"), "view_id").alias("wall_id"), "name", F.coalesce("cameras", F.lit(0)).alias("cameras"), "pos")
+    )
+    kind = F.when(F.col("wall_kind") == "all", 0).when(F.col("wall_kind") == "room", 1).otherwise(2)
+    size = F.when(F.col("wall_kind") == "room", -F.col("cameras")).otherwise(F.lit(0))
+    order = Window.partitionBy(*FLOOR).orderBy(kind, size, "pos", "name", "wall_id")
+    return every.unionByName(rooms).unionByName(saved).withColumn("place", F.row_number().over(order)).drop("pos")
+
+
 def units_without_camera(units: DataFrame, cameras: DataFrame) -> DataFrame:
     held = containing_units(cameras.select(*FLOOR, "camera_id", "at"), units, "camera_id")
     return units.join(held, [*FLOOR, "unit_id"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as g, optics
-from .spatial import FLOOR, points_in_boxes, rank_scores
+from .spatial import FLOOR, points_in_boxes
 from .visibility import CAMERA
 
 # Weight of aim, nearness and depth inside the view.
@@ -81,9 +81,9 @@ def rank_cameras(
     top: int | None = None,
 ) -> DataFrame:
     """Best view first per point. Every row is ranked; with `top` only that
-    page is kept, and Spark limits each group before the shuffle."""
+    page is kept, and Spark limits each group before the shuffle. A point is seen
+    by the cameras around it alone, so one window over a point suffices."""
     seen = see(points, cameras, visibility, point_id)
-    if top is None:
-        return rank_scores(seen, [*FLOOR, point_id], "score", ["cam_pos"])
     w = Window.partitionBy(*FLOOR, point_id).orderBy(F.desc("score"), "cam_pos")
-    return seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ranked = seen.withColumn("rank", F.row_number().over(w).cast("long" if top is None else "int"))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)

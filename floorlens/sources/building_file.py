@@ -6,8 +6,9 @@ A file holds one building as JSON, bare or inside an envelope
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import documents
 from ..functions import geometry as g
 from ..session import cut
 
@@ -23,7 +24,8 @@ BUILDING = (
     f"cameras:array<struct<id:string,ordinal:int,at:{_XY},heading:double,fovDeg:double,rangeM:double,kind:string,"
     "name:string,streamRef:string,tiltDeg:double,mountM:double,rollDeg:double,mount:string,opNumber:int,vfovDeg:double,"
     "status:string,model:string,serial:string,ipAddress:string,resolutionMP:double,installedOn:string,"
-    "lastServicedOn:string,notes:string>>,"
+    "lastServicedOn:string,notes:string,"
+    "presets:array<struct<slot:int,name:string,heading:double,tiltDeg:double,fovDeg:double,rangeM:double>>>>,"
     f"incidents:array<struct<id:string,ordinal:int,at:{_XY},kind:string,note:string>>,"
     f"patrols:array<struct<id:string,ordinal:int,name:string,points:{_RING}>>,"
     f"amenities:array<struct<id:string,ordinal:int,at:{_XY},kind:string,name:string>>,"
@@ -33,7 +35,8 @@ BUILDING = (
     f"voids:array<struct<id:string,ordinal:int,polygon:{_RING}>>,"
     f"occupants:array<struct<id:string,name:string,unitId:string,category:string,hours:string,phone:string,website:string,anchor:{_XY}>>,"
     f"vectorUnderlays:array<struct<ordinal:int,name:string,polylines:array<{_RING}>,opacity:double>>,"
-    "underlays:array<struct<ordinal:int,widthM:double>>,"
+    "underlays:array<struct<ordinal:int,dataUrl:string,naturalW:double,naturalH:double,widthM:double,offset:array<double>,rotation:double,opacity:double>>,"
+    "siteInfo:struct<hours:string,photos:array<string>>,"
     "cameraViews:array<struct<id:string,name:string,cameraIds:array<string>>>>"
 )
 DEFAULTED = [
@@ -99,51 +102,138 @@ def ring(c: str) -> Column:
     return F.transform(c, lambda p: g.pt(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
 
 
+#: Collection of a file to its table: order in the file, and field to column.
+TABLES = {
+    "levels": ("levels", "ordinal", {"ordinal": "ordinal", "name": "name", "ceilingM": "ceiling_m"}),
+    "units": ("units", "pos", {
+        "id": "unit_id", "ordinal": "ordinal", "name": "name", "category": "category", "security": "security", "polygon": "polygon"}),
+    "openings": ("openings", "pos", {
+        "id": "opening_id", "unit": "unit_id", "at": "at", "kind": "kind", "style": "style", "widthM": "width_m", "heightM": "height_m"}),
+    "verticals": ("verticals", "pos", {"a": "unit_a", "b": "unit_b", "name": "name"}),
+    "cameras": ("cameras", "pos", {
+        "id": "camera_id", "ordinal": "ordinal", "at": "at", "heading": "heading", "fovDeg": "fov_deg", "rangeM": "range_m", "kind": "kind", "name": "name",
+        "streamRef": "stream_ref", "tiltDeg": "tilt_deg", "mountM": "mount_m", "rollDeg": "roll_deg", "mount": "mount", "opNumber": "op_number",
+        "vfovDeg": "vfov_deg", "status": "status", "model": "model", "serial": "serial", "ipAddress": "ip_address", "resolutionMP": "resolution_mp",
+        "installedOn": "installed_on", "lastServicedOn": "last_serviced_on", "notes": "notes", "presets": "presets"}),
+    "incidents": ("incidents", "incident_id", {"id": "incident_id", "ordinal": "ordinal", "at": "at", "kind": "kind", "note": "note"}),
+    "patrols": ("patrols", "patrol_id", {"id": "patrol_id", "ordinal": "ordinal", "name": "name", "points": "points"}),
+    "amenities": ("amenities", "pos", {"id": "amenity_id", "ordinal": "ordinal", "at": "at", "kind": "kind", "name": "name"}),
+    "fixtures": ("fixtures", "pos", {"id": "fixture_id", "ordinal": "ordinal", "kind": "kind", "polygon": "polygon"}),
+    "footprints": ("footprints", "pos", {"ordinal": "ordinal", "polygon": "polygon"}),
+    "structures": ("structures", "pos", {
+        "id": "structure_id", "ordinal": "ordinal", "kind": "kind", "polygon": "polygon", "heightM": "height_m", "baseM": "base_m"}),
+    "voids": ("voids", "void_id", {"id": "void_id", "ordinal": "ordinal", "polygon": "polygon"}),
+    "occupants": ("occupants", "pos", {
+        "id": "occupant_id", "name": "name", "unitId": "unit_id", "category": "category", "hours": "hours", "phone": "phone",
+        "website": "website", "anchor": "anchor"}),
+    "vectorUnderlays": ("vector_underlays", "pos", {"ordinal": "ordinal", "name": "name", "polylines": "polylines", "opacity": "opacity"}),
+    "underlays": ("underlays", "ordinal", {
+        "ordinal": "ordinal", "dataUrl": "data_url", "naturalW": "natural_w", "naturalH": "natural_h", "widthM": "width_m", "offset": "offset",
+        "rotation": "rotation", "opacity": "opacity"}),
+    "cameraViews": ("camera_views", "pos", {"id": "view_id", "name": "name", "cameraIds": "camera_ids"}),
+}
+POINTS, RINGS, LINES, DATES = ("at", "anchor", "offset"), ("polygon", "points"), ("polylines",), ("installed_on", "last_serviced_on")
+
+
 def units_table(parsed: DataFrame) -> DataFrame:
-    u = collection(parsed, "units")
-    return u.select(
-        F.col("file_id").alias("building_id"), "ordinal", F.col("id").alias("unit_id"), "pos",
-        "name", "category", "security", ring("polygon").alias("polygon"),
+    return table(parsed, "units")
+
+
+def _point(p: Column) -> Column:
+    return F.when(p.isNotNull(), g.pt(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+
+
+def table(parsed: DataFrame, name: str) -> DataFrame:
+    """The table of one collection of parsed files, with `pos` as array order."""
+    _, _, fields = TABLES[name]
+
+    def column(field: str, column: str) -> Column:
+        c = F.col(field)
+        if column in POINTS:
+            c = _point(c)
+        elif column in RINGS:
+            c = F.transform(c, _point)
+        elif column in LINES:
+            c = F.transform(c, lambda line: F.transform(line, _point))
+        elif column in DATES:
+            c = c.cast("date")
+        return c.alias(column)
+
+    return collection(parsed, name).select(F.col("file_id").alias("building_id"), "pos", *(column(f, c) for f, c in fields.items()))
+
+
+def tables(parsed: DataFrame) -> dict[str, DataFrame]:
+    """All collections of parsed files as tables, and `camera_presets`."""
+    out = {t: table(parsed, name) for name, (t, _, _) in TABLES.items()}
+    held = out["cameras"].select("building_id", "camera_id", F.explode("presets").alias("p"))
+    out["camera_presets"] = held.select(
+        "building_id", "camera_id", "p.slot", "p.name", "p.heading", F.col("p.tiltDeg").alias("tilt_deg"), F.col("p.fovDeg").alias("fov_deg"), F.col("p.rangeM").alias("range_m")
     )
+    out["cameras"] = out["cameras"].drop("presets")
+    return out
 
 
-def building_rows(units, levels, openings, verticals, cameras, occupants, buildings) -> DataFrame:
-    """One save-file document per building, as a single JSON cell."""
-    xy = lambda c: F.array(F.col(f"{c}.x"), F.col(f"{c}.y"))
-    pts = lambda c: F.transform(c, lambda p: F.array(p["x"], p["y"]))
+def with_presets(cameras: DataFrame, presets: DataFrame) -> DataFrame:
+    """Cameras with their presets (nine at most) in slot order."""
+    item = F.struct("slot", "name", "heading", F.col("tilt_deg").alias("tiltDeg"), F.col("fov_deg").alias("fovDeg"), F.col("range_m").alias("rangeM"))
+    held = presets.groupBy("building_id", "camera_id").agg(F.array_sort(F.collect_list(item)).alias("presets"))
+    return cameras.join(held, ["building_id", "camera_id"], "left")
 
-    def packed(df, into, **fields):
-        item = F.struct(*[v.alias(k) for k, v in fields.items()])
-        return df.groupBy("building_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), item.alias("e")))),
-                lambda s: s["e"],
-            ).alias(into)
-        )
 
-    c = F.col
-    parts = [
-        packed(levels.withColumn("pos", c("ordinal")), "levels", ordinal=c("ordinal"), name=c("name"), ceilingM=c("ceiling_m")),
-        packed(units, "units", id=c("unit_id"), ordinal=c("ordinal"), name=c("name"), category=c("category"), security=c("security"), polygon=pts("polygon")),
-        packed(openings, "openings", id=c("opening_id"), unit=c("unit_id"), at=xy("at"), kind=c("kind"), style=c("style"), widthM=c("width_m"), heightM=c("height_m")),
-        packed(verticals, "verticals", a=c("unit_a"), b=c("unit_b"), name=c("name")),
-        packed(cameras, "cameras", id=c("camera_id"), ordinal=c("ordinal"), at=xy("at"), heading=c("heading"), fovDeg=c("fov_deg"), rangeM=c("range_m"), kind=c("kind"), name=c("name"), tiltDeg=c("tilt_deg"), mountM=c("mount_m"), opNumber=c("op_number"), model=c("model"), resolutionMP=c("resolution_mp")),
-        packed(occupants, "occupants", id=c("occupant_id"), name=c("name"), unitId=c("unit_id"), category=c("category"), hours=c("hours")),
-    ]
-    out = buildings
-    for p in parts:
-        out = out.join(p, "building_id", "left")
-    names = ["levels", "units", "openings", "verticals", "cameras", "occupants"]
-    empty = lambda n: F.coalesce(n, F.array().cast(out.schema[n].dataType))
-    doc = F.struct(
-        F.lit(FORMAT).alias("format"), F.lit(3).alias("version"),
-        F.concat(F.lit("b"), "building_id").alias("propertyId"),
-        F.struct(
-            F.array("origin_lng", "origin_lat").alias("origin"), c("rev").alias("demoRev"),
-            *[empty(n).alias(n) for n in names],
-        ).alias("building"),
+def _json(df: DataFrame, fields: dict[str, str]) -> Column:
+    """One entity; absent fields are left out, points are pairs of numbers."""
+    pair = lambda p: F.when(p.isNotNull(), F.array(p["x"], p["y"]))
+
+    def value(column: str) -> Column:
+        c = F.col(column)
+        if column in POINTS:
+            return pair(c)
+        if column in RINGS:
+            return F.transform(c, pair)
+        if column in LINES:
+            return F.transform(c, lambda line: F.transform(line, pair))
+        return c
+
+    return F.to_json(F.struct(*(value(c).alias(f) for f, c in fields.items() if c in df.columns)))
+
+
+def save_lines(buildings: DataFrame, given: dict[str, DataFrame]) -> DataFrame:
+    """(building_id, section, pos, key, line): save files, line by line. `given`
+    holds tables by name; tables that are missing are empty collections."""
+    head = F.concat(
+        F.lit(f'{{"format":"{FORMAT}","version":3,"propertyId":"b'), F.col("building_id"), F.lit('","building":{"origin":'),
+        F.to_json(F.array("origin_lng", "origin_lat")), F.coalesce(F.concat(F.lit(',"demoRev":'), F.col("rev")), F.lit("")),
+    )
+    row = lambda df, section, pos, key, line, item=False: df.select(
+        "building_id", F.lit(section).alias("section"), pos.cast("long").alias("pos"), key.cast("string").alias("key"), line.alias("line"), F.lit(item).alias("item")
     )
-    return out.select("building_id", F.to_json(doc).alias("text"))
+    zero, none = F.lit(0), F.lit("")
+    out = row(buildings, 0, zero, none, head)
+    for i, (name, (source, order, fields)) in enumerate(TABLES.items()):
+        out = out.unionByName(row(buildings, 3 * i + 1, zero, none, F.lit(f',"{name}":[')))
+        if source in given:
+            df = given[source]
+            if source == "cameras" and "camera_presets" in given:
+                df = with_presets(df, given["camera_presets"])
+            number = dict(df.dtypes)[order] != "string"
+            at = (F.col(order), none) if number else (zero, F.col(order))
+            out = out.unionByName(row(df, 3 * i + 2, *at, _json(df, fields), True))
+        out = out.unionByName(row(buildings, 3 * i + 3, zero, none, F.lit("]")))
+    out = out.unionByName(row(buildings, 3 * len(TABLES) + 1, zero, none, F.lit("}}")))
+    order = Window.partitionBy("building_id").orderBy("section", "pos", "key", "line")
+    comma = F.when(F.col("item") & (F.lag("section").over(order) == F.col("section")), ",").otherwise("")
+    return out.withColumn("line", F.concat(comma, "line")).drop("item")
+
+
+def read_saves(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed files below a path, with the building of their folder as file_id."""
+    files = documents.read(spark, path)
+    return parse_files(files.withColumn("file_id", F.regexp_extract("file_id", "building_id=([0-9]+)", 1).cast("long")))
+
+
+def write_saves(buildings: DataFrame, given: dict[str, DataFrame], path: str) -> None:
+    """One save file per building with every collection and field."""
+    documents.write(save_lines(buildings, given), path, ["section", "pos", "key"])
 
 
 def saved_or_pristine(saved: DataFrame, pristine: DataFrame) -> DataFrame:

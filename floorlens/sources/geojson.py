@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import documents
 from ..functions import geometry as g, labels
 from ..operators.places import occupant_anchors
 from ..operators.spatial import FLOOR
@@ -115,13 +116,8 @@ def document_lines(feats: DataFrame, buildings, levels, verticals, namespace: st
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
-    """Text parts per building, in document order."""
-    (
-        lines.repartitionByRange("building_id", "section", "pos")
-        .sortWithinPartitions("building_id", "section", "pos")
-        .select("building_id", F.col("line").alias("value"))
-        .write.partitionBy("building_id").text(path)
-    )
+    """One valid file per building."""
+    documents.write(lines, path, ["section", "pos"])
 
 
 _FEATURE = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import documents
 from ..functions import geometry as g, labels
 from ..operators.places import occupant_names
 from ..operators.spatial import FLOOR
@@ -65,12 +66,8 @@ def report_lines(levels, units, cameras, coverage, regions, stamp: str) -> DataF
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    (
-        lines.repartitionByRange("building_id", "level", "part", "pos")
-        .sortWithinPartitions("building_id", "level", "part", "pos")
-        .select("building_id", F.col("line").alias("value"))
-        .write.partitionBy("building_id").text(path)
-    )
+    """One file per building."""
+    documents.write(lines, path, ["level", "part", "pos"])
 
 
 def index_json(index: DataFrame) -> DataFrame:

@@ -269,6 +269,7 @@ class Scene:
             "building_id",
             "ordinal",
             F.concat(F.lit("v"), k).alias("view_id"),
+            k.alias("pos"),
             F.concat(F.lit("View "), k).alias("name"),
             F.array(
                 *[F.concat(F.lit("cam"), k + self._nb * i) for i in (3, 0, 1, 6)]

@@ -3,6 +3,8 @@ DuckDB counterpart. Doubles are rounded to three decimals on both sides."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 import portfolio_oracle as o
@@ -12,7 +14,7 @@ from floorlens.operators.spatial import FLOOR, number_rows
 from floorlens.operators.visibility import visibility
 from floorlens.operators.walls import walls
 from floorlens.plans import directions, navgraph, routes, suggest
-from floorlens.session import cut, stored
+from floorlens.session import cut, shared_folder, stored
 from floorlens.sources import catalogue
 from floorlens.sources.scene import Scene
 
@@ -521,19 +523,24 @@ camspace AS (SELECT c.building_id, c.ordinal, c.camera_id, arg_min(u.unit_id, ((
 """
 
 
+# Views of a building stand on every floor of it, with the cameras there.
+VIEWS = """
+views AS (SELECT building_id, pos, 'v' || pos AS view_id, 'View ' || pos AS name, [pos + nb * 3, pos, pos + nb, pos + nb * 6] AS held FROM cameras, nbt WHERE pos % 10 = 0),
+saved AS (SELECT l.building_id, l.ordinal, v.pos, view_id, v.name, count(c.camera_id) AS n FROM levels l JOIN views v USING (building_id), unnest(held) t(k)
+  LEFT JOIN cameras c ON c.building_id = l.building_id AND c.ordinal = l.ordinal AND c.pos = k GROUP BY ALL)
+"""
+
+
 @query("camera_walls", o.sql(
-    """SELECT building_id, ordinal, wall_kind, name, count(*) AS cameras FROM (
-      SELECT building_id, ordinal, 'all' AS wall_kind, 'all' AS wall_id, 'All · Level ' || ordinal AS name, camera_id FROM cameras
-      UNION ALL SELECT s.building_id, s.ordinal, 'room', unit_id, u.name, camera_id FROM camspace s JOIN units u USING (building_id, unit_id))
-    GROUP BY building_id, ordinal, wall_kind, wall_id, name""", CAMSPACE))
+    """SELECT building_id, ordinal, CAST(row_number() OVER (PARTITION BY building_id, ordinal ORDER BY kind, size, pos, name, wall_id) AS INTEGER) AS place,
+    ['all', 'room', 'saved'][kind + 1] AS wall_kind, wall_id, name, cameras FROM (
+      SELECT l.building_id, l.ordinal, 0 AS kind, 0 AS size, 0 AS pos, 'all' AS wall_id, 'All · ' || l.name AS name, count(camera_id) AS cameras
+        FROM levels l LEFT JOIN cameras c USING (building_id, ordinal) GROUP BY ALL
+      UNION ALL SELECT s.building_id, s.ordinal, 1, -count(*), 0, 'room:' || unit_id, u.name, count(*) FROM camspace s JOIN units u USING (building_id, unit_id)
+        GROUP BY s.building_id, s.ordinal, unit_id, u.name
+      UNION ALL SELECT building_id, ordinal, 2, 0, pos, 'saved:' || view_id, name, n FROM saved)""", CAMSPACE, VIEWS))
 def _(s):
-    none = s.camera_views.where("false")
-    return (
-        places.camera_walls(s.cameras, s.units, s.levels, none)
-        .groupBy(*FLOOR, "wall_kind", "wall_id", "name")
-        .agg(F.count("*").alias("cameras"))
-        .drop("wall_id")
-    )
+    return places.camera_rail(s.cameras, s.units, s.levels, s.camera_views)
 
 
 @query("units_without_camera", o.sql(
@@ -905,16 +912,18 @@ def _(s):
 
 
 @query("delete_cascade", o.sql(
-    """SELECT (SELECT count(*) FROM units WHERE category <> 'storage') AS units,
-    (SELECT count(*) FROM openings x WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.building_id = x.building_id AND u.unit_id = x.unit_id AND category = 'storage')) AS openings,
-    (SELECT count(*) FROM occupants x WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.building_id = x.building_id AND u.unit_id = x.unit_id AND category = 'storage')) AS occupants"""))
+    """SELECT 'units' AS kept, building_id, unit_id AS id FROM units WHERE (building_id, unit_id) NOT IN (SELECT (building_id, unit_id) FROM gone)
+    UNION ALL SELECT 'openings', building_id, opening_id FROM openings WHERE (building_id, unit_id) NOT IN (SELECT (building_id, unit_id) FROM gone)
+    UNION ALL SELECT 'occupants', building_id, occupant_id FROM occupants WHERE (building_id, unit_id) NOT IN (SELECT (building_id, unit_id) FROM gone)
+    UNION ALL SELECT 'verticals', building_id, unit_a || '-' || unit_b FROM verticals
+      WHERE (building_id, unit_a) NOT IN (SELECT (building_id, unit_id) FROM gone) AND (building_id, unit_b) NOT IN (SELECT (building_id, unit_id) FROM gone)""",
+    "gone AS (SELECT building_id, unit_id FROM units WHERE category = 'storage' OR (category = 'stairs' AND pos % 3 = 0))"))
 def _(s):
-    t = visitor.without_units(s.units.where("category = 'storage'"), s.units, s.openings, s.verticals, s.occupants)
-    rows = None
-    for n in ("units", "openings", "occupants"):
-        one = t[n].select(F.lit(n).alias("t"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.agg(*[F.count_if(F.col("t") == n).alias(n) for n in ("units", "openings", "occupants")])
+    gone = s.units.where("category = 'storage' or (category = 'stairs' and pos % 3 = 0)")
+    t = visitor.without_units(gone, s.units, s.openings, s.verticals, s.occupants)
+    ids = {"units": F.col("unit_id"), "openings": F.col("opening_id"), "occupants": F.col("occupant_id"), "verticals": F.concat_ws("-", "unit_a", "unit_b")}
+    rows = [t[n].select(F.lit(n).alias("kept"), "building_id", c.alias("id")) for n, c in ids.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 @query("apply_edits", o.sql(
@@ -1064,12 +1073,39 @@ def _(s):
     return geojson.extents(s.units, s.levels)["level"].drop("name")
 
 
+SAVED = {"levels": "ordinal", "units": "unit_id", "openings": "opening_id", "verticals": "unit_a", "cameras": "camera_id", "incidents": "incident_id",
+         "patrols": "patrol_id", "amenities": "amenity_id", "fixtures": "fixture_id", "footprints": "ordinal", "structures": "structure_id", "voids": "void_id",
+         "occupants": "occupant_id", "camera_views": "view_id", "camera_presets": "camera_id"}
+
+
+def saves(s: Portfolio) -> DataFrame:
+    """Every building written to a file of its own and read back from there."""
+    path = f"{shared_folder(s.units.sparkSession)}/tables/{uuid.uuid4().hex}-saves"
+    building_file.write_saves(s.buildings, {n: getattr(s, n) for n in SAVED}, path)
+    return building_file.read_saves(s.units.sparkSession, path)
+
+
 @query("building_files", o.sql(
     """SELECT building_id, ordinal, unit_id, CAST(row_number() OVER (PARTITION BY building_id ORDER BY pos) - 1 AS INTEGER) AS pos, name, category, security FROM units"""))
 def _(s):
-    files = building_file.building_rows(s.units, s.levels, s.openings, s.verticals, s.cameras, s.occupants, s.buildings)
-    parsed = building_file.parse_files(files.withColumnRenamed("building_id", "file_id"))
-    return building_file.units_table(parsed).drop("polygon")
+    return building_file.units_table(saves(s)).drop("polygon")
+
+
+@query("save_round_trip", o.sql(
+    " UNION ALL ".join(f"SELECT '{n}' AS collection, building_id, count(*) AS items, sha256(string_agg({k}::VARCHAR, ',' ORDER BY {k}::VARCHAR)) AS ids FROM {t} GROUP BY building_id"
+        for n, k, t in [(n, k, {"camera_views": "views", "camera_presets": "presets"}.get(n, n)) for n, k in SAVED.items()]),
+    "footprints AS (SELECT * FROM floors)", "patrols AS (SELECT *, 'pt' || building_id || '-' || ordinal AS patrol_id FROM floors)",
+    "voids AS (SELECT *, 'v' || building_id || '-' || ordinal AS void_id FROM floors WHERE ordinal > 0 AND building_id % 2 = 0)",
+    "views AS (SELECT building_id, 'v' || pos AS view_id FROM cameras WHERE pos % 10 = 0)",
+    "presets AS (SELECT building_id, camera_id FROM cameras WHERE kind = 'ptz' AND pos % 2 = 0 UNION ALL SELECT building_id, camera_id FROM cameras WHERE kind = 'ptz')"))
+def _(s):
+    t = building_file.tables(saves(s))
+    rows = [t[n].select(F.lit(n).alias("collection"), "building_id", F.col(k).cast("string").alias("id")) for n, k in SAVED.items()]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    ids = F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256)
+    return every.groupBy("collection", "building_id").agg(F.count("*").alias("items"), ids.alias("ids"))
 
 
 @query("saved_or_pristine", o.sql(
@@ -1082,13 +1118,22 @@ def _(s):
     return building_file.saved_or_pristine(saved, pristine).select("property_id", "origin")
 
 
+# Ids in use: every third customer's segment with that customer's number as its
+# ending, from 2 to 99, and the bare segments that start before G.
 @query("property_slugs", o.sql(
-    """SELECT c_custkey AS seq, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS id FROM (
-      SELECT c_custkey, lower(c_mktsegment) AS s, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer)"""))
+    """SELECT seq, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS id FROM (
+      SELECT *, row_number() OVER (PARTITION BY s ORDER BY seq) AS k FROM (SELECT c_custkey AS seq, lower(c_mktsegment) AS s FROM customer))
+    JOIN free USING (s, k)""",
+    """used AS (SELECT DISTINCT lower(c_mktsegment) AS s, c_custkey % 98 + 2 AS n FROM customer WHERE c_custkey % 3 = 0
+      UNION SELECT DISTINCT lower(c_mktsegment), 1 FROM customer WHERE c_mktsegment < 'G'),
+    free AS (SELECT s, n, row_number() OVER (PARTITION BY s ORDER BY n) AS k FROM (SELECT DISTINCT lower(c_mktsegment) AS s FROM customer),
+      range(1, (SELECT count(*) + 101 FROM customer)) t(n) WHERE (s, n) NOT IN (SELECT (s, n) FROM used))"""))
 def _(s):
     names = s.customer_names
-    none = names.where("false").select(F.col("name").alias("id"))
-    return building_file.new_property_ids(names, none).select("seq", "id")
+    low = F.lower("name")
+    suffixed = names.where("seq % 3 = 0").select(F.concat_ws("-", low, (F.col("seq") % 98 + 2).cast("string")).alias("id"))
+    taken = suffixed.unionByName(names.where("name < 'G'").select(low.alias("id"))).distinct()
+    return building_file.new_property_ids(names, taken).select("seq", "id")
 
 
 @query("schedule_rows", o.sql(

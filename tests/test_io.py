@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from floorlens.functions import geometry as g
 from floorlens.operators import edits
-from floorlens.sources import building_file as bf, cad, catalogue, geojson, schedule, svg
+from floorlens.sources import building_file as bf, cad, catalogue, documents, geojson, schedule, svg
 from floorlens.streaming import live
 from helpers import one, rect, units
 
@@ -192,3 +192,58 @@ def test_streams(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start())
     assert q.awaitTermination(60)
     assert {r.probe_id: r.camera_id for r in spark.table("follow").collect()} == {0: "a", 1: "a", 2: "b", 3: None}
+
+
+def test_saves_keep_every_collection_and_field(spark, tmp_path):
+    """All 16 collections, written to files and read back from their folder."""
+    p, r = (1.5, -2.0), [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]
+    aim = "heading double, tilt_deg double, fov_deg double, range_m double"
+    given = {
+        "levels": ("ordinal int, name string, ceiling_m double", [(1, 0, "Ground \"G\"", 4.5), (1, 1, "Upper", None), (2, 0, "Only", None)]),
+        "units": (f"ordinal int, unit_id string, pos int, name string, category string, security string, polygon {g.RING}", [(1, 0, "u2", 0, "B", "room", None, r), (1, 0, "u1", 1, "Ä,\n[x]", "retail", "secure", r)]),
+        "openings": (f"opening_id string, pos int, unit_id string, at {g.POINT}, kind string, style string, width_m double, height_m double", [(1, "d", 0, "u1", p, None, "glass", 1.2, None)]),
+        "verticals": ("pos int, unit_a string, unit_b string, name string", [(1, 0, "u1", "u2", "Stairs")]),
+        "cameras": (f"ordinal int, camera_id string, pos int, at {g.POINT}, {aim}, kind string, name string, mount_m double, vfov_deg double, roll_deg double, mount string, op_number int, status string, model string, serial string, ip_address string, stream_ref string, resolution_mp double, installed_on string, last_serviced_on string, notes string", [
+            (1, 0, "c", 0, p, 10.0, 30.0, 90.0, 8.0, "ptz", "Cam", 3.0, 40.0, 1.0, "wall", 7, "online", "M", "S", "10.0.0.1", "rtsp://x", 8.0, "2024-01-02", None, "n"),
+            (1, 0, "b", 1, p, 0.0, None, 60.0, 9.0, "fixed", "Cam 2", *[None] * 14)]),
+        "camera_presets": (f"camera_id string, slot int, name string, {aim}", [(1, "c", 2, "Gate", 5.0, 0.0, 60.0, 9.0), (1, "c", 1, "Home", 10.0, 30.0, 90.0, 8.0)]),
+        "incidents": (f"ordinal int, incident_id string, at {g.POINT}, kind string, note string", [(1, 0, "i", p, "theft", "seen")]),
+        "patrols": (f"ordinal int, patrol_id string, name string, points {g.RING}", [(1, 0, "pt", "Round", r)]),
+        "amenities": (f"ordinal int, amenity_id string, pos int, at {g.POINT}, kind string, name string", [(1, 0, "a", 0, p, "atm", None)]),
+        "fixtures": (f"ordinal int, fixture_id string, pos int, kind string, polygon {g.RING}", [(1, 0, "f", 0, "table", r)]),
+        "footprints": (f"ordinal int, pos int, polygon {g.RING}", [(1, 0, 0, r), (1, 1, 0, r), (1, 1, 0, r)]),
+        "structures": (f"ordinal int, structure_id string, pos int, kind string, polygon {g.RING}, height_m double, base_m double", [(1, 0, "s", 0, "column", r, None, 2.5)]),
+        "voids": (f"ordinal int, void_id string, polygon {g.RING}", [(1, 1, "v", r)]),
+        "occupants": (f"occupant_id string, pos int, unit_id string, name string, category string, hours string, phone string, website string, anchor {g.POINT}", [(1, "o", 0, "u1", "Shop", "retail", "9-17", "1", "w", p), (1, "q", 1, "u2", "Bar", None, None, None, None, None)]),
+        "vector_underlays": (f"ordinal int, pos int, name string, polylines array<{g.RING}>, opacity double", [(1, 0, 0, "cad", [r, r[:2]], 0.5)]),
+        "underlays": (f"ordinal int, data_url string, natural_w double, natural_h double, width_m double, offset {g.POINT}, rotation double, opacity double", [(1, 0, "", 10.0, 20.0, 30.0, p, 0.0, 0.5)]),
+        "camera_views": ("pos int, view_id string, name string, camera_ids array<string>", [(1, 0, "w", "Wall", ["c", "b"])]),
+    }
+    tables = {n: spark.createDataFrame(rows, f"building_id bigint, {schema}") for n, (schema, rows) in given.items()}
+    dated = {c: F.col(c).cast("date") for c in ("installed_on", "last_serviced_on")}
+    tables["cameras"] = tables["cameras"].withColumns(dated)
+    buildings = spark.createDataFrame([(1, 8.5, 47.25, 3), (2, 0.0, 1.0, None)], "building_id bigint, origin_lng double, origin_lat double, rev int")
+    path = str(tmp_path / "saves")
+    bf.write_saves(buildings, tables, path)
+    files = [f for f in (tmp_path / "saves").rglob("*.txt")]
+    docs = {json.loads(f.read_text())["propertyId"]: json.loads(f.read_text()) for f in files}
+    assert set(docs) == {"b1", "b2"} and len(files) == 2
+    assert docs["b1"]["building"]["origin"] == [8.5, 47.25] and docs["b1"]["building"]["demoRev"] == 3 and "demoRev" not in docs["b2"]["building"]
+    assert "security" not in docs["b1"]["building"]["units"][0] and docs["b2"]["building"]["units"] == []
+    parsed = bf.read_saves(spark, path)
+    assert parsed.where("ok").count() == 2
+    back = bf.tables(parsed)
+    for name, df in tables.items():
+        columns = [c for c in df.columns if c != "pos"]
+        assert sorted(map(str, back[name].select(columns).collect())) == sorted(map(str, df.select(columns).collect())), name
+    assert [r.unit_id for r in back["units"].orderBy("pos").collect()] == ["u2", "u1"]
+
+
+def test_documents_are_read_from_folders(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.csv").write_text("Camera Name,Ch\nLobby,1\n")
+    (tmp_path / "in" / "deep" / "b.csv").write_text("Name;No\nDock;2\n")
+    (tmp_path / "in" / "c.svg").write_text(SVG)
+    rows = schedule.parse_schedules(documents.read(spark, str(tmp_path / "in"), "*.csv"))["rows"].collect()
+    assert {(r.file_id.rsplit("/", 1)[1], r.name, r.op_number) for r in rows} == {("a.csv", "Lobby", 1), ("b.csv", "Dock", 2)}
+    assert svg.shapes(documents.read(spark, str(tmp_path / "in"), "*.svg")).count() == 5
