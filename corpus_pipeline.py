@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from floorlens.llm import byte_bpe, crf_language, decontaminate, near_dedup, suffix_dedup
 from floorlens.llm.tables import stored
 
-#: A document stays if the field gives this share of its words to one language.
-LEAST_SHARE = 0.5
 #: A document goes if more than this share of its words is benchmark text.
 MOST_COVERED = 0.5
 
@@ -25,10 +23,13 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of one language: without letters, or mixed beyond half, they go."""
-    named = crf_language.predict(docs, crf_language.fit(docs))
-    kept = named.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*docs.columns)
+    """Documents with a language; null and empty texts and texts without letters
+    go. Where nothing tells which languages there are, all documents stay."""
+    model = crf_language.fit(docs)
+    if model is None:
+        return docs
+    named = crf_language.predict(docs, model)
+    return named.where(F.col("lang_pred") != crf_language.UNKNOWN).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
