@@ -20,12 +20,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .batches import add_columns, raw
 from .words import Words, mix
 
 SAMPLE = 1000
+#: Bytes of text that it learns from, at most (one text at least).
+SAMPLE_BYTES = 16 << 20
 BUCKETS = 1 << 17
 LEXICON = 300
 BLOCK = 32
@@ -221,12 +223,17 @@ def train(texts: list[str], langs: list[str]) -> Model | None:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from ``text`` and non-null ``lang`` of the rows of ``docs`` that
-    are not held out; None if there is no such row."""
+    are not held out; None if there is no such row. ``sample`` rows are drawn at
+    most, by a hash of their ids and in its order, and of these the first whose
+    texts hold ``SAMPLE_BYTES`` together: the same ones however ``docs`` is dealt."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     n = rows.count()
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1e6 * sample / n) + 1))
-    drawn = rows.select("text", "lang").limit(sample).collect()
+    key = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("lang"), F.xxhash64("text")]
+    few = rows.select("doc_id", "text", "lang").orderBy(*key).limit(sample)
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(*key))
+    drawn = few.withColumn("upto", upto).where(F.col("upto") <= F.greatest(F.lit(SAMPLE_BYTES), F.octet_length("text"))).orderBy(*key).select("text", "lang").collect()
     return train([r["text"] for r in drawn], [r["lang"] for r in drawn]) if drawn else None
 
 

@@ -7,7 +7,7 @@ from test_llm_corpus import brute_components, brute_removed
 from test_llm_text import DOC, brute_hits
 
 import corpus_pipeline
-from floorlens.llm import byte_bpe, suffix_dedup
+from floorlens.llm import byte_bpe, crf_language, suffix_dedup
 
 SAID = {
     "en": "the of and that with this from water house small tree people know time year good work".split(),
@@ -69,3 +69,22 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_language_stage_keeps_what_it_cannot_name(spark):
+    """Without a learned language all rows stay; texts of several languages do too."""
+    rows = [(1, "the water", None, "s", 9), (2, None, None, "s", 0), (3, "12", None, "s", 2)]
+    assert corpus_pipeline.language(spark, spark.createDataFrame(rows, DOC), "").count() == 3
+    rng = np.random.default_rng(3)
+    known = [(i, " ".join(rng.choice(SAID[k], 40)), k, "s", 0) for i in range(40) for k in [("en", "de")[i % 2]]]
+    mixed = [(100 + i, " ".join([*rng.choice(SAID["en"], 20), *rng.choice(SAID["de"], 20)]), None, "s", 0) for i in range(5)]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(known + mixed + [(200, "", "en", "s", 0), (201, "7 !", "en", "s", 0)], DOC), "")
+    assert {r.doc_id for r in got.collect()} == {r[0] for r in known + mixed}
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(SAID[k], 30)), k, "s", 0) for i in range(60) for k in [("en", "de")[i % 2]]]
+    docs = spark.createDataFrame(rows, DOC)
+    one, other = (crf_language.fit(d, sample=40) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.labels == other.labels and (one.weights == other.weights).all() and (one.turn == other.turn).all()
