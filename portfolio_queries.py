@@ -1144,19 +1144,67 @@ def _(s):
     return got.select(F.col("file_id").cast("bigint").alias("file_id"), "name", "op_number", r3("mount_m", "mount_m"), F.col("spec").isNotNull().alias("rated"))
 
 
+# A schedule with one row for every camera, a new camera for every fifth, and a
+# second row for some of the new ones. Numbers asked for are free, the camera's
+# own, or held by the building's camera before it.
+ROWS = f"""
+asked AS (
+  SELECT building_id, CAST(pos AS BIGINT) AS seq, upper(name) AS name,
+    CASE WHEN pos % 2 = 0 THEN 'axis p3265-lve mk ii' WHEN pos % 3 = 0 THEN 'House brand' END AS model,
+    CASE WHEN pos % 5 = 2 AND pos > nb THEN pos - nb + 1 WHEN pos % 4 = 0 THEN pos + 1 END AS number,
+    CASE WHEN pos % 3 = 1 THEN pos % 9 + 0.5::DOUBLE END AS mount, CASE WHEN pos % 2 = 1 THEN '172.16.0.' || pos % 200 END AS ip,
+    CASE WHEN pos % 7 = 0 THEN 'R' || pos END AS serial, CASE WHEN pos % 6 = 0 THEN 'rtsp://new/' || pos END AS stream,
+    CASE WHEN pos % 10 = 0 THEN 'n' || pos END AS notes, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM cameras, nbt
+  UNION ALL SELECT building_id, pos + 10000000, 'New ' || pos, CASE WHEN pos % 15 = 0 THEN 'axis p3265-lve mk ii' END, pos + 20000000, NULL, NULL, NULL, NULL, NULL,
+    CASE WHEN pos % 10 = 0 THEN (pos % 50)::DOUBLE END, CASE WHEN pos % 10 = 0 THEN (pos % 12)::DOUBLE END FROM cameras WHERE pos % 5 = 0
+  UNION ALL SELECT building_id, pos + 20000000, 'new ' || pos, NULL, NULL, 2.25, NULL, NULL, NULL, 'again', NULL, NULL FROM cameras WHERE pos % 25 = 0),
+granted AS (
+  SELECT a.*, lower(a.name) AS key, CASE WHEN h.op_number IS NULL THEN number END AS grant FROM asked a
+  LEFT JOIN (SELECT building_id, op_number FROM cameras WHERE op_number IS NOT NULL) h ON h.building_id = a.building_id AND h.op_number = a.number),
+patch AS (
+  SELECT building_id, key, min(seq) AS first, arg_min(name, seq) AS name, arg_min(x, seq) AS x, arg_min(y, seq) AS y, max(model) AS model, max(grant) AS grant, max(mount) AS mount,
+    max(ip) AS ip, max(serial) AS serial, max(stream) AS stream, max(notes) AS notes FROM granted GROUP BY ALL),
+spec AS (SELECT 'axis p3265-lve mk ii' AS model, 'Axis P3265-LVE' AS label, 'fixed' AS kind, 100::DOUBLE AS fov, 2::DOUBLE AS mp),
+patched AS (
+  SELECT p.*, coalesce(s.label, p.model) AS m, s.kind, s.fov, s.mp, s.reach FROM patch p
+  LEFT JOIN (SELECT *, least(60, floor({PX.format(d='1')} / 62 * 10 + 0.5) / 10) AS reach FROM spec) s USING (model)),
+fresh AS (SELECT p.*, row_number() OVER (PARTITION BY building_id, x IS NULL ORDER BY first) - 1 AS slot FROM patched p
+  WHERE (building_id, key) NOT IN (SELECT (building_id, lower(name)) FROM cameras))
+"""
+
+
 @query("schedule_upsert", o.sql(
-    """SELECT building_id, count(*) AS cameras, count(*) FILTER (name LIKE 'New%') AS created FROM (
-      SELECT building_id, name FROM cameras UNION ALL SELECT DISTINCT building_id, 'New ' || pos FROM cameras WHERE pos % 5 = 0) GROUP BY ALL"""))
-def _(s):
-    old = s.cameras.where("pos % 2 = 0").select("building_id", F.col("pos").alias("seq"), "name", F.lit("axis p3265-lve mk ii").alias("model"))
-    new = s.cameras.where("pos % 5 = 0").select("building_id", (F.col("pos") + 10_000_000).alias("seq"), F.concat(F.lit("New "), "pos").alias("name"), F.lit(None).cast("string").alias("model"))
+    """SELECT c.building_id, c.ordinal, c.name, cx AS x, cy AS y, coalesce(p.kind, c.kind) AS kind, coalesce(p.fov, c.fov) AS fov_deg, round(coalesce(p.reach, c.rng), 3) AS range_m,
+    coalesce(p.m, c.model) AS model, coalesce(p.mp, c.mp) AS resolution_mp, CAST(coalesce(p.grant, c.op_number) AS INTEGER) AS op_number, coalesce(p.mount, c.mount) AS mount_m,
+    coalesce(p.ip, '10.0.' || c.pos % 250 || '.' || c.pos % 200) AS ip_address, coalesce(p.serial, CASE WHEN c.pos % 2 = 0 THEN 'SN' || c.pos END) AS serial,
+    coalesce(p.stream, CASE WHEN c.pos % 2 = 1 THEN 'rtsp://nvr/' || c.pos END) AS stream_ref, p.notes
+    FROM (SELECT *, CASE WHEN pos % 3 = 0 THEN """ + o._list([f"{m[0]} {m[1]}" for m in catalogue.CAMERA_MODELS]) + """[pos % 18 + 1] END AS model FROM cameras) c
+    JOIN patched p ON p.building_id = c.building_id AND p.key = lower(c.name)
+    UNION ALL SELECT building_id, 0, name, coalesce(x, slot * 3)::DOUBLE, coalesce(y, -12), coalesce(kind, 'fixed'), coalesce(fov, 90), round(coalesce(reach, 8), 3),
+    m, mp, CAST(grant AS INTEGER), mount, ip, serial, stream, notes FROM fresh""", ROWS))
+def _(s):
+    p, nb = F.col("pos"), s.buildings.count()
+    held = lambda c, v: F.when(c, v)
     none = lambda t: F.lit(None).cast(t)
-    rows = old.unionByName(new).select(
-        "building_id", "seq", "name", "model", catalogue.resolve_model(F.col("model")).alias("spec"), none("int").alias("op_number"),
-        none("double").alias("x"), none("double").alias("y"), none("double").alias("mount_m"), none("string").alias("ip_address"),
-        none("string").alias("serial"), none("string").alias("stream_ref"), none("string").alias("notes"))
-    return schedule.upsert(s.cameras, rows, s.units)["cameras"].groupBy("building_id").agg(
-        F.count("*").alias("cameras"), F.count_if(F.col("name").startswith("New")).alias("created"))
+    every = s.cameras.select(
+        "building_id", p.cast("long").alias("seq"), F.upper("name").alias("name"), held(p % 2 == 0, F.lit("axis p3265-lve mk ii")).when(p % 3 == 0, "House brand").alias("model"),
+        F.when((p % 5 == 2) & (p > nb), p - nb + 1).when(p % 4 == 0, p + 1).cast("int").alias("op_number"), none("double").alias("x"), none("double").alias("y"),
+        held(p % 3 == 1, p % 9 + 0.5).cast("double").alias("mount_m"), held(p % 2 == 1, F.concat(F.lit("172.16.0."), p % 200)).alias("ip_address"),
+        held(p % 7 == 0, F.concat(F.lit("R"), p)).alias("serial"), held(p % 6 == 0, F.concat(F.lit("rtsp://new/"), p)).alias("stream_ref"), held(p % 10 == 0, F.concat(F.lit("n"), p)).alias("notes"),
+    )
+    new = s.cameras.where("pos % 5 = 0").select(
+        "building_id", (p + 10_000_000).cast("long").alias("seq"), F.concat(F.lit("New "), p).alias("name"), held(p % 15 == 0, F.lit("axis p3265-lve mk ii")).alias("model"),
+        (p + 20_000_000).cast("int").alias("op_number"), held(p % 10 == 0, p % 50).cast("double").alias("x"), held(p % 10 == 0, p % 12).cast("double").alias("y"),
+        none("double").alias("mount_m"), *[none("string").alias(n) for n in ("ip_address", "serial", "stream_ref", "notes")],
+    )
+    again = s.cameras.where("pos % 25 = 0").select(
+        "building_id", (p + 20_000_000).cast("long").alias("seq"), F.concat(F.lit("new "), p).alias("name"), none("string").alias("model"), none("int").alias("op_number"),
+        none("double").alias("x"), none("double").alias("y"), F.lit(2.25).alias("mount_m"), *[none("string").alias(n) for n in ("ip_address", "serial", "stream_ref")], F.lit("again").alias("notes"),
+    )
+    rows = every.unionByName(new).unionByName(again).withColumn("spec", catalogue.resolve_model(F.col("model")))
+    return schedule.upsert(s.cameras, rows, s.units)["cameras"].select(
+        *FLOOR, "name", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "kind", "fov_deg", r3("range_m", "range_m"), "model", "resolution_mp", "op_number", "mount_m",
+        "ip_address", "serial", "stream_ref", "notes")
 
 
 def _blocks(s):
