@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
+from . import words
+
 SLICE_BYTES = 1 << 20
 
 
@@ -41,6 +43,7 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def give_back() -> None:
     """Returns freed memory to the system: Python workers outlive their tasks, and
     idle ones would hold what their largest batch took."""
+    words.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -48,6 +51,18 @@ def give_back() -> None:
         trim(0)
 
 
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory back when its task ends."""
+
+    def wrapped(stream):
+        try:
+            yield from run(stream)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def add_columns(
     df: DataFrame,
     column: str,
@@ -73,6 +88,5 @@ def add_columns(
         finally:
             if hasattr(work, "close"):
                 work.close()
-                give_back()
 
-    return df.mapInArrow(run, T.StructType([*kept, *fields]))
+    return df.mapInArrow(returning(run), T.StructType([*kept, *fields]))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import add_columns, raw, slices
+from .batches import add_columns, raw, returning, slices
 from .bwt import common_prefix_classes
 from .tables import stored
 from .words import BASE, BYTE, UNBASE, mix, powers
@@ -105,7 +105,7 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
                 spot = pack(place - offsets[row], place - first, last - first)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, context.view(np.int64), row_id, key, spot)], names)
 
-    return docs.mapInArrow(run, f"key long, c long, {ROW}, spot long")
+    return docs.mapInArrow(returning(run), f"key long, c long, {ROW}, spot long")
 
 
 def _hash(*parts: bytes) -> int:
@@ -140,7 +140,7 @@ def _cells(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     columns += [[row.as_py()] * n, [key.as_py()] * n]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, f"key long, c long, begin long, left binary, right binary, {ROW}")
+    return rows.mapInArrow(returning(run), f"key long, c long, begin long, left binary, right binary, {ROW}")
 
 
 def _classes(rows: DataFrame, one: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +224,7 @@ def _equal_windows(cells: DataFrame, size: int, width: int, partitions: int) ->
         if group:
             yield flush()
 
-    return dealt.mapInArrow(run, RUN)
+    return dealt.mapInArrow(returning(run), RUN)
 
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -31,6 +31,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def forget() -> None:
+    """Frees the tables of powers."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values (a fixed bijection)."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
