@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 import portfolio_oracle as o
 from floorlens.functions import geometry as g, labels, optics
-from floorlens.operators import coverage as cov, index as idx, places, probe, quality, regions, visitor
+from floorlens.operators import coverage as cov, index as idx, places, probe, quality, regions, search, visitor
 from floorlens.operators.spatial import FLOOR, number_rows
 from floorlens.operators.visibility import visibility
 from floorlens.operators.walls import walls
@@ -568,41 +568,56 @@ def _(s):
       SELECT building_id, unit_id, string_agg(name, ' ' ORDER BY pos) AS names FROM occupants GROUP BY ALL) n USING (building_id, unit_id)
     WHERE category NOT IN ('corridor','elevator','stairs') AND (lower(u.name) LIKE '%ring%' OR category LIKE '%ring%' OR lower(coalesce(names, '')) LIKE '%ring%')"""))
 def _(s):
-    u = s.units.where(labels.is_space(F.col("category"))).join(places.occupant_names(s.occupants), ["building_id", "unit_id"], "left")
-    return u.where(labels.contains_text(" Ring ", F.col("name"), F.col("category"), F.col("names"))).select("building_id", "unit_id", "name")
+    return search.spaces(s.units, s.occupants, " Ring ").select("building_id", "unit_id", "name")
 
 
 @query("search_cameras", o.sql(
-    """SELECT building_id, count(*) AS matches FROM cameras WHERE kind = 'ptz' AND lower(name) LIKE '%1%' GROUP BY ALL"""))
+    """SELECT building_id, ordinal, camera_id, count(*) OVER (PARTITION BY building_id) AS matches FROM cameras WHERE kind = 'ptz' AND lower(name) LIKE '%1%'
+    QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY pos) <= 200"""))
 def _(s):
-    return s.cameras.where("kind = 'ptz'").where(labels.contains_text("1", F.col("name"))).groupBy("building_id").agg(F.count("*").alias("matches"))
+    return search.cameras(s.cameras, "1", "ptz", top=200).select(*FLOOR, "camera_id", "matches")
 
 
 @query("search_amenities", o.sql(
     """SELECT amenity_id, kind FROM amenities WHERE lower(coalesce(name, '')) LIKE '%bar%' OR kind LIKE '%bar%'"""))
 def _(s):
-    return s.amenities.where(labels.contains_text("bar", F.col("name"), F.col("kind"))).select("amenity_id", "kind")
+    return search.amenities(s.amenities, "bar").select("amenity_id", "kind")
 
 
 @query("addable_cameras", o.sql(
-    """SELECT c.building_id, c.ordinal, count(*) AS cameras FROM cameras c WHERE (lower(name) LIKE '%9%' OR coalesce(CAST(op_number AS VARCHAR), '') LIKE '9%')
+    """SELECT building_id, ordinal, camera_id, count(*) OVER (PARTITION BY building_id, ordinal) AS matches FROM cameras c
+    WHERE (lower(name) LIKE '%9%' OR coalesce(CAST(op_number AS VARCHAR), '') LIKE '9%')
     AND NOT EXISTS (SELECT 1 FROM (SELECT v.building_id, 'cam' || (v.pos + nb * f) AS camera_id FROM cameras v, nbt, (VALUES (3),(0),(1),(6)) t(f) WHERE v.pos % 10 = 0) x
-      WHERE x.building_id = c.building_id AND x.camera_id = c.camera_id) GROUP BY ALL"""))
+      WHERE x.building_id = c.building_id AND x.camera_id = c.camera_id)"""))
 def _(s):
-    used = s.camera_views.select("building_id", F.explode("camera_ids").alias("camera_id"))
-    hit = labels.contains_text("9", F.col("name")) | F.coalesce(F.col("op_number").cast("string"), F.lit("")).startswith("9")
-    return s.cameras.where(hit).join(used, ["building_id", "camera_id"], "left_anti").groupBy(*FLOOR).agg(F.count("*").alias("cameras"))
+    return search.addable_cameras(s.cameras, s.camera_views, "9").select(*FLOOR, "camera_id", "matches")
 
 
 @query("amenity_kinds", o.sql("SELECT DISTINCT building_id, kind FROM amenities"))
 def _(s):
-    return s.amenities.select("building_id", "kind").distinct()
+    return search.amenity_kinds(s.amenities)
 
 
 @query("tenant_directory", o.sql(
-    "SELECT building_id, category, count(*) AS tenants, count(DISTINCT unit_id) AS units FROM occupants GROUP BY ALL"))
+    """SELECT building_id, category, count(*) AS tenants, count(DISTINCT unit_id) AS units FROM occupants GROUP BY ALL
+    UNION ALL SELECT building_id, 'vacant', 0, count(*) FROM units u WHERE category NOT IN ('corridor','elevator','stairs','outside')
+      AND NOT EXISTS (SELECT 1 FROM occupants x WHERE x.building_id = u.building_id AND x.unit_id = u.unit_id) GROUP BY ALL"""))
 def _(s):
-    return s.occupants.groupBy("building_id", "category").agg(F.count("*").alias("tenants"), F.countDistinct("unit_id").alias("units"))
+    return search.directory(s.occupants, s.units)
+
+
+@query("lit_cameras", o.sql(
+    """SELECT building_id, ordinal, probe_id, camera_id, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY rank) AS INTEGER) AS place FROM (
+      SELECT building_id, ordinal, probe_id, camera_id, min(rank) AS rank FROM (
+        SELECT p.building_id, p.ordinal, probe_id, camera_id, row_number() OVER (PARTITION BY probe_id ORDER BY (px-cx)*(px-cx)+(py-cy)*(py-cy), c.pos) AS rank
+          FROM probes p JOIN cameras c USING (building_id, ordinal) QUALIFY rank <= 8
+        UNION ALL SELECT p.building_id, p.ordinal, probe_id, c.camera_id, 0 FROM probes p JOIN (
+          SELECT building_id, ordinal, max_by(camera_id, pos) AS camera_id FROM cameras GROUP BY ALL) c USING (building_id, ordinal))
+      GROUP BY ALL) QUALIFY place <= 9"""))
+def _(s):
+    last = s.cameras.groupBy(*FLOOR).agg(F.max_by("camera_id", "pos").alias("camera_id"))
+    selected = s.probes.select(*FLOOR, "probe_id").join(last, FLOOR)
+    return search.lit_cameras(places.nearest_cameras(s.probes, s.cameras, "probe_id"), "probe_id", selected).select(*FLOOR, "probe_id", "camera_id", "place")
 
 
 @query("function_buckets", o.sql(
