@@ -3,12 +3,12 @@ filling of what no camera sees, on all floors at once.
 
 Corner mounts don't depend on coverage, so they are one table; of mounts that
 repeat each other the first of a floor's order stays. Filling is greedy and goes
-by rounds. A round looks at the next seed of every floor that is not done; where
-seeds fail, twice as many as before, up to `AHEAD`: those that would follow if the
-ones before were given up. Up to 15 poses a seed
-are tried through the walls, and the first seed with a pose that recovers enough
-is taken; the ones before it are given up for good. So the result is that of one
-step after the other, in fewer rounds.
+by rounds. A round looks at the next `FIRST` seeds of every floor that is not
+done, and where all fail at twice as many, up to `AHEAD`: those that would follow
+if the ones before were given up. Up to 15 poses a seed are tried through the
+walls, and the first seed with a pose that recovers enough is taken; the ones
+before it are given up for good. So the result is that of one step after the
+other, in fewer rounds.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ TURNS = (0.0, 40.0, -40.0)
 FILL_FOV, FILL_RANGE_M = 110.0, 45.0
 LEAST_GAIN, GAIN_SHARE = 2, 0.15
 SAME_M, SAME_DEG = 1.5, 25.0
-#: Steps of a floor that one round looks ahead, at most.
-AHEAD = 8
+#: Steps of a floor that one round looks ahead, at first and at most.
+FIRST, AHEAD = 4, 8
 
 
 def eligible(units: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def suggest(units: DataFrame, footprints: DataFrame, cameras: DataFrame, walls:
     points = cut(cells.join(seen.select(*FLOOR, "cell").distinct().withColumn("seen", F.lit(True)), [*FLOOR, "cell"], "left").select(*FLOOR, "cell", "at", F.coalesce("seen", F.lit(False)).alias("seen"), F.lit(False).alias("dead")))
     taken = corners.groupBy(*FLOOR).agg(F.count("*").alias("corners"))
     floors = points.select(*FLOOR).distinct().join(taken, FLOOR, "left").select(*FLOOR, (F.lit(most) - F.coalesce("corners", F.lit(0))).alias("room"))
-    floors = cut(floors.select("*", F.lit(0).cast("long").alias("fills"), F.lit(0).cast("long").alias("steps"), F.lit(1).alias("ahead"), F.lit(False).alias("done")))
+    floors = cut(floors.select("*", F.lit(0).cast("long").alias("fills"), F.lit(0).cast("long").alias("steps"), F.lit(FIRST).alias("ahead"), F.lit(False).alias("done")))
     placed = cut(cameras.select(*FLOOR, "at", "heading").unionByName(corners.select(*FLOOR, "at", "heading")))
     filled = []
     while True:
@@ -255,7 +255,7 @@ def suggest(units: DataFrame, footprints: DataFrame, cameras: DataFrame, walls:
         floors = cut(moved.select(
             *FLOOR, "room", (F.col("fills") + F.when(F.col("won").isNotNull(), 1).otherwise(0)).alias("fills"),
             (F.col("steps") + F.coalesce(F.col("won") + 1, looked)).alias("steps"),
-            F.when(F.col("won").isNotNull(), 1).otherwise(F.least(F.col("ahead") * 2, F.lit(AHEAD))).alias("ahead"),
+            F.when(F.col("won").isNotNull(), FIRST).otherwise(F.least(F.col("ahead") * 2, F.lit(AHEAD))).alias("ahead"),
             (F.col("done") | (F.col("goes").isNotNull() & F.col("won").isNull() & (looked < F.col("ahead")))).alias("done"),
         ))
         lost = seeds.join(won.select(*FLOOR, "won"), FLOOR, "left").where("won is null or step < won").select(*FLOOR, "cell", F.lit(True).alias("lost"))
