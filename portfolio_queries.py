@@ -21,7 +21,7 @@ from floorlens.sources.scene import Scene
 QUERIES: dict = {}
 ORACLE: dict = {}
 #: Camera suggestions: points of a floor to be seen, and cameras to add at most.
-TARGET_PCT, MOST_NEW = 80.0, 14
+TARGET_PCT, MOST_NEW = 70.0, 9
 
 
 class Portfolio:
