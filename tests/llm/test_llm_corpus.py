@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,15 +177,76 @@ def test_class_lm_base_scores(spark):
     assert len(alone) == 1
 
 
-def test_class_lm_far_words_score_like_near_ones(spark, monkeypatch):
-    """Words beyond the table that travels to tasks are joined; the sums stay."""
+@pytest.mark.parametrize("near", [1 << 16, 40, 1])
+def test_class_lm_scores_are_those_of_its_classes(spark, monkeypatch, near):
+    """All words have a class; counts, bigrams and sums are those of a plain
+    model with these classes, wherever the table of frequent words ends."""
+    monkeypatch.setattr(class_lm, "NEAR", near)
     rng = np.random.default_rng(1)
-    table = docs(spark, [(i, " ".join(words(rng, 40))) for i in range(30)])
-    one = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in class_lm.score(table).collect()}
-    monkeypatch.setattr(class_lm, "NEAR", class_lm.UNITS - class_lm.SUFFIXES)
-    monkeypatch.setattr(class_lm, "HELD", 50)
-    two = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in class_lm.score(table).collect()}
-    assert one == two
+    rows = [(i, " ".join(words(rng, 40, "abcd") + words(rng, 3))) for i in range(40)] + [(50, None), (51, "new " * 700), (52, "abc"), (52, "abc"), (None, "abc abd")]
+    training = [(k, t) for k, t in rows if k is None or zlib.crc32(str(k).encode()) % 5 != 1]
+    model, classes = class_lm.fit(docs(spark, training).select("text"))
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array([t], pa.string())], ["text"])
+    own = dict(zip(model.near.code.tolist(), model.of.tolist(), strict=False))
+    other = {r.word % (1 << 64): r.cls for r in classes.collect()}
+    counts, step, into, prev = Counter(), Counter(), Counter(), Counter()
+
+    def tokens(t):
+        _, code, group, _ = class_lm._tokens(batch(t))
+        code = code.tolist()
+        rest = model.of[len(model.near.code) + np.maximum(group, 0)].tolist()
+        before = [own.get(c, r) for c, r in zip(code, rest, strict=True)]
+        return [(c, b, own.get(c, other.get(c, r))) for c, b, r in zip(code, before[-1:] + before[:-1], rest, strict=True)]
+
+    for _, t in training:
+        for c, b, k in tokens(t):
+            counts[c] += 1
+            step[b, k] += 1
+            into[k] += 1
+            prev[b] += 1
+    assert set(counts) == set(own) | set(other) and len(own) == min(near, len(counts))
+    members = Counter((own | other)[c] for c in counts)
+    share = {k: (into[k] + 1) / (sum(into.values()) + class_lm.CLASSES) for k in range(class_lm.CLASSES)}
+    want = Counter()
+    for key, t in rows:
+        total = 0
+        for c, b, k in tokens(t):
+            total += math.log10((step[b, k] + class_lm.PULL * share[k]) / (prev[b] + class_lm.PULL))
+            total += math.log10((counts[c] + 0.5) / (into[k] + 0.5 * (members[k] + 1)))
+        want[key, round(total, 4)] += 1
+    assert Counter((r.doc_id, round(r.score, 4)) for r in class_lm.score(docs(spark, rows)).collect()) == want
+
+
+def test_gains_are_likelihoods():
+    rng = np.random.default_rng(5)
+    table = rng.integers(0, 60, (class_lm.CLASSES, class_lm.CLASSES))
+    for most in (3, 60):
+        left, right = (np.bincount(rng.integers(0, 20, 5), rng.integers(1, most, 5), class_lm.CLASSES).astype(np.int64) for _ in range(2))
+        with_word = table.copy()
+        with_word[:, 30] += left
+        with_word[30] += right
+        moved = table.copy()
+        moved[:, 40] += left
+        moved[40] += right
+        slot = np.flatnonzero(np.concatenate((left, right)))
+        row, v = np.zeros(len(slot), np.int64), np.concatenate((left, right))[slot]
+        change = class_lm._likelihood(moved) - class_lm._likelihood(with_word)
+        enter = class_lm.Gains(table)(1, row, slot, v)[0]
+        move = class_lm.Gains(with_word)(1, row, slot, v, np.array([30]))[0]
+        assert np.isclose(enter[40] - enter[30], change) and np.isclose(move[40] - move[30], change)
+
+
+def test_rounds_raise_the_likelihood_over_all_words(spark, monkeypatch):
+    """Two kinds of words that follow each other: no class mixes them, though
+    the start knows but eight words."""
+    monkeypatch.setattr(class_lm, "UNITS", class_lm.SUFFIXES + 8)
+    rng = np.random.default_rng(2)
+    kinds = [words(rng, 60, "abcdefgh"), words(rng, 60, "stuvwxyz")]
+    text = lambda: " ".join(str(rng.choice(kinds[i % 2])) for i in range(400))
+    model, _ = class_lm.fit(docs(spark, [(i, text()) for i in range(30)]).select("text"))
+    of = dict(zip(model.near.code.tolist(), model.of.tolist(), strict=False))
+    code = [{of[class_lm._tokens(pa.RecordBatch.from_arrays([pa.array([w])], ["text"]))[1].tolist()[0]] for w in k} for k in kinds]
+    assert not code[0] & code[1]
 
 
 def test_exchange_finds_classes():
