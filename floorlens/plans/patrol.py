@@ -170,36 +170,68 @@ def keep_or_best(current, cams):
     return cams[0] if len(cams) else None
 
 
-def handoffs(fixes: DataFrame, seen: DataFrame, subject: str = "subject") -> DataFrame:
-    """The camera followed per subject over time. fixes(subject, ts, probe_id);
-    seen as produced by probe.see. Fixes are partitioned by subject and sorted
-    by Spark; each task streams its sorted batches and carries one camera id,
-    so no subject is held in memory as a whole."""
-    views = seen.groupBy("probe_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cam_pos", "camera_id"))),
-            lambda v: v["camera_id"],
-        ).alias("cams")
-    )
-    ordered = (
-        fixes.select(subject, "ts", "probe_id")
-        .join(views, "probe_id", "left")
-        .select(subject, "ts", "probe_id", F.coalesce("cams", F.array().cast("array<string>")).alias("cams"))
-        .repartition(subject)
-        .sortWithinPartitions(subject, "ts", "probe_id")
-    )
-
-    def follow(batches):
-        who, current = None, None
-        for batch in batches:
-            picked = []
-            for key, cams in zip(batch[subject], batch["cams"]):
-                if key != who:
-                    who, current = key, None
-                now = keep_or_best(current, list(cams))
-                current = now if now is not None else current
-                picked.append(now)
-            yield batch.drop(columns="cams").assign(camera_id=picked)
-
-    kind = fixes.schema[subject].dataType.simpleString()
-    return ordered.mapInPandas(follow, f"{subject} {kind}, ts timestamp, probe_id bigint, camera_id string")
+#: Fixes of a subject in one block; stretches of sight are cut at its edges.
+BLOCK = 4096
+
+
+def handoffs(fixes: DataFrame, seen: DataFrame, subject: str = "subject", block: int = BLOCK) -> DataFrame:
+    """The camera followed per subject over time, a row per row of
+    fixes(subject, ts, probe_id); seen as produced by probe.see. Fixes follow
+    each other by ts, then probe_id; one that no camera sees has none, and the
+    camera before it goes on if it sees the next. Rows without a subject have
+    none either.
+
+    While one camera sees consecutive fixes, these are a stretch, and where it
+    ends the fix after it tells which stretch comes next: it depends on no
+    earlier choice. So each stretch has one successor, and those that are
+    followed are found from the first by pointer doubling; no subject is walked
+    through in one task."""
+    key = [subject, "camera_id", "first"]
+    best = Window.partitionBy("probe_id").orderBy(F.desc("score"), "cam_pos", "camera_id")
+    views = seen.select("probe_id", "camera_id", F.row_number().over(best).alias("place"))
+    at = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))
+    known = fixes.where(F.col(subject).isNotNull()).select(subject, "ts", "probe_id").distinct()
+    some = cut(known.join(views.where("place = 1").select("probe_id"), "probe_id").withColumn("at", at))
+    order = number_rows(some, [subject], "at", "n", bucket=3_600_000_000, ties=["probe_id"])
+    sight = order.join(views, "probe_id").withColumn("block", F.floor(F.col("n") / block))
+    along = Window.partitionBy(subject, "camera_id", "block").orderBy("n")
+    run = sight.withColumn("run", F.col("n") - F.row_number().over(along))
+    whole = Window.partitionBy(subject, "camera_id", "block", "run")
+    rows = cut(
+        run.withColumn("first", F.min("n").over(whole)).withColumn("last", F.max("n").over(whole))
+        .select(subject, "ts", "probe_id", "n", "camera_id", "place", "first", "last")
+    )
+    stretches = rows.where("n = first").select(*key, (F.col("last") + 1).alias("entry"))
+    on = stretches.select(subject, "camera_id", F.col("first").alias("entry"), F.lit(True).alias("on"))
+    fresh = rows.where("place = 1").select(subject, F.col("n").alias("entry"), F.col("camera_id").alias("cam"), F.col("first").alias("start"))
+    after = F.col("on").isNotNull()
+    jumps = cut(
+        stretches.join(fresh, [subject, "entry"])
+        .join(on, [subject, "camera_id", "entry"], "left")
+        .select(
+            *key, "entry",
+            F.when(after, F.col("camera_id")).otherwise(F.col("cam")).alias("next_camera"),
+            F.when(after, F.col("entry")).otherwise(F.col("start")).alias("next_first"),
+        )
+    )
+    followed = cut(rows.where("n = 1 and place = 1").select(*key, F.col("n").alias("entry")))
+    reached = followed.count()
+    while True:
+        steps = followed.select(*key).join(jumps, key).select(
+            subject, F.col("next_camera").alias("camera_id"), F.col("next_first").alias("first"), "entry"
+        )
+        followed = cut(followed.union(steps).distinct())
+        before, reached = reached, followed.count()
+        if reached == before:
+            break
+        then = jumps.select(
+            subject, F.col("camera_id").alias("next_camera"), F.col("first").alias("next_first"),
+            F.col("entry").alias("entry2"), F.col("next_camera").alias("camera2"), F.col("next_first").alias("first2"),
+        )
+        jumps = cut(
+            jumps.join(then, [subject, "next_camera", "next_first"])
+            .select(*key, F.col("entry2").alias("entry"), F.col("camera2").alias("next_camera"), F.col("first2").alias("next_first"))
+        )
+    picked = rows.join(followed, key).where("n >= entry").select(subject, "ts", "probe_id", "camera_id")
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (subject, "ts", "probe_id")]
+    return fixes.alias("f").join(picked.alias("p"), same, "left").select(*[F.col(f"f.{c}") for c in (subject, "ts", "probe_id")], "camera_id")

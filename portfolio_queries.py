@@ -886,12 +886,17 @@ def _(s):
     return live.edit_sessions(s.edits, "30 days").select("user_id", "edit_key", "started", "edits")
 
 
-@query("handoffs")
+@query("handoffs", o.sql(
+    """SELECT subject, probe_id, now AS camera_id FROM walk""", o.WALLS, o.RINGS, o.seen("probes", "probe_id"),
+    """cams AS MATERIALIZED (SELECT p.subject, p.probe_id, v.cams, row_number() OVER (PARTITION BY p.subject ORDER BY p.ts, p.probe_id) AS n
+    FROM probes p LEFT JOIN (SELECT probe_id, list(camera_id ORDER BY score DESC, cam_pos) AS cams FROM seen GROUP BY probe_id) v USING (probe_id)),
+  walk AS (SELECT subject, n, probe_id, cams[1] AS now, cams[1] AS held FROM cams WHERE n = 1
+    UNION ALL SELECT c.subject, c.n, c.probe_id, CASE WHEN list_contains(c.cams, w.held) THEN w.held ELSE c.cams[1] END,
+      CASE WHEN list_contains(c.cams, w.held) THEN w.held ELSE coalesce(c.cams[1], w.held) END
+    FROM walk w JOIN cams c ON c.subject = w.subject AND c.n = w.n + 1)"""))
 def _(s):
     seen = probe.see(s.probes, s.cameras, scene_rings(s))
-    return patrol.handoffs(s.probes, seen).groupBy("subject").agg(
-        F.count("camera_id").alias("followed"), F.countDistinct("camera_id").alias("cameras")
-    )
+    return patrol.handoffs(s.probes, seen).select("subject", "probe_id", "camera_id")
 
 
 @query("patrol_fixes", o.sql(

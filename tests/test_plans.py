@@ -140,3 +140,35 @@ def test_tour_stop_by_stop(spark):
     nodes = [r.node for r in patrol.tour_points(tour, u, o, none(spark)).orderBy("seq").collect()]
     assert nodes == ["a", "door:da", "hall", "door:dc", "c", "door:dc", "hall", "door:db", "b"]
     assert patrol._looped(rooms.where("false"), graph).count() == 0
+
+
+def test_handoffs_are_a_walk_through_the_fixes(spark):
+    """Ties, gaps, repeated rows, null subjects and times; stretches longer
+    than a block."""
+    import random
+
+    from floorlens.plans import patrol
+
+    rng = random.Random(4)
+    fixes, seen = [], []
+    for i in range(400):
+        fixes.append((rng.choice([1, 1, 1, 2, 3]), rng.choice([None, *range(150)]) if i % 9 == 0 else i // 2, i))
+        if rng.random() < 0.85:
+            first = i // 30 % 4
+            seen += [(i, f"c{c}", rng.choice([0.2, 0.5]), c) for c in range(7) if (c == first or rng.random() < 0.4)]
+    fixes += [fixes[5], fixes[5], (None, 3, 7), (4, 1, 1000), (5, 1, None)]
+    f = spark.createDataFrame(fixes, "subject bigint, s bigint, probe_id bigint").select("subject", F.timestamp_seconds("s").alias("ts"), "probe_id")
+    v = spark.createDataFrame(seen, "probe_id bigint, camera_id string, score double, cam_pos bigint")
+    want = []
+    for who in {k for k, _, _ in fixes}:
+        held = None
+        for _, t, i in sorted((x for x in fixes if x[0] == who), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or 0)):
+            cams = [c for _, c in sorted((-s, c) for p, c, s, _ in seen if p == i)] if who is not None else []
+            now = patrol.keep_or_best(held, cams)
+            held = now or held
+            want.append((who, i, now))
+    key = lambda r: tuple(map(str, r))
+    for block in (4096, 3):
+        got = patrol.handoffs(f, v, block=block).collect()
+        assert sorted(((r.subject, r.probe_id, r.camera_id) for r in got), key=key) == sorted(want, key=key)
+    assert patrol.handoffs(f.where("false"), v).collect() == []
