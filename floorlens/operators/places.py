@@ -365,6 +365,30 @@ def default_names(new_units: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
+def placeholder_names(new: DataFrame, existing: DataFrame, keys: list[str], word: str, pos: str = "pos", ties: list[str] | None = None) -> DataFrame:
+    """``new`` with a ``name`` "<word> n", counting on by ``pos`` from the rows
+    of ``existing`` with the same keys; a key without any counts from 1. ``pos``
+    is a number; ``new`` has no columns ``n`` and ``have``."""
+    have = existing.groupBy(*keys).agg(F.count("*").alias("have"))
+    return (
+        number_rows(new, keys, pos, "n", ties=ties)
+        .join(have, keys, "left")
+        .withColumn("name", F.concat_ws(" ", F.lit(word), (F.coalesce("have", F.lit(0)) + F.col("n")).cast("string")))
+        .drop("have", "n")
+    )
+
+
+def camera_names(new: DataFrame, cameras: DataFrame, pos: str = "pos") -> DataFrame:
+    """"Camera n" for cameras put on a floor, after those it has."""
+    return placeholder_names(new, cameras, FLOOR, "Camera", pos)
+
+
+def patrol_names(new: DataFrame, patrols: DataFrame) -> DataFrame:
+    """"Auto patrol n" for tours, floor by floor after the patrols of their
+    building, whatever those are called; at most one new tour a floor."""
+    return placeholder_names(new, patrols, ["building_id"], "Auto patrol", "ordinal")
+
+
 def unit_overlaps(shapes: DataFrame, key: str, units: DataFrame) -> DataFrame:
     """Shape-unit pairs that share area on the same floor."""
     left = shapes.select(*FLOOR, key, F.col("polygon").alias("shape"), g.bbox(F.col("polygon")).alias("lbox"))

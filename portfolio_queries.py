@@ -979,6 +979,21 @@ def _(s):
     return places.default_names(s.units.where("name = ''"), s.units).select("building_id", "unit_id", "name")
 
 
+@query("camera_names", o.sql(
+    """SELECT building_id, ordinal, incident_id, 'Camera ' || (coalesce(n, 0) + row_number() OVER (PARTITION BY building_id, ordinal ORDER BY probe_id)) AS name
+    FROM incidents LEFT JOIN (SELECT building_id, ordinal, count(*) AS n FROM cameras GROUP BY ALL) USING (building_id, ordinal)"""))
+def _(s):
+    put = s.incidents.withColumn("pos", F.substring("incident_id", 2, 20).cast("long"))
+    return places.camera_names(put, s.cameras).select(*FLOOR, "incident_id", "name")
+
+
+@query("patrol_names", o.sql(
+    """SELECT building_id, ordinal, 'Auto patrol ' || (count(*) OVER (PARTITION BY building_id) + row_number() OVER (PARTITION BY building_id ORDER BY ordinal)) AS name
+    FROM floors"""))
+def _(s):
+    return places.patrol_names(s.patrols.select(*FLOOR), s.patrols).select(*FLOOR, "name")
+
+
 @query("changed_cameras", o.sql(
     "SELECT building_id, camera_id, ((heading + 365 - pos % 2 * 5) % 360)::DOUBLE AS heading FROM cameras WHERE kind = 'ptz' AND pos % 2 = 0"))
 def _(s):

@@ -172,3 +172,15 @@ def test_handoffs_are_a_walk_through_the_fixes(spark):
         got = patrol.handoffs(f, v, block=block).collect()
         assert sorted(((r.subject, r.probe_id, r.camera_id) for r in got), key=key) == sorted(want, key=key)
     assert patrol.handoffs(f.where("false"), v).collect() == []
+
+
+def test_placeholder_names_count_on(spark):
+    from floorlens.operators import places
+
+    old = spark.createDataFrame([(1, 0, "x"), (1, 0, "y"), (1, 1, "z")], "building_id bigint, ordinal int, camera_id string")
+    new = spark.createDataFrame([(1, 0, 20), (1, 0, 3), (1, 1, 1), (1, 2, 5), (2, 0, 9)], "building_id bigint, ordinal int, pos bigint")
+    got = {(r.building_id, r.ordinal, r.pos): r.name for r in places.camera_names(new, old).collect()}
+    assert got == {(1, 0, 3): "Camera 3", (1, 0, 20): "Camera 4", (1, 1, 1): "Camera 2", (1, 2, 5): "Camera 1", (2, 0, 9): "Camera 1"}
+    tours = new.select("building_id", "ordinal").distinct()
+    got = {(r.building_id, r.ordinal): r.name for r in places.patrol_names(tours, old.select("building_id", "ordinal")).collect()}
+    assert got == {(1, 0): "Auto patrol 4", (1, 1): "Auto patrol 5", (1, 2): "Auto patrol 6", (2, 0): "Auto patrol 1"}
