@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import geometry as g
+from ..functions import geometry as g, sight
 from ..session import cut
 from .spatial import FLOOR, points_in_boxes, with_box
 from .walls import first_footprints, has_area
@@ -194,7 +194,7 @@ def grid_cells(shapes: DataFrame, pitch=GRID_M, offset=None) -> DataFrame:
     boxes = with_box(shapes.select(*FLOOR, "polygon"))
     return (
         points_in_boxes(cells, boxes, "cell")
-        .where(g.point_in_ring(F.col("at"), F.col("polygon")))
+        .where(sight.ring_holds(F.col("at"), F.col("polygon")))
         .drop("polygon")
         .dropDuplicates([*FLOOR, "cell"])
     )
@@ -203,12 +203,11 @@ def grid_cells(shapes: DataFrame, pitch=GRID_M, offset=None) -> DataFrame:
 def cover_counts(cells: DataFrame, visibility: DataFrame) -> DataFrame:
     """How many cameras see each grid cell (zero included)."""
     rings = visibility.where(F.size("ring") >= 3).select(
-        *FLOOR, g.ring_edges(F.col("ring")).alias("edges"), g.bbox(F.col("ring")).alias("box")
+        *FLOOR, "ring", g.bbox(F.col("ring")).alias("box")
     )
-    at = F.col("at")
     seen = (
         points_in_boxes(cells.select(*FLOOR, "cell", "at"), rings, "cell")
-        .where(g.edges_contain(at["x"], at["y"], F.col("edges")))
+        .where(sight.ring_holds(F.col("at"), F.col("ring")))
         .groupBy(*FLOOR, "cell")
         .agg(F.count("*").alias("cameras"))
     )

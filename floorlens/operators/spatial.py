@@ -103,13 +103,15 @@ def points_in_boxes(
     """Candidate join of points to same-floor boxes that contain them.
 
     `boxes` carries struct column `box`; column names other than the floor keys
-    must differ from those of `points`.
+    must differ from those of `points`. Both sides may come out of an explode,
+    whose rows Spark's estimate of their size does not count, so neither is
+    broadcast.
     """
     p, b = point_tiles(points, at, size), box_tiles(boxes, "box", size).drop("tx0", "ty0")
     a, b, keys = split_hot(p, b, [*FLOOR, "tx", "ty"], salt_on, rows)
     x, y, box = F.col(at)["x"], F.col(at)["y"], F.col("box")
     inside = (x >= box["x0"]) & (x <= box["x1"]) & (y >= box["y0"]) & (y <= box["y1"])
-    return a.join(b, keys).where(inside).drop("tx", "ty", "salt", "box")
+    return a.join(b.hint("merge"), keys).where(inside).drop("tx", "ty", "salt", "box")
 
 
 def number_rows(
