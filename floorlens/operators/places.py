@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import geometry as g, labels
+from ..functions import geometry as g, labels, sight
 from ..session import cut
 from .spatial import FLOOR, box_join, box_tiles, number_rows, points_in_boxes, tile, with_box
 
@@ -15,7 +15,7 @@ def containing_units(points: DataFrame, units: DataFrame, point_id: str) -> Data
     """Every (point, unit) with the point inside the unit."""
     u = with_box(units.select(*FLOOR, "unit_id", F.col("pos").alias("unit_pos"), "polygon"))
     return points_in_boxes(points, u, point_id).where(
-        g.point_in_ring(F.col("at"), F.col("polygon"))
+        sight.ring_holds(F.col("at"), F.col("polygon"))
     )
 
 
@@ -393,6 +393,6 @@ def unit_overlaps(shapes: DataFrame, key: str, units: DataFrame) -> DataFrame:
     """Shape-unit pairs that share area on the same floor."""
     left = shapes.select(*FLOOR, key, F.col("polygon").alias("shape"), g.bbox(F.col("polygon")).alias("lbox"))
     right = units.select(*FLOOR, "unit_id", "polygon", g.bbox(F.col("polygon")).alias("rbox"))
-    return box_join(left, right).where(g.rings_overlap(F.col("shape"), F.col("polygon"))).select(
+    return box_join(left, right).where(sight.rings_overlap(F.col("shape"), F.col("polygon"))).select(
         *FLOOR, key, "unit_id"
     )
