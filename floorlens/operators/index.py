@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import geometry as g, labels, optics
+from ..functions import geometry as g, labels, optics, sight
 from .probe import see
 from .spatial import FLOOR, box_join, rank_scores
 
@@ -79,7 +79,7 @@ def camera_unit_overlap(units: DataFrame, visibility: DataFrame) -> DataFrame:
     )
     return (
         box_join(v, u)
-        .where(g.rings_overlap(F.col("ring"), F.col("polygon")))
+        .where(sight.rings_overlap(F.col("ring"), F.col("polygon")))
         .select(*FLOOR, "camera_id", "unit_id")
     )
 
