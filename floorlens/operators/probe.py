@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import geometry as g, optics
+from ..functions import geometry as g, optics, sight
 from .spatial import FLOOR, points_in_boxes
 from .visibility import CAMERA
 
@@ -57,9 +57,8 @@ def see(
     `points` needs the floor keys, `point_id` and `at`.
     """
     rings = visibility.where(F.size("ring") >= 3).select(
-        *CAMERA, g.ring_edges(F.col("ring")).alias("edges")
+        *CAMERA, "ring"
     )
-    x, y = F.col("at.x"), F.col("at.y")
     reach = F.greatest(F.col("view.range_m"), F.lit(1e-6))
     score = (
         F.col("heading_align") * VIEW_WEIGHTS["heading"]
@@ -69,10 +68,10 @@ def see(
     return (
         _candidates(points, cameras, point_id)
         .join(rings, CAMERA)
-        .where(g.edges_contain(x, y, F.col("edges")))
-        .withColumn("depth_m", g.edges_min_dist(x, y, F.col("edges")))
+        .withColumn("depth_m", sight.ring_depth(F.col("at"), F.col("ring")))
+        .where("depth_m is not null")
         .withColumn("score", score)
-        .drop("edges", "view")
+        .drop("ring", "view")
     )
 
 
