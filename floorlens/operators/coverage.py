@@ -177,6 +177,9 @@ def grid_cells(shapes: DataFrame, pitch=GRID_M, offset=None) -> DataFrame:
         F.min(box["x0"]).alias("gx0"), F.min(box["y0"]).alias("gy0"),
         F.max(box["x1"]).alias("gx1"), F.max(box["y1"]).alias("gy1"),
     )
+    # Few bytes of floors become many cells, so the tasks are spread beforehand.
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    floor = floor.repartition(tasks, *FLOOR)
     p = F.col("pitch")
     off = p / 2 if offset is None else F.lit(float(offset))
     count = lambda lo, hi: F.greatest(F.ceil((F.col(hi) - F.col(lo) - off) / p), F.lit(0))
