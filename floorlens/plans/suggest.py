@@ -225,6 +225,7 @@ def suggest(units: DataFrame, footprints: DataFrame, cameras: DataFrame, walls:
     floors = points.select(*FLOOR).distinct().join(taken, FLOOR, "left").select(*FLOOR, (F.lit(most) - F.coalesce("corners", F.lit(0))).alias("room"))
     floors = cut(floors.select("*", F.lit(0).cast("long").alias("fills"), F.lit(0).cast("long").alias("steps"), F.lit(FIRST).alias("ahead"), F.lit(False).alias("done")))
     placed = cut(cameras.select(*FLOOR, "at", "heading").unionByName(corners.select(*FLOOR, "at", "heading")))
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filled = []
     while True:
         state = points.groupBy(*FLOOR).agg(F.count_if("seen").alias("met"), F.count("*").alias("all"))
@@ -234,7 +235,9 @@ def suggest(units: DataFrame, footprints: DataFrame, cameras: DataFrame, walls:
         )
         if going.isEmpty():
             break
-        under = points.where("not seen and not dead").join(going, FLOOR)
+        # A floor that is done never goes again, so its points are left behind.
+        mine = points.join(going.select(*FLOOR), FLOOR, "left_semi")
+        under = mine.where("not seen and not dead").join(going, FLOOR)
         seeds = cut(
             under.select(*FLOOR, "cell", F.col("at.x").alias("x"), F.col("at.y").alias("y")).groupBy(*FLOOR).applyInArrow(seeds_of, SEED)
             .join(going, FLOOR).where("step < left and step < ahead").drop("left", "ahead")
@@ -247,8 +250,10 @@ def suggest(units: DataFrame, footprints: DataFrame, cameras: DataFrame, walls:
             F.max_by(F.struct("near", "gain", "zone", "at", "heading", "fov_deg", "range_m", "ring"), F.struct("gain", -F.col("nth"))).alias("p")
         )
         enough = F.col("p.gain") >= F.greatest(F.lit(LEAST_GAIN), F.floor(F.col("p.near") * GAIN_SHARE))
-        won = cut(best.where(enough).groupBy(*FLOOR).agg(F.min_by("p", "step").alias("p"), F.min("step").alias("won")).select(*FLOOR, "won", "p.*"))
-        filled.append(won.join(floors.select(*FLOOR, "fills"), FLOOR))
+        won = best.where(enough).groupBy(*FLOOR).agg(F.min_by("p", "step").alias("p"), F.min("step").alias("won")).select(*FLOOR, "won", "p.*")
+        nth = (F.lit(most) - F.col("room") + F.col("fills") + 1).cast("int")
+        won = cut(won.join(floors.select(*FLOOR, nth.alias("seq")), FLOOR))
+        filled.append(won)
         tried = seeds.groupBy(*FLOOR).agg(F.count("*").alias("tried")).join(won.select(*FLOOR, "won"), FLOOR, "left")
         moved = floors.join(going.select(*FLOOR, F.col("left").alias("goes")), FLOOR, "left").join(tried, FLOOR, "left")
         looked = F.coalesce("tried", F.lit(0))
@@ -259,17 +264,16 @@ def suggest(units: DataFrame, footprints: DataFrame, cameras: DataFrame, walls:
             (F.col("done") | (F.col("goes").isNotNull() & F.col("won").isNull() & (looked < F.col("ahead")))).alias("done"),
         ))
         lost = seeds.join(won.select(*FLOOR, "won"), FLOOR, "left").where("won is null or step < won").select(*FLOOR, "cell", F.lit(True).alias("lost"))
-        met = inside(points.where("not seen").select(*FLOOR, "cell", "at"), won.select(*FLOOR, "ring"), "cell").select(*FLOOR, "cell", F.lit(True).alias("met"))
+        met = inside(mine.where("not seen").select(*FLOOR, "cell", "at"), won.select(*FLOOR, "ring"), "cell").select(*FLOOR, "cell", F.lit(True).alias("met"))
         points = cut(
-            points.join(lost, [*FLOOR, "cell"], "left").join(met, [*FLOOR, "cell"], "left")
+            mine.join(lost, [*FLOOR, "cell"], "left").join(met, [*FLOOR, "cell"], "left")
             .select(*FLOOR, "cell", "at", (F.col("seen") | F.coalesce("met", F.lit(False))).alias("seen"), (F.col("dead") | F.coalesce("lost", F.lit(False))).alias("dead"))
         )
-        placed = cut(placed.unionByName(won.select(*FLOOR, "at", "heading")))
+        placed = cut(placed.unionByName(won.select(*FLOOR, "at", "heading")).coalesce(tasks))
     pose = ["zone", "at", "heading", "fov_deg", "range_m", "ring"]
     out = corners.select(*FLOOR, "seq", F.lit("corner").alias("way"), *pose, F.lit(None).cast("long").alias("gain"))
     for won in filled:
-        after = won.join(taken, FLOOR, "left").withColumn("seq", (F.coalesce("corners", F.lit(0)) + F.col("fills") + 1).cast("int"))
-        out = out.unionByName(after.select(*FLOOR, "seq", F.lit("fill").alias("way"), *pose, "gain"))
+        out = out.unionByName(won.select(*FLOOR, "seq", F.lit("fill").alias("way"), *pose, "gain"))
     name = F.concat("zone", F.lit(" · New "), F.lpad(F.col("seq").cast("string"), F.greatest(F.lit(2), F.length(F.col("seq").cast("string"))), F.lit("0")))
     return out.select(*FLOOR, "seq", "way", name.alias("name"), "at", "heading", "fov_deg", "range_m", "gain", "ring")
 

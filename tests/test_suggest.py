@@ -166,3 +166,14 @@ def test_mounts_that_repeat_one_another(spark):
     assert sorted(r.candidate_id for r in suggest.first_of_kind(poses).collect()) == ["p0", "p2", "p4"]
     turned = poses.withColumn("heading", F.col("nth") * 60.0).withColumn("raw_heading", F.col("heading"))
     assert suggest.first_of_kind(turned).count() == 6
+
+
+def test_rounds_leave_no_joins_behind(spark):
+    """Each round's cameras are finished rows: the returned table joins nothing,
+    so that no round keeps a broadcast of all floors on the driver."""
+    footprint = rect(0, 0, 40, 30)
+    u, fp, c = units(spark, ROOMS), footprints(spark, [footprint]), cameras(spark, CAMS)
+    w = walls_of(u, fp, structures(spark, [(b, None) for b in BLOCKS]))
+    found = suggest.suggest(u, fp, c, w, visibility(c, w), 90, 7)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("way = 'fill'").count() > 1
