@@ -1,9 +1,10 @@
 """Routes for whole tables of requests at once.
 
-Requests relax together: a round extends every open path by one hop and keeps
-the cheapest path per (request, node). Doors are folded into hops and rooms that
-lead nowhere are never entered, so a round touches halls and verticals only;
-the last hop into the goal is an equi-join on (building, goal).
+Starts relax together: a round extends every open path by one hop and keeps
+the cheapest path per (start, node). Doors are folded into hops and rooms that
+lead nowhere are never entered, so a round touches halls and verticals only.
+Requests that leave by the same hall share one start; their first and last hops
+are equi-joins on (building, room).
 """
 
 from __future__ import annotations
@@ -21,15 +22,6 @@ EPS = 0.05
 REQ = ["request_id", "building_id"]
 
 
-def _best(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Cheapest path per key: smaller cost (to 1e-6), then smaller path text."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.min(F.struct(F.round("cost", 6).alias("k"), F.concat_ws(">", "path").alias("t"), "cost", "path")).alias("m"))
-        .select(*keys, "m.cost", "m.path")
-    )
-
-
 def _through(graph: dict[str, DataFrame]) -> DataFrame:
     """Hops between nodes with more than one neighbour."""
     h = graph["hops"]
@@ -91,23 +83,42 @@ def routes(
     return requests.select(*REQ, "start_id", "goal_id").join(route_pairs(live, graph).drop("goal_id"), REQ, "left")
 
 
+def _ends(graph: dict[str, DataFrame], name: str) -> DataFrame:
+    """Of each node `{name}_id` with neighbours: the through node where paths
+    from it join the others (itself, or else its only neighbour) and, for the
+    latter, that hop."""
+    end = F.col(f"{name}_id")
+    out = graph["hops"].groupBy("building_id", F.col("src").alias(f"{name}_id")).agg(
+        F.count("*").alias("n"), F.min(F.struct("dst", "w", "via")).alias("hop")
+    )
+    alone = F.col("n") == 1
+    return out.select(
+        "building_id", end, F.when(alone, F.col("hop.dst")).otherwise(end).alias(f"{name}_at"), F.when(alone, F.col("hop")).alias(f"{name}_hop")
+    )
+
+
 def route_pairs(pairs: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
     """Cheapest path of each (request_id, building_id, start_id, goal_id) that
-    has one; pairs that share a request and a start are relaxed once."""
-    best = _relax(pairs.select(*REQ, "start_id").distinct(), graph)
-    goal = pairs.select(*REQ, "goal_id")
-    at_goal = best.join(goal, REQ).where("node = goal_id")
-    last = (
-        best.join(goal, REQ)
-        .where("node != goal_id")
-        .join(
-            graph["hops"].select("building_id", F.col("src").alias("node"), F.col("dst").alias("goal_id"), "w", "via"),
-            ["building_id", "node", "goal_id"],
-        )
-        .where(~F.array_contains("path", F.col("goal_id")))
-        .select(*REQ, "goal_id", (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", "via", F.array("goal_id")).alias("path"))
+    has one. A node with one neighbour is entered and left by that hop alone, so
+    paths are relaxed once per building and node where requests meet the through
+    nodes, and a request adds its first and last hop."""
+    pairs = pairs.select(*REQ, "start_id", "goal_id").distinct()
+    ends = pairs.where("start_id != goal_id").join(_ends(graph, "start"), ["building_id", "start_id"]).join(_ends(graph, "goal"), ["building_id", "goal_id"])
+    ends = cut(ends)
+    starts = ends.select(F.col("start_at").alias("request_id"), "building_id", F.col("start_at").alias("start_id")).distinct()
+    best = _relax(starts, graph).select(F.col("request_id").alias("start_at"), "building_id", F.col("node").alias("goal_at"), "cost", "path")
+    first, last = F.col("start_hop"), F.col("goal_hop")
+    near = first.isNotNull() & last.isNotNull() & (first["dst"] == F.col("goal_id"))
+    empty = F.array().cast("array<string>")
+    head = F.when(first.isNotNull(), F.concat(F.array("start_id"), first["via"])).otherwise(empty)
+    tail = F.when(last.isNotNull(), F.concat(last["via"], F.array("goal_id"))).otherwise(empty)
+    zero = lambda hop: F.coalesce(hop["w"], F.lit(0.0))
+    here = pairs.where("start_id = goal_id").select(*REQ, "goal_id", F.lit(0.0).alias("cost"), F.array("start_id").alias("path"))
+    beside = ends.where(near).select(*REQ, "goal_id", first["w"].alias("cost"), F.concat(F.array("start_id"), first["via"], F.array("goal_id")).alias("path"))
+    through = ends.where(~near).join(best, ["building_id", "start_at", "goal_at"]).select(
+        *REQ, "goal_id", (zero(first) + F.col("cost") + zero(last)).alias("cost"), F.concat(head, "path", tail).alias("path")
     )
-    return _best(at_goal.select(*REQ, "goal_id", "cost", "path").unionByName(last), [*REQ, "goal_id"])
+    return here.unionByName(beside).unionByName(through)
 
 
 def egress(

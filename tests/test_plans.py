@@ -42,6 +42,19 @@ def test_route_and_directions(spark):
     assert {p.kind for p in gm["points"].collect()} == {"start", "end"}
 
 
+def test_requests_share_the_relaxation_of_their_halls(spark, monkeypatch):
+    """Paths are relaxed per hall where requests set out, whatever their number."""
+    u, o, v = two_floors(spark)
+    asked = [("a", "c"), ("a", "h1"), ("h0", "c"), ("a", "e1"), ("e0", "a"), ("h0", "h1"), ("a", "a"), ("c", "h1"), ("e0", "e1")] * 3
+    started, relax = [], routes._relax
+    monkeypatch.setattr(routes, "_relax", lambda starts, graph: started.extend(starts.collect()) or relax(starts, graph))
+    found = {r.request_id: (r.cost, r.path) for r in routes.routes(req(spark, *asked), u, o, v).collect()}
+    assert len(started) <= 5 and len(found) == 27
+    assert found[0][1] == ["a", "door:d1", "h0", "door:d2", "e0", "e1", "door:d4", "h1", "door:d3", "c"]
+    assert found[5][1] == found[0][1][2:-2] and found[1][1] == found[0][1][:-2] and found[8][1] == ["e0", "e1"] and found[6] == (0, ["a"])
+    assert found[0][0] == pytest.approx(found[5][0] + found[7][0] * 2) and all(found[i] == found[i % 9] for i in found)
+
+
 def test_shortcut_only_where_nothing_blocks(spark):
     u, o = units(spark, HALL), openings(spark, DOORS)
     r = routes.routes(req(spark, ("a", "b")), u, o, none(spark))
