@@ -12,9 +12,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructType
 
 SLICE = 1_000_000
+#: Scanlines of one call of `line_runs`.
+BAND = 256
 EPS_M = 1e-9
 
 
@@ -142,10 +144,45 @@ def overlaps(ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array) -> pa.Array
     return pa.array(out)
 
 
+RUN = pa.struct([("line", pa.int64()), ("x1", pa.float64()), ("x2", pa.float64())])
+
+
+def runs(x: pa.Array, y: pa.Array, band: pa.Array, pitch: pa.Array) -> pa.Array:
+    """Inside intervals (line, x1, x2) of each ring on the scanlines of one band."""
+    size = len(x)
+    rings, step = _Rings(x, y), pitch[0].as_py() if size else 1.0
+    first = band.to_numpy(zero_copy_only=False).astype(np.int64)[rings.rows] * BAND
+    line_at = lambda v: np.clip(np.ceil(v / step - 0.5), first, first + BAND).astype(np.int64)
+    lo, hi = line_at(np.minimum(rings.ay, rings.by)), line_at(np.maximum(rings.ay, rings.by))
+    n = hi - lo
+    ends = np.concatenate((rings.starts, [len(n)]))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+    for i, j in _slices(np.bincount(rings.rows, n, size)) if size else ():
+        edges = np.arange(ends[i], ends[j])
+        each = n[edges]
+        e = np.repeat(edges, each)
+        line = lo[e] + np.arange(len(e)) - np.repeat(np.cumsum(each) - each, each)
+        ax, ay, bx, by = rings.ax[e], rings.ay[e], rings.bx[e], rings.by[e]
+        at = (bx - ax) * ((line + 0.5) * step - ay) / (by - ay) + ax
+        ring = rings.rows[e]
+        order = np.lexsort((at, line, ring))
+        ring, line, at = ring[order], line[order], at[order]
+        same = (ring[1:] == ring[:-1]) & (line[1:] == line[:-1])
+        fresh = np.flatnonzero(np.concatenate(([True], ~same))) if len(e) else np.zeros(0, np.int64)
+        nth = np.arange(len(e)) - np.repeat(fresh, np.diff(np.append(fresh, len(e))))
+        kept = np.flatnonzero(same & (nth[:-1] % 2 == 0) & (at[1:] > at[:-1]))
+        found.append((ring[kept], line[kept], at[kept], at[kept + 1]))
+    ring, line, x1, x2 = (np.concatenate(c) for c in zip(*found, strict=True))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(ring, minlength=size)))).astype(np.int32)
+    rows = pa.StructArray.from_arrays([pa.array(line), pa.array(x1), pa.array(x2)], fields=list(RUN))
+    return pa.ListArray.from_arrays(pa.array(offsets), rows)
+
+
 # A filter on these would else be pushed below the column and evaluate it again.
 _depths = F.arrow_udf(depths, DoubleType()).asNondeterministic()
 _held = F.arrow_udf(held, BooleanType())
 _overlaps = F.arrow_udf(overlaps, BooleanType())
+_runs = F.arrow_udf(runs, ArrayType(StructType().add("line", LongType()).add("x1", DoubleType()).add("x2", DoubleType())))
 
 
 def ring_depth(p: Column, ring: Column) -> Column:
@@ -161,3 +198,9 @@ def ring_holds(p: Column, ring: Column) -> Column:
 def rings_overlap(a: Column, b: Column) -> Column:
     """Positive-area overlap, by the rules of ``geometry.rings_overlap``."""
     return _overlaps(a["x"], a["y"], b["x"], b["y"])
+
+
+def line_runs(ring: Column, band: Column, pitch: float) -> Column:
+    """Inside intervals (line, x1, x2) of a ring on scanlines `pitch` apart, of
+    those in one band of `BAND` lines (even-odd)."""
+    return _runs(ring["x"], ring["y"], band, F.lit(float(pitch)))

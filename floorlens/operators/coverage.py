@@ -33,23 +33,14 @@ def floor_shapes(units: DataFrame, footprints: DataFrame) -> DataFrame:
 
 def intervals(shapes: DataFrame, pitch: float, tag: str) -> DataFrame:
     """Inside intervals of each ring on each scanline (even-odd)."""
-    e = shapes.select(
-        *FLOOR, "shape_id", F.inline(g.ring_edges(F.col("polygon")))
-    ).where("ay != by")
+    box = g.bbox(F.col("polygon"))
     at = lambda y: F.ceil(y / pitch - 0.5)
-    lo, hi = F.least("ay", "by"), F.greatest("ay", "by")
-    y = (F.col("line") + 0.5) * pitch
-    crossings = (
-        e.where(at(lo) < at(hi))
-        .withColumn("line", F.explode(F.sequence(at(lo), at(hi) - 1)))
-        .withColumn(
-            "x", (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
-        )
-    )
-    w = Window.partitionBy(*FLOOR, "line", "shape_id").orderBy("x")
+    lines = shapes.withColumns({"lo": at(box["y0"]), "hi": at(box["y1"]) - 1}).where("lo <= hi")
+    bands = F.sequence(F.floor(F.col("lo") / sight.BAND), F.floor(F.col("hi") / sight.BAND))
     runs = (
-        crossings.withColumns({"n": F.row_number().over(w), "x2": F.lead("x").over(w)})
-        .where("n % 2 = 1 and x2 > x")
+        lines.select(*FLOOR, "polygon", F.explode(bands).alias("band"))
+        .select(*FLOOR, F.inline(sight.line_runs(F.col("polygon"), F.col("band"), pitch)))
+        .withColumnsRenamed({"x1": "x"})
     )
     c = F.col("column")
     return runs.withColumn(
@@ -66,7 +57,9 @@ def intervals(shapes: DataFrame, pitch: float, tag: str) -> DataFrame:
 
 
 def spans(units, footprints, visibility, pitch: float) -> DataFrame:
-    """Elementary spans of every scanline with their floor and camera counts."""
+    """Elementary spans of every scanline with their floor and camera counts.
+    Rings are cut into intervals where they lie; the ends of a line meet once, and
+    between ends at one place no span is left."""
     rings = visibility.where(F.size("ring") >= 3).select(
         *FLOOR, F.col("camera_id").alias("shape_id"), F.col("ring").alias("polygon")
     )
@@ -92,8 +85,6 @@ def spans(units, footprints, visibility, pitch: float) -> DataFrame:
                 )
             ),
         )
-        .groupBy(*FLOOR, "line", "column", "x")
-        .agg(F.sum("df").alias("df"), F.sum("dc").alias("dc"))
     )
     w = Window.partitionBy(*FLOOR, "line", "column").orderBy("x")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -105,7 +96,7 @@ def spans(units, footprints, visibility, pitch: float) -> DataFrame:
                 "x2": F.lead("x").over(w),
             }
         )
-        .where("x2 is not null and on_floor")
+        .where("x2 > x and on_floor")
         .select(*FLOOR, "line", F.col("x").alias("x1"), "x2", "cameras")
     )
 

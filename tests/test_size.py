@@ -67,3 +67,21 @@ def test_grids_are_not_broadcast(spark, tmp_path):
     rings = u.select("building_id", "ordinal", F.col("unit_id").alias("camera_id"), F.col("polygon").alias("ring"))
     for df in (cov.grid_coverage(u, f, rings), quality.program_gates(u, f)):
         _no_broadcast_of_cells(df)
+
+
+def test_spans_shuffle_once(spark, tmp_path):
+    """Intervals come of each ring by itself; only their ends meet by line."""
+    units(spark, [("a", "room", rect(0, 0, 9, 9))]).write.parquet(f"{tmp_path}/u")
+    footprints(spark, [rect(0, 0, 20, 12)]).write.parquet(f"{tmp_path}/f")
+    u, f = spark.read.parquet(f"{tmp_path}/u"), spark.read.parquet(f"{tmp_path}/f")
+    shapes = [_blob(random.Random(i), 8, 6, 5 + i) for i in range(9)] + [rect(2.0, 2.0, 15.0, 150.0)]
+    rings = spark.createDataFrame([(1, 0, f"c{i}", r) for i, r in enumerate(shapes)], f"building_id bigint, ordinal int, camera_id string, ring {g.RING}")
+    got = cov.spans(u, f, rings, 0.25)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert sum("Exchange hashpartitioning" in x and "line" in x for x in plan) == 1
+    rows = got.collect()
+    for r in rows:
+        x, y = (r.x1 + r.x2) / 2, (r.line + 0.5) * 0.25
+        held = sum(sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(s, s[1:] + s[:1], strict=True)) % 2 for s in shapes)
+        assert r.cameras == held and r.x2 > r.x1
+    assert abs(sum(r.x2 - r.x1 for r in rows) - 48 * 20) < 1e-9 and len({r.cameras for r in rows}) > 3
