@@ -132,11 +132,15 @@ def aim_stream(aims: DataFrame, state: Callable[[], dict[str, DataFrame]], store
 
 
 def edit_sessions(log: DataFrame, gap: str = "2500 milliseconds", late: str = LATE) -> DataFrame:
-    """Bursts of edits per user and key by session window. Approximate against
-    the exact rule, which also breaks a burst when another key intervenes."""
-    return (
+    """Bursts of edits per user and key by session window; an edit without a time
+    is a burst of its own. Approximate against the exact rule, which also breaks a
+    burst when another key intervenes."""
+    bursts = (
         log.withWatermark("ts", late)
         .groupBy("user_id", "edit_key", F.session_window("ts", gap).alias("s"))
         .agg(F.count("*").alias("edits"))
         .select("user_id", "edit_key", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "edits")
     )
+    never = F.lit(None).cast("timestamp")
+    alone = log.where("ts is null").select("user_id", "edit_key", never.alias("started"), never.alias("ended"), F.lit(1).cast("long").alias("edits"))
+    return bursts.unionByName(alone)

@@ -197,3 +197,12 @@ def test_placeholder_names_count_on(spark):
     tours = new.select("building_id", "ordinal").distinct()
     got = {(r.building_id, r.ordinal): r.name for r in places.patrol_names(tours, old.select("building_id", "ordinal")).collect()}
     assert got == {(1, 0): "Auto patrol 4", (1, 1): "Auto patrol 5", (1, 2): "Auto patrol 6", (2, 0): "Auto patrol 1"}
+
+
+def test_edits_without_a_time_are_sessions_of_their_own(spark):
+    from floorlens.streaming.live import edit_sessions
+
+    rows = [(1, "k", "2024-01-01"), (1, "k", None), (1, "k", None), (1, "k", "2024-01-03"), (1, "j", None), (2, "k", "2024-03-01")]
+    log = spark.createDataFrame(rows, "user_id long, edit_key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((r.user_id, r.edit_key, str(r.started)[:10], r.edits) for r in edit_sessions(log, "30 days").collect())
+    assert got == [(1, "j", "None", 1), (1, "k", "2024-01-01", 2), (1, "k", "None", 1), (1, "k", "None", 1), (2, "k", "2024-03-01", 1)]
