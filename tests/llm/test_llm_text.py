@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from floorlens.llm import byte_bpe, crf_language, decontaminate, html_cut, licence_scan, rule_quality
+from floorlens.llm import byte_bpe, crf_language, decontaminate, html_cut, licence_scan, rule_quality, words
 from floorlens.llm.licence_texts import MIT, TEXTS
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +118,12 @@ def test_clean_cuts_spans_and_drops_covered(spark):
     assert kept == {0: "É " * 40 + "! end", 2: "plain text é", 3: None, 4: ""}
 
 
+def test_words_of_empty_data_in_a_fresh_worker():
+    words.forget()
+    w = words.Words(np.zeros(0, np.uint8), np.zeros(3, np.int64), words.ALNUM)
+    assert len(w) == 0 and w.bounds.tolist() == [0, 0, 0]
+
+
 def test_licences(spark):
     changed = "Copyright (c) 2020 Jane Doe\n" + MIT.upper().replace(",", " ,").replace("\n\n", "\n")
     given = ["Some words.\nReleased under the MIT Licence!\nmore", changed, MIT, "MIT", None, "", "Licensed under CC BY NC 4.0"]
