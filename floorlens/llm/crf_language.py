@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .batches import add_columns, raw
+from .batches import add_columns, give_back, raw
 from .words import Words, mix
 
 SAMPLE = 1000
@@ -234,7 +234,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     few = rows.select("doc_id", "text", "lang").orderBy(*key).limit(sample)
     upto = F.sum(F.octet_length("text")).over(Window.orderBy(*key))
     drawn = few.withColumn("upto", upto).where(F.col("upto") <= F.greatest(F.lit(SAMPLE_BYTES), F.octet_length("text"))).orderBy(*key).select("text", "lang").collect()
-    return train([r["text"] for r in drawn], [r["lang"] for r in drawn]) if drawn else None
+    model = train([r["text"] for r in drawn], [r["lang"] for r in drawn]) if drawn else None
+    del drawn
+    give_back()  # the driver lives on, through all later stages
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
