@@ -1,35 +1,35 @@
 """Occlusion-clipped visibility ring of every camera.
 
-1. camera x wall candidates from a tile join, culled to the range disc;
-2. rays (a coarse arc, plus three per wall corner) and walls meet per
-   (camera, direction bucket), where each ray keeps its nearest hit;
-3. ray ends are collected in angle order into one ring per camera.
-
-The number of direction buckets grows with the walls expected around the
-camera, so the ray-wall pairs stay proportional to the walls instead of to
-their square, and no task works on more than one bucket of a camera at a time.
+1. camera x wall candidates from a tile join, culled to the range disc and the
+   sector in view;
+2. the walls of a camera are shuffled once, as they are, each with the direction
+   sectors it lies in; rays (a coarse arc, plus three per wall corner) are made
+   beside them and keep their nearest hit (``functions.rays``);
+3. ray ends in angle order are the ring of the camera.
+
+The number of direction sectors grows with the walls expected around the
+camera, and rays meet the walls of their own sector only, so the ray-wall pairs
+stay proportional to the walls instead of to their square.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import geometry as g, optics
+from ..functions import geometry as g, optics, rays
 from ..session import cut
 from .spatial import FLOOR, box_join
 from .walls import distinct_segments, floor_stats
 
 CAMERA = [*FLOOR, "camera_id"]
-EPS_RAD = 1e-4
-BUCKETS = 45
-WALLS_PER_BUCKETS = 128
+WALLS_PER_SECTOR = 128
 
 
 def poses(cameras: DataFrame, stats: DataFrame) -> DataFrame:
     """Camera pose in the terms the ray caster needs, with the extent of the
-    floor's walls and the number of direction buckets."""
+    floor's walls and the number of direction sectors."""
     kind, fov = F.col("kind"), F.col("fov_deg")
     band = optics.tilt_band(kind, fov, F.col("tilt_deg"), F.col("mount_m"), F.col("vfov_deg"))
     reach = F.least(F.col("range_m"), F.coalesce(band["far_m"], F.col("range_m")))
@@ -49,15 +49,15 @@ def poses(cameras: DataFrame, stats: DataFrame) -> DataFrame:
     side = lambda lo, hi: F.least(F.lit(1.0), (r * 2 + 1) / (hi - lo + 1))
     expected = F.col("n_walls") * side(e["x0"], e["x1"]) * side(e["y0"], e["y1"])
     doublings = F.greatest(
-        F.lit(0.0), F.ceil(F.log2(F.coalesce(expected, F.lit(1.0)) / WALLS_PER_BUCKETS))
+        F.lit(0.0), F.ceil(F.log2(F.coalesce(expected, F.lit(1.0)) / WALLS_PER_SECTOR))
     )
     return cams.join(stats, FLOOR, "left").withColumn(
-        "buckets", (F.lit(BUCKETS) * F.pow(F.lit(2.0), doublings)).cast("int")
+        "sectors", F.pow(F.lit(2.0), doublings).cast("int")
     )
 
 
 def _local_walls(cams: DataFrame, segments: DataFrame) -> DataFrame:
-    """(camera, wall) pairs within range."""
+    """(camera, wall) pairs within range and view, with the distance."""
     c, e = F.col("cam"), F.col("extent")
     reach = c["r"] + 0.01
     boxed = cams.where("n_walls is not null").withColumn(
@@ -81,164 +81,80 @@ def _local_walls(cams: DataFrame, segments: DataFrame) -> DataFrame:
             F.greatest(a["y"], b["y"]).alias("y1"),
         ).alias("rbox"),
     )
-    near = g.seg_dist(c["x"], c["y"], a["x"], a["y"], b["x"], b["y"])
     return (
         box_join(boxed.drop("extent"), walls)
-        .withColumn("gap", near)
-        .where(F.col("gap") <= reach)
-        .select(*CAMERA, "cam", "buckets", "a", "b", "gap")
+        .withColumn("gap", rays.gap(c, reach, a, b))
+        .where("gap is not null")
+        .select(*CAMERA, "cam", "sectors", "a", "b", "gap")
     )
 
 
-def _bucket(theta, n):
+def _sector(theta, n):
     return F.floor((theta + math.pi) / (2 * math.pi) * n).cast("int")
 
 
-def _ray(n, rel, ux, uy):
-    return F.struct(
-        F.pmod(_bucket(F.atan2(uy, ux), n), n).alias("bucket"),
-        F.struct(rel.alias("rel"), ux.alias("ux"), uy.alias("uy")).alias("ray"),
-        F.lit(None).cast(WALL).alias("wall"),
-    )
-
-
-WALL = "struct<ax:double,ay:double,bx:double,by:double>"
-
-
-def _arc_rays(cams: DataFrame) -> DataFrame:
-    c, n = F.col("cam"), F.col("n")
-    steps = F.greatest(
+def _sector_walls(local: DataFrame) -> DataFrame:
+    """Each local wall, once per direction sector in which it lies or a ray at
+    its corners goes."""
+    c, n = F.col("cam"), F.col("sectors")
+    towards = lambda e: F.atan2(F.col(f"{e}.y") - c["y"], F.col(f"{e}.x") - c["x"])
+    turn = g.wrap_pi(towards("b") - towards("a"))
+    start = F.when(turn >= 0, towards("a")).otherwise(towards("b"))
+    pad = 2 * rays.EPS_RAD
+    span = F.sequence(_sector(start - pad, n), _sector(start + F.abs(turn) + pad, n))
+    span = F.array_distinct(F.transform(span, lambda k: F.pmod(k, n)))
+    sectors = F.when(n == 1, F.array(F.lit(0))).when(F.col("gap") < 1e-6, F.sequence(F.lit(0), n - 1)).otherwise(span)
+    return local.select(
+        *CAMERA, "cam", "sectors", F.explode(sectors).alias("sector"),
+        F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"),
+    ).select(*CAMERA, "cam", "sectors", F.struct("sector", "ax", "ay", "bx", "by").alias("wall"))
+
+
+def _arc(c) -> Column:
+    """Rays in steps of an arc over the view."""
+    n = F.greatest(
         F.lit(1), F.ceil(c["half"] * 2 / math.radians(optics.ARC_STEP_DEG)).cast("int")
     )
 
     def ray(i):
         rel = -c["half"] + c["half"] * 2 * i / n
-        return _ray(F.col("buckets"), rel, F.cos(c["h"] + rel), F.sin(c["h"] + rel))
-
-    return cams.withColumn("n", steps).select(
-        *CAMERA,
-        "cam",
-        F.inline(
-            F.transform(F.sequence(F.lit(0), F.when(c["full"], n - 1).otherwise(n)), ray)
-        ),
-    )
-
+        return F.struct(rel.alias("rel"), F.cos(c["h"] + rel).alias("ux"), F.sin(c["h"] + rel).alias("uy"))
 
-def _corner_rays(local: DataFrame, end: str):
-    """Rays aimed along the exact offset to a corner, so that whether they
-    touch it does not hang on the last bit of a cosine."""
-    c, n = F.col("cam"), F.col("buckets")
-    dx, dy = F.col(f"{end}.x") - c["x"], F.col(f"{end}.y") - c["y"]
-    ln = g.hypot(dx, dy)
-    ln = F.when(ln > 0, ln)
-    ce, se = math.cos(EPS_RAD), math.sin(EPS_RAD)
-    rel, ex, ey = F.col(f"rel_{end}"), F.col(f"ex_{end}"), F.col(f"ey_{end}")
-    rays = F.array(
-        _ray(n, rel - EPS_RAD, ex * ce + ey * se, ey * ce - ex * se),
-        _ray(n, rel, ex, ey),
-        _ray(n, rel + EPS_RAD, ex * ce - ey * se, ey * ce + ex * se),
-    )
-    aimed = c["full"] | (F.abs(rel) <= c["half"] + EPS_RAD)
-    columns = {
-        f"t_{end}": F.atan2(dy, dx),
-        f"ex_{end}": F.coalesce(dx / ln, F.lit(1.0)),
-        f"ey_{end}": F.coalesce(dy / ln, F.lit(0.0)),
-    }
-    return local.withColumns(columns).withColumn(
-        f"rel_{end}", g.wrap_pi(F.col(f"t_{end}") - c["h"])
-    ), F.filter(rays, lambda _: aimed)
-
-
-def _wall_items(local: DataFrame) -> DataFrame:
-    """Corner rays of each local wall, and the wall itself once per direction
-    bucket in which the camera can see it."""
-    c, n = F.col("cam"), F.col("buckets")
-    local, rays_a = _corner_rays(local, "a")
-    local, rays_b = _corner_rays(local, "b")
-    turn = g.wrap_pi(F.col("t_b") - F.col("t_a"))
-    start = F.when(turn >= 0, F.col("t_a")).otherwise(F.col("t_b"))
-    pad = 1e-6
-    local = local.withColumns({"turn": turn, "start": start}).withColumn(
-        "span",
-        F.when(F.col("gap") < 1e-6, F.sequence(F.lit(0), n - 1)).otherwise(
-            F.sequence(
-                _bucket(F.col("start") - pad, n),
-                _bucket(F.col("start") + F.abs("turn") + pad, n),
-            )
-        ),
-    )
-    wall = F.struct(
-        F.col("a.x").alias("ax"), F.col("a.y").alias("ay"),
-        F.col("b.x").alias("bx"), F.col("b.y").alias("by"),
-    )
-    width = F.lit(2 * math.pi) / n
-    middle = lambda k: (k + 0.5) * width - math.pi
-    in_view = lambda k: c["full"] | (
-        F.abs(g.wrap_pi(middle(k) - c["h"])) <= c["half"] + width
-    )
-    walls = F.transform(
-        F.filter("span", in_view),
-        lambda k: F.struct(
-            F.pmod(k, n).alias("bucket"),
-            F.lit(None).cast("struct<rel:double,ux:double,uy:double>").alias("ray"),
-            wall.alias("wall"),
-        ),
-    )
-    return local.select(*CAMERA, "cam", F.inline(F.concat(rays_a, rays_b, walls)))
+    return F.transform(F.sequence(F.lit(0), F.when(c["full"], n - 1).otherwise(n)), ray)
 
 
-def _bucket_hits(cameras: DataFrame, walls: DataFrame) -> DataFrame:
-    """Per (camera, bucket): its rays, each with the distance where it stops.
-    Wall segments and poses are materialised, since both are read twice."""
+def _hits(cameras: DataFrame, walls: DataFrame) -> DataFrame:
+    """Per camera: its rays, each with the distance where it stops. Wall
+    segments and poses are materialised, since both are read twice."""
     segments = cut(distinct_segments(walls))
     cams = cut(poses(cameras, floor_stats(segments)))
     c = F.col("cam")
-
-    def stop(r):
-        t = F.array_min(
-            F.transform(
-                "walls",
-                lambda w: g.ray_segment_t(
-                    c["x"], c["y"], r["ux"], r["uy"], w["ax"], w["ay"], w["bx"], w["by"]
-                ),
-            )
-        )
-        return F.struct(
-            r["rel"].alias("rel"),
-            F.least(F.coalesce(t, c["r"]), c["r"]).alias("dist"),
-            r["ux"].alias("ux"),
-            r["uy"].alias("uy"),
-        )
-
+    rel = lambda w, e: g.wrap_pi(F.atan2(w[f"{e}y"] - c["y"], w[f"{e}x"] - c["x"]) - c["h"])
+    ends = F.transform("walls", lambda w: F.struct(rel(w, "a").alias("a"), rel(w, "b").alias("b")))
     return (
-        _arc_rays(cams)
-        .unionByName(_wall_items(_local_walls(cams, segments)))
-        .groupBy(*CAMERA, "cam", "bucket")
-        .agg(F.collect_set("ray").alias("rays"), F.collect_list("wall").alias("walls"))
-        .select(*CAMERA, "cam", F.transform("rays", stop).alias("hits"))
+        cams.select(*CAMERA, "cam", "sectors")
+        .unionByName(_sector_walls(_local_walls(cams, segments)), allowMissingColumns=True)
+        .groupBy(*CAMERA, "cam", "sectors")
+        .agg(F.collect_list("wall").alias("walls"))
+        .select(*CAMERA, "cam", rays.stops(c, F.col("sectors"), _arc(c), F.col("walls"), ends).alias("hits"))
     )
 
 
 def ray_hits(cameras: DataFrame, walls: DataFrame) -> DataFrame:
     """Every ray (offset from the heading, unit direction) and where it stops."""
-    return _bucket_hits(cameras, walls).select(*CAMERA, F.inline("hits"))
+    return _hits(cameras, walls).select(*CAMERA, F.inline("hits"))
 
 
 def visibility(cameras: DataFrame, walls: DataFrame) -> DataFrame:
     """(building_id, ordinal, camera_id, ring): a star ring for all-round
     cameras, apex + fan for the rest, an annular band for tilted ones."""
-    hits = (
-        _bucket_hits(cameras, walls)
-        .groupBy(*CAMERA, "cam")
-        .agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
-        .withColumn(
+    hits = _hits(cameras, walls).withColumn("hits", F.array_sort("hits")).withColumn(
+        "hits",
+        F.filter(
             "hits",
-            F.filter(
-                "hits",
-                lambda s, i: (i == 0)
-                | F.coalesce(s["rel"] != F.get(F.col("hits"), i - 1)["rel"], F.lit(True)),
-            ),
-        )
+            lambda s, i: (i == 0)
+            | F.coalesce(s["rel"] != F.get(F.col("hits"), i - 1)["rel"], F.lit(True)),
+        ),
     )
     c = F.col("cam")
     end = lambda s, d: g.pt(c["x"] + s["ux"] * d, c["y"] + s["uy"] * d)

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorlens.functions import geometry as g
-from floorlens.operators import coverage as cov, probe, regions
+from floorlens.operators import coverage as cov, probe, regions, visibility as seeing
 from floorlens.operators.visibility import visibility
-from floorlens.operators.walls import walls
+from floorlens.operators.walls import distinct_segments, floor_stats, walls
 from helpers import area, cameras, footprints, pts, rect, structures, units
 
 
@@ -162,3 +162,34 @@ def test_numbering_matches_a_plain_window(spark):
     r = rank_scores(df, ["k"], "s", ["pos"])
     bad += r.withColumn("m", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("s"), "pos"))).where("rank != m").count()
     assert bad == 0
+
+
+def test_rays_stop_at_the_nearest_of_all_walls(spark):
+    """Also where a floor is so dense that rays and walls meet by sectors."""
+    rnd = np.random.default_rng(8)
+    rooms = [("room", "room", rect(-9, -9, 9, 9))] + [(f"u{i}", "room", rect(x, y, x + 0.25, y + 0.25)) for i, (x, y) in enumerate(rnd.integers(-32, 31, (700, 2)) / 4)]
+    cams = [{"at": (0.125, 0.1), "kind": "dome", "range": 12}, {"at": (-3.1, 2.2), "heading": 170, "fov": 80, "range": 12}, {"at": (8, 9), "heading": 30, "fov": 300, "range": 7}, {"at": (500, 0), "range": 3}]
+    _, w, _ = rings(spark, cams, unit_rows=rooms)
+    segments = np.array([(r.a.x, r.a.y, r.b.x, r.b.y) for r in distinct_segments(w).collect()])
+    stats = floor_stats(distinct_segments(w))
+    poses = {r.camera_id: r for r in seeing.poses(cameras(spark, cams), stats).collect()}
+    assert max(p.sectors for p in poses.values()) >= 4
+    seen = {}
+    for r in seeing.ray_hits(cameras(spark, cams), w).collect():
+        c = poses[r.camera_id].cam
+        ex, ey, px, py = *(segments[:, 2:] - segments[:, :2]).T, *(segments[:, :2] - (c.x, c.y)).T
+        den = r.ux * ey - r.uy * ex
+        ok = np.abs(den) >= 1e-12
+        t, u = (px * ey - py * ex)[ok] / den[ok], (px * r.uy - py * r.ux)[ok] / den[ok]
+        assert r.dist == min([c.r, *t[(t >= 0) & (u >= 0) & (u <= 1)]])
+        seen.setdefault(r.camera_id, set()).add(r.rel)
+    dx, dy = segments.reshape(-1, 2)[:, 0] - 0.125, segments.reshape(-1, 2)[:, 1] - 0.1
+    assert len(seen["c0"]) >= 90 + 3 * len({round(math.atan2(y, x), 9) for x, y in zip(dx, dy, strict=True) if math.hypot(x, y) < 12}) * 0.99
+    assert len(seen["c3"]) > 10
+
+
+def test_rays_are_not_shuffled(spark):
+    """What goes between tasks is walls; rays are made where they end."""
+    _, w, _ = rings(spark, [CAM])
+    plan = visibility(cameras(spark, [CAM]), w)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("_hits(") < plan.index("Exchange")
