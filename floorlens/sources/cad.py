@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..operators.places import auto_doors
-from ..operators.spatial import number_rows
+from ..operators.spatial import number_rows, once
 
 SEGMENTS = 32
 # Drawing unit code and unit name to metres.
@@ -82,7 +82,10 @@ def normalise(entities: DataFrame, blocks: DataFrame, factor: Column | None = No
     """lines (layer polylines), shapes (closed rings of 1 m2 and more), layer
     summary, file extents and skip counts, translated so that each file's
     lowest corner is (1, 1)."""
-    e = expand_inserts(entities, blocks)
+    # A stored table is but a few splits, and curves are dear to draw.
+    spark = entities.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    e = expand_inserts(entities, blocks).repartition(tasks, "file_id")
     kind, two_pi = F.col("type"), 2 * math.pi
     sweep = F.pmod(F.col("end_angle") - F.col("start_angle"), F.lit(two_pi))
     sweep = F.when(sweep == 0, F.lit(two_pi)).otherwise(sweep)
@@ -100,7 +103,8 @@ def normalise(entities: DataFrame, blocks: DataFrame, factor: Column | None = No
     k = F.size("pts")
     back = (k >= 2) & (F.get("pts", F.lit(0)) == F.get("pts", k - 1))
     d = (
-        e.withColumn("pts", F.transform(raw, lambda p: _moved(p, F.col("move"))))
+        once(once(e, raw=raw), pts=F.transform("raw", lambda p: _moved(p, F.col("move"))))
+        .drop("raw")
         .withColumn("is_ring", (kind == "CIRCLE") | (poly & (F.coalesce("closed", F.lit(False)) | back)))
         .withColumn("pts", F.when(poly & back, F.slice("pts", 1, k - 1)).otherwise(F.col("pts")))
         .withColumn(
@@ -112,20 +116,20 @@ def normalise(entities: DataFrame, blocks: DataFrame, factor: Column | None = No
     )
     skips = d.where("not ok").groupBy("file_id", F.coalesce("type", F.lit("UNKNOWN")).alias("type")).agg(F.count("*").alias("skipped"))
     f = factor if factor is not None else F.lit(1.0)
-    good = d.where("ok").select(
-        "file_id", "entity_id", F.coalesce("layer", F.lit("0")).alias("layer"), "is_ring",
-        F.transform("pts", lambda p: g.pt(p["x"] * f, p["y"] * f)).alias("pts"),
-    )
+    good = once(
+        d.where("ok").select("file_id", "entity_id", F.coalesce("layer", F.lit("0")).alias("layer"), "is_ring", F.col("pts").alias("drawn")),
+        pts=F.transform("drawn", lambda p: g.pt(p["x"] * f, p["y"] * f)),
+    ).drop("drawn")
     drawn = good.where(F.size("pts") >= 2)
-    b = g.bbox(F.col("pts"))
-    ext = drawn.groupBy("file_id").agg(
+    b = F.col("box")
+    ext = once(drawn, box=g.bbox(F.col("pts"))).groupBy("file_id").agg(
         F.min(b["x0"]).alias("min_x"), F.min(b["y0"]).alias("min_y"),
         F.max(b["x1"]).alias("max_x"), F.max(b["y1"]).alias("max_y"),
     )
     shift = F.transform(
         "pts", lambda p: g.pt(p["x"] + (F.lit(1.0) - F.col("min_x")), p["y"] + (F.lit(1.0) - F.col("min_y")))
     )
-    at = drawn.join(ext, "file_id").withColumn("pts", shift)
+    at = once(drawn.join(ext, "file_id"), at=shift).withColumn("pts", F.col("at")).drop("at")
     lines = at.select(
         "file_id", "layer", "entity_id", F.when(F.col("is_ring"), g.closed(F.col("pts"))).otherwise(F.col("pts")).alias("points")
     )

@@ -256,3 +256,11 @@ def test_documents_are_read_from_folders(spark, tmp_path):
     rows = schedule.parse_schedules(documents.read(spark, str(tmp_path / "in"), "*.csv"))["rows"].collect()
     assert {(r.file_id.rsplit("/", 1)[1], r.name, r.op_number) for r in rows} == {("a.csv", "Lobby", 1), ("b.csv", "Dock", 2)}
     assert svg.shapes(documents.read(spark, str(tmp_path / "in"), "*.svg")).count() == 5
+
+
+def test_cad_files_are_spread_before_they_are_drawn(spark):
+    """A stored table of one file would else be drawn in one task."""
+    e = spark.createDataFrame([], "file_id long, entity_id long, type string, layer string, vertices array<struct<x:double,y:double>>, closed boolean, center struct<x:double,y:double>, radius double, start_angle double, end_angle double, block string, position struct<x:double,y:double>, x_scale double, y_scale double, rotation double")
+    b = e.select("file_id", "block", F.col("center").alias("base"), *[F.col(c).alias(f"b_{c}") for c in ("type", "layer", "vertices", "closed", "center", "radius", "start_angle", "end_angle")])
+    shapes = cad.normalise(e, b)["shapes"]
+    assert "RepartitionByExpression" in shapes._jdf.queryExecution().analyzed().toString() and shapes.count() == 0
