@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import documents
 from ..functions import geometry as g
-from ..session import cut
+from ..operators.spatial import once
+from ..session import cut, stored
 
 FORMAT = "floorlens-building"
 _XY = "array<double>"
@@ -49,23 +50,16 @@ def parse_files(files: DataFrame, accepted: str = FORMAT) -> DataFrame:
     """files(file_id, text) -> parsed building, property id and `ok`. A file
     with an unknown `format`, or whose building fails the shape gate, is kept
     with ok = false."""
-    env = F.from_json("text", f"struct<format:string,propertyId:string,building:{BUILDING}>")
-    d = files.withColumns(
-        {
-            "_env": env,
-            "_bare": F.from_json("text", BUILDING),
-            "_format": F.get_json_object("text", "$.format"),
-        }
-    )
+    d = once(files, _format=F.get_json_object("text", "$.format"))
     enveloped = F.col("_format").isNotNull()
-    b = F.when(enveloped & (F.col("_format") == accepted), F.col("_env.building")).when(
-        ~enveloped, F.col("_bare")
-    )
+    envelope = F.from_json("text", f"struct<propertyId:string,building:{BUILDING}>")
+    bare = F.struct(F.lit(None).cast("string").alias("propertyId"), F.from_json("text", BUILDING).alias("building"))
+    d = once(d, _doc=F.when(enveloped, envelope).otherwise(bare))
+    d = d.withColumn("building", F.when(~enveloped | (F.col("_format") == accepted), F.col("_doc.building")))
     return (
-        d.withColumn("building", b)
-        .withColumn("property_id", F.when(enveloped, F.col("_env.propertyId")))
+        d.withColumn("property_id", F.col("_doc.propertyId"))
         .withColumn("ok", F.coalesce(valid_shape(F.col("building")), F.lit(False)))
-        .drop("_env", "_bare", "_format")
+        .drop("_doc", "_format")
     )
 
 
@@ -197,8 +191,13 @@ def _json(df: DataFrame, fields: dict[str, str]) -> Column:
     return F.to_json(F.struct(*(value(c).alias(f) for f, c in fields.items() if c in df.columns)))
 
 
+#: Lines of a file; the line itself tells apart what ties.
+ORDER = ["section", "pos", "key", "line"]
+
+
 def save_lines(buildings: DataFrame, given: dict[str, DataFrame]) -> DataFrame:
-    """(building_id, section, pos, key, line): save files, line by line. `given`
+    """(building_id, section, pos, key, line, text): save files, line by line, the
+    lines of a building in one task; `text` is the line with its comma. `given`
     holds tables by name; tables that are missing are empty collections."""
     head = F.concat(
         F.lit(f'{{"format":"{FORMAT}","version":3,"propertyId":"b'), F.col("building_id"), F.lit('","building":{"origin":'),
@@ -208,32 +207,42 @@ def save_lines(buildings: DataFrame, given: dict[str, DataFrame]) -> DataFrame:
         "building_id", F.lit(section).alias("section"), pos.cast("long").alias("pos"), key.cast("string").alias("key"), line.alias("line"), F.lit(item).alias("item")
     )
     zero, none = F.lit(0), F.lit("")
-    out = row(buildings, 0, zero, none, head)
-    for i, (name, (source, order, fields)) in enumerate(TABLES.items()):
-        out = out.unionByName(row(buildings, 3 * i + 1, zero, none, F.lit(f',"{name}":[')))
+    frame = [(0, head)]
+    for i, name in enumerate(TABLES):
+        frame += [(3 * i + 1, F.lit(f',"{name}":[')), (3 * i + 3, F.lit("]"))]
+    frame += [(3 * len(TABLES) + 1, F.lit("}}"))]
+    frame = F.inline(F.array(*(F.struct(F.lit(section).alias("section"), line.alias("line")) for section, line in frame)))
+    out = buildings.select("building_id", frame).select(
+        "building_id", "section", zero.cast("long").alias("pos"), none.alias("key"), "line", F.lit(False).alias("item")
+    )
+    for i, (source, order, fields) in enumerate(TABLES.values()):
         if source in given:
             df = given[source]
             if source == "cameras" and "camera_presets" in given:
                 df = with_presets(df, given["camera_presets"])
             number = dict(df.dtypes)[order] != "string"
-            at = (F.col(order), none) if number else (zero, F.col(order))
-            out = out.unionByName(row(df, 3 * i + 2, *at, _json(df, fields), True))
-        out = out.unionByName(row(buildings, 3 * i + 3, zero, none, F.lit("]")))
-    out = out.unionByName(row(buildings, 3 * len(TABLES) + 1, zero, none, F.lit("}}")))
-    order = Window.partitionBy("building_id").orderBy("section", "pos", "key", "line")
+            pos, key = (F.col(order), none) if number else (zero, F.col(order))
+            out = out.unionByName(df.select(
+                "building_id", F.lit(3 * i + 2).alias("section"), pos.cast("long").alias("pos"), key.cast("string").alias("key"),
+                _json(df, fields).alias("line"), F.lit(True).alias("item"),
+            ))
+    order = Window.partitionBy("building_id").orderBy(*ORDER)
     comma = F.when(F.col("item") & (F.lag("section").over(order) == F.col("section")), ",").otherwise("")
-    return out.withColumn("line", F.concat(comma, "line")).drop("item")
+    return documents.spread(out).withColumn("text", F.concat(comma, "line")).drop("item")
 
 
 def read_saves(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed files below a path, with the building of their folder as file_id."""
+    """Parsed files below a path, with the building of their folder as file_id.
+    Each file is opened and parsed once and stored, for all of its collections;
+    `text` is held for rejects only."""
     files = documents.read(spark, path)
-    return parse_files(files.withColumn("file_id", F.regexp_extract("file_id", "building_id=([0-9]+)", 1).cast("long")))
+    parsed = parse_files(files.withColumn("file_id", F.regexp_extract("file_id", "building_id=([0-9]+)", 1).cast("long")))
+    return stored(parsed.withColumn("text", F.when(~F.col("ok"), F.col("text"))), "parsed")
 
 
 def write_saves(buildings: DataFrame, given: dict[str, DataFrame], path: str) -> None:
     """One save file per building with every collection and field."""
-    documents.write(save_lines(buildings, given), path, ["section", "pos", "key"])
+    documents.write_spread(save_lines(buildings, given), path, ORDER, "text")
 
 
 def saved_or_pristine(saved: DataFrame, pristine: DataFrame) -> DataFrame:

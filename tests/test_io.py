@@ -264,3 +264,28 @@ def test_cad_files_are_spread_before_they_are_drawn(spark):
     b = e.select("file_id", "block", F.col("center").alias("base"), *[F.col(c).alias(f"b_{c}") for c in ("type", "layer", "vertices", "closed", "center", "radius", "start_angle", "end_angle")])
     shapes = cad.normalise(e, b)["shapes"]
     assert "RepartitionByExpression" in shapes._jdf.queryExecution().analyzed().toString() and shapes.count() == 0
+
+
+def test_saves_are_parsed_once_and_dealt_once(spark, tmp_path):
+    """Collections come from stored parses, and the lines of a file cross one shuffle; entities that tie keep their commas."""
+    buildings = spark.createDataFrame([(i, 8.5, 47.25, 3) for i in range(20)], "building_id bigint, origin_lng double, origin_lat double, rev int")
+    floors = buildings.selectExpr("building_id", "explode(array(0, 0, 0)) AS ordinal", "uuid() AS name", "2.5D AS ceiling_m")
+    lines = bf.save_lines(buildings, {"levels": floors}).sortWithinPartitions("building_id", *bf.ORDER)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(building_id") == 1 and lines.rdd.getNumPartitions() >= 4
+    bf.write_saves(buildings, {"levels": floors}, f"{tmp_path}/saves")
+    parsed = bf.read_saves(spark, f"{tmp_path}/saves")
+    assert parsed.where("ok").count() == 20 and bf.rejects(parsed).count() == 0
+    levels = bf.tables(parsed)["levels"]
+    assert "from_json" not in levels._jdf.queryExecution().optimizedPlan().toString() and levels.count() == 60
+
+
+def test_saves_are_parsed_by_one_schema(spark, tmp_path):
+    """A file is read either as an envelope or bare, and rejects keep their text."""
+    env = json.dumps({"format": bf.FORMAT, "propertyId": "p", "building": doc()})
+    for i, text in enumerate([env, json.dumps(doc()), "{oops", json.dumps({"format": "other", "propertyId": "q", "building": doc()})]):
+        (tmp_path / f"building_id={i}").mkdir()
+        (tmp_path / f"building_id={i}" / "a.txt").write_text(text)
+    got = {r.file_id: r for r in bf.read_saves(spark, str(tmp_path)).collect()}
+    assert {k: (r.ok, r.property_id) for k, r in got.items()} == {0: (True, "p"), 1: (True, None), 2: (False, None), 3: (False, "q")}
+    assert got[2].text == "{oops" and [u.id for u in got[1].building.units] == ["u"]
