@@ -287,6 +287,20 @@ def test_search_is_brute_force(spark, monkeypatch, size):
     assert bm25_search.top_k(docs(spark, rows).where("false"), docs(spark, asked)).collect() == []
 
 
+def test_blocks_share_their_most_used_word(monkeypatch):
+    """Documents of two languages and like lengths fall into blocks of their own, so a word of one bounds half of the blocks."""
+    monkeypatch.setattr(bm25_search, "BLOCK", 4)
+
+    def bag(i):
+        words = np.array([1 + i % 2, 100 + i], np.uint64)
+        return i, 4, words.tobytes(), np.array([3, 1], np.int32).tobytes()
+
+    shard = bm25_search.Shard([bag(i) for i in range(32)], 4.0)
+    assert shard.blocks == 8 and [int(shard.entry[t + 1] - shard.entry[t]) for t in (0, 1)] == [4, 4]
+    found = shard.search(np.array([1, 106], np.uint64), np.array([0.5, 3.0]), 40)
+    assert shard.ids[found[0][0]] == 6 and sorted(shard.ids[p] for p, _ in found) == list(range(0, 32, 2))
+
+
 def test_digest_of_kept_bytes(spark):
     row = suffix_dedup.digests(docs(spark, [(1, "héllo")])).first()
     assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (6, 0, 0, hashlib.sha256("héllo".encode()).hexdigest())
