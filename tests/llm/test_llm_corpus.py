@@ -301,6 +301,32 @@ def test_blocks_share_their_most_used_word(monkeypatch):
     assert shard.ids[found[0][0]] == 6 and sorted(shard.ids[p] for p, _ in found) == list(range(0, 32, 2))
 
 
+def test_search_in_passes_shuffles_no_documents(spark, monkeypatch):
+    """Many lots of queries and shards give what one of each gives, and no document is dealt anew for them."""
+    rng = np.random.default_rng(4)
+    some = words(rng, 60, "abcd")
+    rows = [(i, " ".join(rng.choice(some, rng.integers(1, 40)))) for i in range(300)]
+    rows += [(1000 + i, rows[7][1]) for i in range(30)] + [(None, rows[7][1]), (7, rows[7][1])]
+    all_, asked = docs(spark, rows).repartition(5), docs(spark, rows[:40])
+    whole = bm25_search.top_k(all_, asked).orderBy("query_id", "rank").collect()
+    assert [r.doc_id for r in whole if r.query_id == 7] == [7, 7, *range(1000, 1008)]
+    plans, keep = [], bm25_search.stored
+    monkeypatch.setattr(bm25_search, "stored", lambda df, name: (plans.append(df), keep(df, name))[1])
+    monkeypatch.setattr(bm25_search, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(bm25_search, "LOT_BYTES", 2000, raising=False)
+    got = bm25_search.top_k(all_, asked)
+    near = lambda found: [(r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in found]
+    assert near(got.orderBy("query_id", "rank").collect()) == near(whole)
+    for df in [*plans, got]:
+        lines = df._jdf.queryExecution().sparkPlan().toString().split("\n") + df._jdf.queryExecution().executedPlan().toString().split("\n")
+        for n, line in enumerate(lines):
+            at = line.find("Exchange hashpartitioning")
+            for x in lines[n + 1 :] if at >= 0 else []:
+                if len(x) - len(x.lstrip(" :+-")) <= at or "MapInArrow" in x:
+                    break
+                assert "counts#" not in x, line
+
+
 def test_digest_of_kept_bytes(spark):
     row = suffix_dedup.digests(docs(spark, [(1, "héllo")])).first()
     assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (6, 0, 0, hashlib.sha256("héllo".encode()).hexdigest())
