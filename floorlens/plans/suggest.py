@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import geometry as g
 from ..operators.coverage import coverage, grid_cells
 from ..operators.places import duplicate_cameras, heading_gap, units_without_camera
-from ..operators.spatial import FLOOR, points_in_boxes
+from ..operators.spatial import FLOOR, box_tiles, once, points_in_boxes, split_hot
 from ..operators.visibility import visibility
 from ..operators.walls import first_footprints
-from ..session import cut
+from ..session import cut, stored
 
 # Fixed values of the planner.
 SKIPPED = ("stairs", "elevator", "outside")
@@ -37,6 +37,8 @@ TURNS = (0.0, 40.0, -40.0)
 FILL_FOV, FILL_RANGE_M = 110.0, 45.0
 LEAST_GAIN, GAIN_SHARE = 2, 0.15
 SAME_M, SAME_DEG = 1.5, 25.0
+#: Side of the tiles in which points and rings meet.
+ROW_TILE_M = 64.0
 #: Steps of a floor that one round looks ahead, at first and at most.
 FIRST, AHEAD = 4, 8
 
@@ -74,8 +76,8 @@ def seeing(poses: DataFrame, walls: DataFrame) -> DataFrame:
     """Mounted poses that see enough, with their rings."""
     here = walls.join(poses.select(*FLOOR).distinct(), FLOOR, "left_semi")
     rings = visibility(as_cameras(poses), here).withColumnRenamed("camera_id", "candidate_id")
-    rings = rings.where((F.size("ring") >= 3) & (g.polygon_area(F.col("ring")) >= LEAST_SEEN_M2))
-    return poses.join(rings, [*FLOOR, "candidate_id"])
+    sees = (F.size("ring") >= 3) & (g.polygon_area(F.col("ring")) >= LEAST_SEEN_M2)
+    return poses.join(once(rings, sees=sees).where("sees").drop("sees"), [*FLOOR, "candidate_id"])
 
 
 def corner_poses(units: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -143,11 +145,22 @@ def grid(shapes: DataFrame) -> DataFrame:
     return grid_cells(shapes, pitch).select(*FLOOR, "cell", "at")
 
 
-def inside(points: DataFrame, rings: DataFrame, key: str, ring: str = "ring") -> DataFrame:
-    """Pairs of points and same-floor rings that hold them."""
+def inside(points: DataFrame, rings: DataFrame, ring: str = "ring") -> DataFrame:
+    """Pairs of points and same-floor rings that hold them. Points of one line (a row
+    of a grid) meet a ring together, which is cut by their line once; a tile's
+    line has few points, as they lie apart."""
+    at, y, box = F.col("at"), F.col("line"), F.col("box")
+    held = F.struct(*[c for c in points.columns if c not in FLOOR])
+    tiles = [F.floor(at[v] / ROW_TILE_M).cast("int").alias(f"t{v}") for v in "xy"]
+    lines = points.select(*FLOOR, *tiles, at["y"].alias("line"), held.alias("held")).groupBy(*FLOOR, "tx", "ty", "line").agg(F.collect_list("held").alias("row"))
     shapes = rings.withColumns({"edges": g.ring_edges(F.col(ring)), "box": g.bbox(F.col(ring))}).drop(ring)
-    at = F.col("at")
-    return points_in_boxes(points, shapes, key).where(g.edges_contain(at["x"], at["y"], F.col("edges"))).drop("edges")
+    a, b, keys = split_hot(lines, box_tiles(shapes, "box", ROW_TILE_M).drop("tx0", "ty0"), [*FLOOR, "tx", "ty"], "line")
+    pairs = a.join(b.hint("merge"), keys).where((y >= box["y0"]) & (y <= box["y1"]))
+    crossing = F.filter("edges", lambda e: (e["ay"] > y) != (e["by"] > y))
+    cuts = F.transform(crossing, lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
+    holds = lambda p: (p["at"]["x"] >= box["x0"]) & (p["at"]["x"] <= box["x1"]) & (F.size(F.filter("cuts", lambda c: p["at"]["x"] < c)) % 2 == 1)
+    found = once(pairs, cuts=cuts).withColumn("row", F.filter("row", holds))
+    return found.select(*FLOOR, *[c for c in shapes.columns if c not in (*FLOOR, "edges", "box")], F.inline("row"))
 
 
 def seeds_of(key, points):
@@ -194,8 +207,8 @@ def fill_poses(seeds: DataFrame, shapes: DataFrame, units: DataFrame, placed: Da
         *FLOOR, "step", "near", "spot", "mx", "my", g.pt(F.col("x") + F.col("dx"), F.col("y") + F.col("dy")).alias("at"),
         F.concat("step", F.lit("/"), "spot").alias("spot_id"),
     )
-    within = inside(at.select(*FLOOR, "spot_id", "at"), shapes.select(*FLOOR, F.col("polygon").alias("ring")), "spot_id").select(*FLOOR, "spot_id").distinct()
-    rooms = inside(at.select(*FLOOR, "spot_id", "at"), units.select(*FLOOR, "pos", F.col("name").alias("zone"), F.col("polygon").alias("ring")), "spot_id")
+    within = inside(at.select(*FLOOR, "spot_id", "at"), shapes.select(*FLOOR, F.col("polygon").alias("ring"))).select(*FLOOR, "spot_id").distinct()
+    rooms = inside(at.select(*FLOOR, "spot_id", "at"), units.select(*FLOOR, "pos", F.col("name").alias("zone"), F.col("polygon").alias("ring")))
     rooms = rooms.groupBy(*FLOOR, "spot_id").agg(F.min_by("zone", "pos").alias("zone"))
     at = at.join(within, [*FLOOR, "spot_id"], "left_semi").join(rooms, [*FLOOR, "spot_id"], "left")
     dx, dy = F.col("mx") - F.col("at.x"), F.col("my") - F.col("at.y")
@@ -218,33 +231,40 @@ def suggest(units: DataFrame, footprints: DataFrame, cameras: DataFrame, walls:
     shapes = cut(region(units, footprints))
     walls = cut(walls)
     corners = cut(corner_mounts(units, cameras, walls, most).select(*FLOOR, "seq", "zone", "at", "heading", "fov_deg", "range_m", "ring"))
-    cells = cut(grid(shapes))
-    seen = inside(cells, visible.where(F.size("ring") >= 3).select(*FLOOR, "ring").unionByName(corners.select(*FLOOR, "ring")), "cell")
-    points = cut(cells.join(seen.select(*FLOOR, "cell").distinct().withColumn("seen", F.lit(True)), [*FLOOR, "cell"], "left").select(*FLOOR, "cell", "at", F.coalesce("seen", F.lit(False)).alias("seen"), F.lit(False).alias("dead")))
     taken = corners.groupBy(*FLOOR).agg(F.count("*").alias("corners"))
+    # Floors whose corner mounts are all that may be added are not filled.
+    cells = cut(grid(shapes.join(taken.where(F.col("corners") >= most), FLOOR, "left_anti")))
+    open_floors = cells.select(*FLOOR).distinct()
+    sees = visible.where(F.size("ring") >= 3).select(*FLOOR, "ring").unionByName(corners.select(*FLOOR, "ring"))
+    seen = inside(cells, sees.join(open_floors, FLOOR, "left_semi"))
+    points = cut(cells.join(seen.select(*FLOOR, "cell").distinct().withColumn("seen", F.lit(True)), [*FLOOR, "cell"], "left").select(*FLOOR, "cell", "at", F.coalesce("seen", F.lit(False)).alias("seen"), F.lit(False).alias("dead")))
     floors = points.select(*FLOOR).distinct().join(taken, FLOOR, "left").select(*FLOOR, (F.lit(most) - F.coalesce("corners", F.lit(0))).alias("room"))
-    floors = cut(floors.select("*", F.lit(0).cast("long").alias("fills"), F.lit(0).cast("long").alias("steps"), F.lit(FIRST).alias("ahead"), F.lit(False).alias("done")))
-    placed = cut(cameras.select(*FLOOR, "at", "heading").unionByName(corners.select(*FLOOR, "at", "heading")))
+    floors = stored(floors.select("*", F.lit(0).cast("long").alias("fills"), F.lit(0).cast("long").alias("steps"), F.lit(FIRST).alias("ahead"), F.lit(False).alias("done")), "floors")
+    placed = stored(cameras.select(*FLOOR, "at", "heading").unionByName(corners.select(*FLOOR, "at", "heading")), "placed")
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filled = []
+    # What a round leaves is written and read back: a checkpoint would keep what the
+    # optimizer knows of its plan, which grows from round to round until planning does not end.
     while True:
         state = points.groupBy(*FLOOR).agg(F.count_if("seen").alias("met"), F.count("*").alias("all"))
-        going = cut(
+        going = stored(
             floors.join(state, FLOOR).where(~F.col("done") & (F.col("fills") < F.col("room")) & (F.col("steps") < F.col("room") * 5 + 40) & (F.col("met") / F.col("all") < target))
-            .select(*FLOOR, "ahead", (F.col("room") * 5 + 40 - F.col("steps")).alias("left"))
+            .select(*FLOOR, "ahead", (F.col("room") * 5 + 40 - F.col("steps")).alias("left")),
+            "going",
         )
         if going.isEmpty():
             break
         # A floor that is done never goes again, so its points are left behind.
         mine = points.join(going.select(*FLOOR), FLOOR, "left_semi")
         under = mine.where("not seen and not dead").join(going, FLOOR)
-        seeds = cut(
+        seeds = stored(
             under.select(*FLOOR, "cell", F.col("at.x").alias("x"), F.col("at.y").alias("y")).groupBy(*FLOOR).applyInArrow(seeds_of, SEED)
-            .join(going, FLOOR).where("step < left and step < ahead").drop("left", "ahead")
+            .join(going, FLOOR).where("step < left and step < ahead").drop("left", "ahead"),
+            "seeds",
         )
         rings = cut(seeing(cut(rounded(fill_poses(seeds, shapes, units, placed))), walls))
         given_up = seeds.select(*FLOOR, "cell", F.col("step").alias("over"))
-        hits = inside(under.select(*FLOOR, "cell", "at").join(given_up, [*FLOOR, "cell"], "left"), rings.select(*FLOOR, "step", "candidate_id", "ring"), "cell")
+        hits = inside(under.select(*FLOOR, "cell", "at").join(given_up, [*FLOOR, "cell"], "left"), rings.select(*FLOOR, "step", "candidate_id", "ring"))
         gains = hits.where("over is null or over >= step").groupBy(*FLOOR, "candidate_id").agg(F.count("*").alias("gain"))
         best = rings.join(gains, [*FLOOR, "candidate_id"]).groupBy(*FLOOR, "step").agg(
             F.max_by(F.struct("near", "gain", "zone", "at", "heading", "fov_deg", "range_m", "ring"), F.struct("gain", -F.col("nth"))).alias("p")
@@ -252,24 +272,25 @@ def suggest(units: DataFrame, footprints: DataFrame, cameras: DataFrame, walls:
         enough = F.col("p.gain") >= F.greatest(F.lit(LEAST_GAIN), F.floor(F.col("p.near") * GAIN_SHARE))
         won = best.where(enough).groupBy(*FLOOR).agg(F.min_by("p", "step").alias("p"), F.min("step").alias("won")).select(*FLOOR, "won", "p.*")
         nth = (F.lit(most) - F.col("room") + F.col("fills") + 1).cast("int")
-        won = cut(won.join(floors.select(*FLOOR, nth.alias("seq")), FLOOR))
+        won = stored(won.join(floors.select(*FLOOR, nth.alias("seq")), FLOOR), "won")
         filled.append(won)
         tried = seeds.groupBy(*FLOOR).agg(F.count("*").alias("tried")).join(won.select(*FLOOR, "won"), FLOOR, "left")
         moved = floors.join(going.select(*FLOOR, F.col("left").alias("goes")), FLOOR, "left").join(tried, FLOOR, "left")
         looked = F.coalesce("tried", F.lit(0))
-        floors = cut(moved.select(
+        floors = stored(moved.select(
             *FLOOR, "room", (F.col("fills") + F.when(F.col("won").isNotNull(), 1).otherwise(0)).alias("fills"),
             (F.col("steps") + F.coalesce(F.col("won") + 1, looked)).alias("steps"),
             F.when(F.col("won").isNotNull(), FIRST).otherwise(F.least(F.col("ahead") * 2, F.lit(AHEAD))).alias("ahead"),
             (F.col("done") | (F.col("goes").isNotNull() & F.col("won").isNull() & (looked < F.col("ahead")))).alias("done"),
-        ))
+        ), "floors")
         lost = seeds.join(won.select(*FLOOR, "won"), FLOOR, "left").where("won is null or step < won").select(*FLOOR, "cell", F.lit(True).alias("lost"))
-        met = inside(mine.where("not seen").select(*FLOOR, "cell", "at"), won.select(*FLOOR, "ring"), "cell").select(*FLOOR, "cell", F.lit(True).alias("met"))
-        points = cut(
+        met = inside(mine.where("not seen").select(*FLOOR, "cell", "at"), won.select(*FLOOR, "ring")).select(*FLOOR, "cell", F.lit(True).alias("met"))
+        points = stored(
             mine.join(lost, [*FLOOR, "cell"], "left").join(met, [*FLOOR, "cell"], "left")
-            .select(*FLOOR, "cell", "at", (F.col("seen") | F.coalesce("met", F.lit(False))).alias("seen"), (F.col("dead") | F.coalesce("lost", F.lit(False))).alias("dead"))
+            .select(*FLOOR, "cell", "at", (F.col("seen") | F.coalesce("met", F.lit(False))).alias("seen"), (F.col("dead") | F.coalesce("lost", F.lit(False))).alias("dead")),
+            "points",
         )
-        placed = cut(placed.unionByName(won.select(*FLOOR, "at", "heading")).coalesce(tasks))
+        placed = stored(placed.unionByName(won.select(*FLOOR, "at", "heading")).coalesce(tasks), "placed")
     pose = ["zone", "at", "heading", "fov_deg", "range_m", "ring"]
     out = corners.select(*FLOOR, "seq", F.lit("corner").alias("way"), *pose, F.lit(None).cast("long").alias("gain"))
     for won in filled:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from floorlens.functions import geometry as g, sight
 from floorlens.operators import coverage as cov, probe, quality
+from floorlens.operators.walls import walls
+from floorlens.plans import suggest
 
 
 def _blob(rnd, cx, cy, n):
@@ -34,6 +36,28 @@ def test_pair_tests_equal_the_expressions(spark):
     assert [r["id"] for r in got if (r["h1"], r["d1"], r["o1"]) != (r["h2"], r["d2"], r["o2"])] == []
 
 
+def test_rings_of_poses_are_cast_once(spark):
+    """What is asked of a ring reads the ring, where it would else stand for its whole expression, rays included."""
+    walls_ = walls(units(spark, [("a", "room", rect(0, 0, 10, 10))]), footprints(spark, [rect(0, 0, 10, 10)]), None)
+    pose = cameras(spark, [{"id": "p", "at": (5, 5), "fov": 100}, {"id": "q", "at": (9.95, 5), "fov": 20, "range": 2}])
+    poses = pose.withColumnsRenamed({"camera_id": "candidate_id"}).select("building_id", "ordinal", "candidate_id", "at", "heading", "fov_deg", "range_m")
+    seen = suggest.seeing(poses, walls_)
+    assert [(r["candidate_id"], len(r["ring"]) > 3) for r in seen.collect()] == [("p", True)]
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("_hits(") == 1
+
+
+def test_lines_of_points_in_rings(spark):
+    """Points that meet rings line by line lie where each lies by itself."""
+    rnd = random.Random(7)
+    points = [(1, 0, i, (i % 40 / 2, i // 40 / 2)) for i in range(1600)] + [(1, 0, 2000 + i, (rnd.uniform(0, 20), rnd.uniform(0, 20))) for i in range(200)] + [(1, 1, 1, (5.0, 5.0)), (1, 0, 9999, None)]
+    rings = [(1, 0, i, _blob(rnd, rnd.uniform(-2, 75), rnd.uniform(-2, 20), rnd.randint(3, 30))) for i in range(60)] + [(1, 0, 99, []), (1, 0, 100, [(0.0, 0.0), (20.0, 0.0), (20.0, 20.0), (0.0, 20.0)])]
+    p = spark.createDataFrame(points, f"building_id bigint, ordinal int, cell long, at {g.POINT}")
+    r = spark.createDataFrame(rings, f"building_id bigint, ordinal int, ring_id int, ring {g.RING}")
+    got = suggest.inside(p, r).select("cell", "ring_id").collect()
+    want = p.join(r, ["building_id", "ordinal"]).where(g.point_in_ring(F.col("at"), F.col("ring"))).select("cell", "ring_id").collect()
+    assert len(want) > 2000 and sorted(got) == sorted(want)
+
+
 def test_slices_do_not_change_pair_tests(spark, monkeypatch):
     import pyarrow as pa
 
