@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as g, labels
-from ..operators.spatial import FLOOR, box_join
+from ..operators.spatial import FLOOR, box_join, once
 from ..operators.walls import distinct_segments
 from ..session import cut
 from .navgraph import hops, nav_graph
@@ -219,15 +219,19 @@ def los_shortcut(runs: DataFrame, walls: DataFrame, run_keys: list[str]) -> Data
             F.greatest("a.x", "b.x").alias("x1"), F.greatest("a.y", "b.y").alias("y1"),
         ).alias("rbox"),
     )
-    dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
-    ln = g.hypot(dx, dy)
+    # One step after the other: in one expression these are more code than the JVM compiles.
+    pairs = once(box_join(legs, segs), dx=F.col("q.x") - F.col("p.x"), dy=F.col("q.y") - F.col("p.y"))
+    pairs = once(pairs, ln=g.hypot(F.col("dx"), F.col("dy")))
+    ln = F.col("ln")
     safe = F.when(ln >= 1e-9, ln)
+    pairs = once(pairs, ux=F.col("dx") / safe, uy=F.col("dy") / safe)
     t = g.ray_segment_t(
-        F.col("p.x"), F.col("p.y"), dx / safe, dy / safe,
+        F.col("p.x"), F.col("p.y"), F.col("ux"), F.col("uy"),
         F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"),
     )
+    pairs = once(pairs, t=t, end=ln - EPS)
     key = [*dict.fromkeys([*FLOOR, *run_keys])]
-    blocked = box_join(legs, segs).where((t > EPS) & (t < ln - EPS)).select(*key, "i", "j").distinct()
+    blocked = pairs.where((F.col("t") > EPS) & (F.col("t") < F.col("end"))).select(*key, "i", "j").distinct()
     far = (
         legs.select(*key, "i", "j")
         .join(blocked, [*key, "i", "j"], "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floorlens.functions import geometry as g, sight
 from floorlens.operators import coverage as cov, probe, quality
 from floorlens.operators.walls import walls
-from floorlens.plans import suggest
+from floorlens.plans import routes, suggest
 
 
 def _blob(rnd, cx, cy, n):
@@ -58,6 +58,15 @@ def test_lines_of_points_in_rings(spark):
     assert len(want) > 2000 and sorted(got) == sorted(want)
 
 
+def test_legs_meet_walls_once(spark):
+    """A leg's length and hit are columns; in one filter they are more code than the JVM compiles."""
+    runs = spark.createDataFrame([(1, 0, 5, 1, [(0, 1.0, 1.0), (1, 5.0, 1.0), (2, 9.0, 1.0), (3, 9.0, 9.0), (4, 5.0, 9.0)])], "building_id bigint, ordinal int, request_id bigint, run int, pts array<struct<i: int, x: double, y: double>>")
+    segs = walls(units(spark, [("a", "room", rect(3, 3, 7, 7))]), footprints(spark, [rect(0, 0, 10, 10)]), None)
+    kept = routes.los_shortcut(runs, segs, ["request_id", "building_id", "run"])
+    assert [[p["i"] for p in r["kept"]] for r in kept.collect()] == [[0, 2, 3, 4]]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 1
+
+
 def test_slices_do_not_change_pair_tests(spark, monkeypatch):
     import pyarrow as pa
 
